@@ -9,6 +9,7 @@ MODULES = {
     "op1_bpe": "bpe",
     "op3_mixing": "mixing",
     "op7_quality": "quality",
+    "op10_html": "html_extract",
 }
 
 
