@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_bpe": "bpe",
     "op3_mixing": "mixing",
+    "op4_language": "language",
     "op5_toxicity": "toxicity",
     "op7_quality": "quality",
     "op10_html": "html_extract",
