@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module that holds a function of that name.
 MODULES = {
     "op1_bpe": "bpe",
+    "op2_line_dedup": "line_dedup",
     "op3_mixing": "mixing",
     "op4_language": "language",
     "op5_toxicity": "toxicity",
