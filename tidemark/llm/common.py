@@ -118,7 +118,7 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for i in range(k):
-        out = mix64(out * np.uint64(3) + words[i : i + n] + np.uint64(i) * _MIX)
+        out = mix64(out * np.uint64(3) + words[i : i + n] + np.uint64(i * int(_MIX) % (1 << 64)))
     return out
 
 

@@ -11,6 +11,7 @@ MODULES = {
     "op3_mixing": "mixing",
     "op4_language": "language",
     "op5_toxicity": "toxicity",
+    "op6_ngram_join": "ngram_join",
     "op7_quality": "quality",
     "op10_html": "html_extract",
 }
