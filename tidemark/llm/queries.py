@@ -13,6 +13,7 @@ MODULES = {
     "op5_toxicity": "toxicity",
     "op6_ngram_join": "ngram_join",
     "op7_quality": "quality",
+    "op8_substring": "substring_dedup",
     "op9_ann": "ann",
     "op10_html": "html_extract",
 }
