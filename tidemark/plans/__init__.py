@@ -1 +1,6 @@
-"""See the modules of this subpackage."""
+"""Every named query of the engine; importing the modules registers them."""
+
+from . import market, series
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "market", "series"]
