@@ -1,6 +1,6 @@
 """Every named query of the engine; importing the modules registers them."""
 
-from . import market, series
+from . import joins, market, scores, series, stats, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "market", "series"]
+__all__ = ["ORACLES", "QUERIES", "joins", "market", "scores", "series", "stats", "text"]
