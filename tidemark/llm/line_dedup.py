@@ -76,6 +76,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
     """Rows (name, _d, _h, i) that share their name with another place, with whether an earlier one has it."""
     place = F.struct("_d", "_h", "i")
     groups = rows.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("name", "first")
+    groups = materialize(groups, "lines-groups")  # a written table on one side lets the join split a hot name on the other
     return rows.join(groups, "name").select("_d", "_h", "i", (place != F.col("first")).alias("later"))
 
 
