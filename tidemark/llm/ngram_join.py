@@ -212,6 +212,7 @@ def similar(docs: DataFrame, k: int = 3, percent: int = 90, task_shingles: int =
     marks = materialize(sketches(docs, k, percent), "ngram-sketches")
     rows = marks.select("node", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("key", "least")
+    shared = materialize(shared, "ngram-shared")  # a written table on one side lets the join split a hot key on the other
     # The join is a merge join at every size: the table of shared keys grows with the corpus, so it is not to be broadcast.
     edges = rows.join(shared.hint("merge"), "key").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     coarse = components(edges, "ngram-coarse").select("node", F.col("root").alias("coarse"))
