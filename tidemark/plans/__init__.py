@@ -1,6 +1,6 @@
 """Every named query of the engine; importing the modules registers them."""
 
-from . import joins, market, scores, series, stats, text
+from . import events, folds, joins, market, scores, series, stats, stream, text, validation
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "joins", "market", "scores", "series", "stats", "text"]
+__all__ = ["ORACLES", "QUERIES", "events", "folds", "joins", "market", "scores", "series", "stats", "stream", "text", "validation"]
