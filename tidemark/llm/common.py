@@ -42,25 +42,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
-def drop_scratch() -> None:
-    """Delete the scratch tables written so far; frames that read them are no longer usable."""
-    while _written:
-        spark, path = _written.pop()
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session may have ended: its scratch folder is then the cluster's to clear
             return
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the scratch tables of frames from materialize() that nothing will read any more."""
+    for df in frames:
+        if path := getattr(df, "_scratch_path", None):
+            _delete(path)
+
+
+def scratch_now() -> set[str]:
+    """The scratch tables that are there."""
+    return set(_written)
+
+
+def drop_scratch(keep: set[str] = frozenset()) -> None:
+    """Delete all scratch tables but those in keep; frames that read them are no longer usable."""
+    for path in [p for p in _written if p not in keep]:
+        _delete(path)
+
+
 atexit.register(drop_scratch)
 
 

@@ -2,9 +2,8 @@
 
 1. Each text becomes the set of its word shingles (64-bit fingerprints). Texts with equal sets are one node from here on.
 2. Nodes meet by pigeonhole: a linked pair differs in at most 2/19 of the larger size (for 0.9), so if shingles are hashed
-   into more groups than that, some group is the same in both. Each node emits one key for each group of its size class (and
-   of the next, if a linked set can lie there); more groups than needed are used, so that empty groups need no key unless a
-   set has too many of them. Keys of one node only are dropped. This loses no link.
+   into more groups than that, some group is the same in both. Each node emits keys of its groups' contents in its size class
+   (and in the next, if a linked set can lie there), just as many as are needed to share one. This loses no link.
 3. Nodes that share keys form coarse components (all links lie inside them). Each is searched where it lies: shingles are
    hashed into groups, the group counts are points in an R-tree, the overlap of a point and a box is at most the sum of the
    coordinate minima, and only pairs whose bound reaches the needed overlap are verified on the sets. A pair already
@@ -19,23 +18,23 @@ an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, mix64, table, window_hashes, word_hashes
+from .common import lower_ascii, materialize, mix64, release, table, window_hashes, word_hashes
 from .components import components
 
 #: Coordinates of the count vectors.
 GROUPS = 32
 LEAF = 32
-#: Groups beyond those that the pigeonhole needs; so many empty groups need no key.
-SPARE = 2
 #: Shingles of a coarse component that one task takes; larger ones are searched chunk by chunk.
-TASK_SHINGLES = 1_500_000
+TASK_SHINGLES = 400_000
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -53,8 +52,24 @@ def size_bounds(most: int) -> np.ndarray:
     return np.array(bounds)
 
 
+@lru_cache(maxsize=4096)
+def _groups(most: int, differ: int) -> int:
+    """Into how many groups sets of a size class are hashed: so many that more stay non-empty than can differ, with a margin
+    of three deviations."""
+    for m in range(differ + 2, max(most, differ + 2) + 1):
+        empty = m * math.exp(-most / m)
+        if m - empty - 3 * math.sqrt(empty) >= differ + 1:
+            return m
+    return differ + 2
+
+
 def keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """The pigeonhole keys of a set for links with 100 * intersection >= percent * union."""
+    """The pigeonhole keys of a set for links with 100 * intersection >= percent * union.
+
+    In a size class, linked sets differ in at most so many groups; of the keys of its non-empty groups, in the order of their
+    hashes, each set emits one more than that, which is enough to share one. A set with too few non-empty groups emits all
+    of its groups, the empty ones too.
+    """
     n = len(shingles)
     if not n:
         return np.empty(0, np.uint64)
@@ -63,10 +78,12 @@ def keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     classes = [c, c + 1] if 100 * n >= percent * bounds[c + 1] else [c]
     out = []
     for c in classes:
-        differ = int(2 * (bounds[c + 1] - 1) * (100 - percent) // (100 + percent))
-        if differ < 1:
+        most = int(bounds[c + 1] - 1)
+        widest = 2 * most * (100 - percent) // (100 + percent)
+        if widest < 1:
             continue  # equal sets only
-        m = differ + 1 + SPARE
+        differ = (n + min(most, 100 * n // percent)) * (100 - percent) // (100 + percent)
+        m = _groups(most, widest)
         salt = np.uint64((c + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         mixed = mix64(shingles ^ salt)
         group = (mixed >> np.uint64(33)) % np.uint64(m)
@@ -75,13 +92,48 @@ def keys(shingles: np.ndarray, percent: int) -> np.ndarray:
         starts = np.flatnonzero(np.diff(sorted_group, prepend=-1))
         sums = np.add.reduceat(mix64(mixed[order] * _ODD), starts)
         sizes = np.diff(np.append(starts, n)).astype(np.uint64)
-        out.append(mix64(sums + mix64(sorted_group[starts].astype(np.uint64) * _ODD + sizes) + salt))
-        if m - len(starts) > SPARE:
+        own = mix64(sums + mix64(sorted_group[starts].astype(np.uint64) * _ODD + sizes) + salt)
+        if len(own) > differ:
+            out.append(np.sort(own)[: differ + 1])
+        else:
             empty = np.setdiff1d(np.arange(m), sorted_group[starts]).astype(np.uint64)
-            out.append(mix64(mix64(empty * _ODD) + salt + np.uint64(n > 0)))
+            out += [own, mix64(mix64(empty * _ODD) + salt + np.uint64(1))]
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def stars(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all nodes of a key, from rows (key, node).
+
+    Rows are spread by ranges of key and node, so a hot key is cut over several tasks; each task walks its sorted rows once and
+    ties the nodes of a key to the first one it sees, and what a key has in different tasks is tied together afterwards.
+    """
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = centre = None
+        for f in frames:
+            k, v = f["key"].to_numpy(), f["node"].to_numpy()
+            if not len(k):
+                continue
+            new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
+            starts = np.flatnonzero(new)
+            of = np.cumsum(new) - 1
+            held = np.where(of >= 0, v[starts][np.maximum(of, 0)] if len(starts) else centre, centre if centre is not None else 0)
+            tied = held != v
+            a, b, on = held[tied], v[tied], np.full(int(tied.sum()), None, object)
+            if key is None:  # the task's first key may go on in the task before
+                a, b, on = np.append(a, v[0]), np.append(b, v[0]), np.append(on, k[0])
+            key, centre = k[-1], held[-1]
+            yield pd.DataFrame({"a": a, "b": b, "key": pd.array(on, "Int64")})
+        if key is not None:
+            yield pd.DataFrame({"a": [centre], "b": [centre], "key": pd.array([key], "Int64")})
+
+    walked = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInPandas(walk, "a long, b long, key long")
+    walked = materialize(walked, "ngram-stars")
+    ends = walked.where("key IS NOT NULL").select("key", "a").distinct()
+    across = ends.join(ends.groupBy("key").agg(F.min("a").alias("b")), "key").where("a != b").select("a", "b")
+    return walked.where("key IS NULL").select("a", "b").union(across)
+
+
 class Tree:
     """A packed R-tree over count vectors: leaves of LEAF points, nodes of LEAF leaves, each with coordinate maxima and least size."""
 
@@ -210,13 +262,13 @@ def _search(percent: int, chunked: bool):
 def similar(docs: DataFrame, k: int = 3, percent: int = 90, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links) for docs (doc_id, text)."""
     marks = materialize(sketches(docs, k, percent), "ngram-sketches")
-    rows = marks.select("node", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("key", "least")
-    shared = materialize(shared, "ngram-shared")  # a written table on one side lets the join split a hot key on the other
-    # The join is a merge join at every size: the table of shared keys grows with the corpus, so it is not to be broadcast.
-    edges = rows.join(shared.hint("merge"), "key").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    coarse = components(edges, "ngram-coarse").select("node", F.col("root").alias("coarse"))
-    owners = marks.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("_id"), F.first("n_shingles").alias("n"))
+    slim = materialize(marks.select("doc_id", "n_shingles", "node"), "ngram-documents")
+    # One row of each node has its keys spread; copies have none.
+    owners = materialize(slim.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("_id"), F.first("n_shingles").alias("n")), "ngram-nodes")
+    first = owners.select(F.col("node").alias("_node"), "_id")
+    once = marks.join(first, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    coarse = components(stars(once.select("node", F.explode("keys").alias("key"))), "ngram-coarse").select("node", F.col("root").alias("coarse"))
+    release(marks)
     wanted = materialize(owners.join(coarse, "node"), "ngram-wanted")
     weights = wanted.groupBy("coarse").agg(F.sum("n").alias("total"))
     sets = materialize(_sets(docs, wanted.select("_id", "node", "coarse"), k), "ngram-sets")
@@ -229,10 +281,12 @@ def similar(docs: DataFrame, k: int = 3, percent: int = 90, task_shingles: int =
     big = big.select("coarse", "node", "bytes", "chunk", other.alias("o")).withColumn("pair", F.struct(F.least("chunk", "o").alias("x"), F.greatest("chunk", "o").alias("y")))
     large = big.groupBy("coarse", "pair").applyInPandas(_search(percent, True), "a long, b long")
     fine = components(small.union(large), "ngram-links")
+    release(sets, wanted)
     names = owners.join(fine, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = names.groupBy("root").agg(F.min("_id").alias("component_id"))
     named = materialize(names.join(least, "root").select("node", F.col("component_id")), "ngram-names")
-    out = marks.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(named, "node", "left")
+    release(owners)
+    out = slim.withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node"))).join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
