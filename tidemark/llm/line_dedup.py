@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, mix64, table
+from .common import WORD, drop_scratch, materialize, mix64, scratch_now, table
 
 MIN_WORDS = 5
 
@@ -101,7 +101,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     rows = materialize(rows, "lines-windows")
     found = _grouped_windows(rows)
     state = state.join(found, ["_d", "_h"], "left")
-    return state.mapInPandas(_collect(min_words), "_d long, _h long, _drop array<boolean>, _n_removed long")
+    return state.mapInPandas(_collect(min_words), "_d long, _h long, _drop array<boolean>, _n_removed long").dropDuplicates(["_d", "_h"])
 
 
 def _grouped_windows(rows: DataFrame) -> DataFrame:
@@ -197,7 +197,9 @@ def _collect(min_words: int):
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the text cleaned and two columns more: _n_lines (with a word) and _n_removed."""
-    gone = removals(docs, doc_id, text, min_words).dropDuplicates(["_d", "_h"])
+    before = scratch_now()
+    gone = materialize(removals(docs, doc_id, text, min_words), "lines-gone")
+    drop_scratch(before | {gone._scratch_path})
     d, h = _key(doc_id, text)
     joined = docs.withColumns({"_d": d, "_h": h}).join(gone, ["_d", "_h"], "left").drop("_d", "_h")
     lines = F.split(F.col(text), "\n")
