@@ -184,7 +184,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     drawn = drawn.groupBy("_sidx", F.pmod("_rank", "_n_blocks").cast("int").alias("_block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", F.col("_shard").cast("int").alias("s")))), lambda x: x["s"]).alias("_shards"))
     out = keyed.join(small(plan.select(F.col("_source").alias("_s"), "_sidx", "source_size", "target", "_passes", "_n_blocks", "_last", "_ids")), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_block", bucket)
     in_last = (F.col("_block") == F.col("_last")) & F.coalesce(F.array_contains("_ids", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62)))), F.lit(False))
-    copies = (F.col("_passes") + ((F.col("_block") < F.col("_last")) | in_last).cast("int")).cast("int")
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("_passes") + ((F.col("_block") < F.col("_last")) | in_last).cast("int")).cast("int")
     out = out.withColumn("copies", copies).join(drawn, ["_sidx", "_block"], "left")
     out = out.withColumn("shards", F.slice(F.coalesce("_shards", F.array().cast("array<int>")), F.lit(1), F.col("copies"))).withColumn("taken", F.col("copies") * F.col("size"))
     return out.drop("_source", "_h", "_s", "_sidx", "_passes", "_n_blocks", "_last", "_ids", "_block", "_shards")

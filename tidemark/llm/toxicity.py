@@ -62,7 +62,7 @@ def plain(word: str) -> tuple[str, bool]:
         short = _thrice.sub(r"\1", w)
         return short, short != w
     letters = sum(c.isalpha() for c in w)
-    if 2 * letters < len(w) or letters < 2:
+    if 3 * letters < len(w) or letters < 2:
         return w, False
     undone = _thrice.sub(r"\1", _inner.sub("", w.translate(SIGNS)))
     return undone, undone.isalpha()
