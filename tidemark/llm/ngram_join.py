@@ -242,7 +242,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             ok = [_node(s) == v for s, v in zip(got, f["node"], strict=True)]
             yield pd.DataFrame({"coarse": f["coarse"], "node": f["node"], "n": [len(s) for s in got], "bytes": [s.tobytes() for s in got]})[ok]
 
-    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("text", "node", "coarse")
+    joined = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["_id"])).select("text", "node", "coarse")
     return joined.mapInPandas(run, "coarse long, node long, n long, bytes binary")
 
 
@@ -266,7 +266,8 @@ def similar(docs: DataFrame, k: int = 3, percent: int = 90, task_shingles: int =
     # One row of each node has its keys spread; copies have none.
     owners = materialize(slim.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("_id"), F.first("n_shingles").alias("n")), "ngram-nodes")
     first = owners.select(F.col("node").alias("_node"), "_id")
-    once = marks.join(first, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # Joins whose small side grows with the corpus are merge joins at every size, so that plans and costs do not jump.
+    once = marks.join(first.hint("merge"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     coarse = components(stars(once.select("node", F.explode("keys").alias("key"))), "ngram-coarse").select("node", F.col("root").alias("coarse"))
     release(marks)
     wanted = materialize(owners.join(coarse, "node"), "ngram-wanted")
