@@ -13,12 +13,13 @@ from .registry import query
 
 D = ("d",)
 W = "OVER (PARTITION BY asset ORDER BY d)"
-RET_SQL = f"{BARS_SQL}, r AS (SELECT asset, d, close, volume, ln(close) - ln(lag(close) {W}) AS r, ln(volume) - ln(lag(volume) {W}) AS v FROM bars)"
+RET_SQL = f"{BARS_SQL}, r AS (SELECT asset, d, close, volume, round(ln(close) - ln(lag(close) {W}), 10) AS r, round(ln(volume) - ln(lag(volume) {W}), 10) AS v FROM bars)"
 
 
 def _returns(spark, sf_dir) -> DataFrame:
     w = S.over("asset", "d")
-    return bars(spark, sf_dir).select("asset", "d", "close", "volume", S.log_return("close", w).alias("r"), S.log_return("volume", w).alias("v"))
+    r, v = (F.round(S.log_return(c, w), 10) for c in ("close", "volume"))  # equal changes tie exactly
+    return bars(spark, sf_dir).select("asset", "d", "close", "volume", r.alias("r"), v.alias("v"))
 
 
 @query(f"""WITH {RET_SQL}, q AS (SELECT asset, quantile_cont(r, 0.05) AS var FROM r GROUP BY asset)
