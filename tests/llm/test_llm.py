@@ -317,6 +317,21 @@ def test_chains_follow_both_orders():
     assert substring_dedup.align(np.arange(50), np.arange(50), np.array([[10, 10], [20, 20]]))[:4] == (0, 50, 0, 50)
 
 
+def test_chains_begin_anew_after_a_long_passage():
+    long = np.arange(0, 120, 5)
+    for at, rat in ((300, 300), (900, 900), (300, 200), (120, 400)):  # the last: far in the earlier text only
+        pos, rpos = np.concatenate([long, at + np.arange(0, 50, 5)]), np.concatenate([long, rat + np.arange(0, 50, 5)])
+        assert sorted(len(c) for c in substring_dedup.chains(pos, rpos)) == [10, 24]
+
+
+def test_substring_finds_two_passages_far_apart(spark):
+    rng = random.Random(8)
+    one, two = words(rng, 120), words(rng, 50)
+    texts = [f"{one} {words(rng, 180)} {two}", f"{one} {words(rng, 220)} {two}"]
+    got = substring_dedup.passages(frame(spark, texts).select(F.col("doc_id").alias("doc"), "text")).collect()
+    assert sorted((r.start // 100, r.end - r.start >= 48) for r in got) == [(0, True), (3, True)]
+
+
 def test_seeds_share_within_equal_stretches():
     rng = random.Random(1)
     shared = words(rng, substring_dedup.K + substring_dedup.WINDOW - 1)
