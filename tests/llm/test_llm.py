@@ -332,6 +332,16 @@ def test_substring_finds_two_passages_far_apart(spark):
     assert sorted((r.start // 100, r.end - r.start >= 48) for r in got) == [(0, True), (3, True)]
 
 
+def test_substring_finds_a_whole_passage_whose_parts_stand_elsewhere(spark):
+    rng = random.Random(9)
+    whole = words(rng, 60).split()
+    parts = [" ".join(whole[:30]), " ".join(whole[30:])]
+    stock = f"{words(rng, 20)} {' '.join(whole[20:32])} {words(rng, 40)} {' '.join(whole)}"  # holds some seeds twice
+    texts = [f"{words(rng, 20)} {parts[0]} {words(rng, 20)}", f"{words(rng, 20)} {parts[1]} {words(rng, 20)}", stock, f"{words(rng, 33)} {' '.join(whole)} {words(rng, 9)}"]
+    got = substring_dedup.passages(frame(spark, texts).select(F.col("doc_id").alias("doc"), "text")).collect()
+    assert [(r.doc, r.rep, abs(r.start - 33) < 3, abs(r.rstart - 72) < 3, r.equal >= 58) for r in got] == [(3, 2, True, True, True)]
+
+
 def test_seeds_share_within_equal_stretches():
     rng = random.Random(1)
     shared = words(rng, substring_dedup.K + substring_dedup.WINDOW - 1)
