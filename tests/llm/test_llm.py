@@ -377,6 +377,16 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert copies.vec_id.tolist() == list(range(201, 221))
 
 
+def test_neighbours_of_repeated_queries(spark):
+    x = np.random.default_rng(5).normal(size=(60, 8)).astype(np.float32)
+    rows = [(2 * i + 1, v.tolist(), "") for i, v in enumerate(x)]
+    rows += [(20, x[0].tolist(), "")] * 3 + [(40, x[1].tolist(), ""), (40, x[2].tolist(), "")]
+    got = ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0, 20).toPandas()
+    one = got[got.query_id == 20]
+    assert sorted(one["rank"]) == list(range(1, 21)) and one[one.vec_id != 40].vec_id.is_unique
+    assert sorted(got[got.query_id == 40]["rank"]) == sorted([*range(1, 21)] * 2)
+
+
 def test_neighbours_of_few(spark):
     got = ann.search(vectors(spark, [(0, [1.0, 0.0], ""), (20, [0.5, 0.5], ""), (3, [2.0, 1.0], "")]), F.col("vec_id") % 20 == 0, 20)
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == [(0, 1, 3), (0, 2, 20), (20, 1, 3), (20, 2, 0)]

@@ -10,7 +10,8 @@ Entries are spread over blocks of bounded size (cells of like first centroid tog
 of bounded size; each task scores one part against one block and returns at most k rows a query.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor
-do rows without id; rows with the query's id are its own; ties go to the smaller id; repeated rows are separate candidates;
+do rows without id; rows with the query's id are its own; ties go to the smaller id; repeated rows are separate candidates
+but ask once, and rows of one id with different vectors are each answered;
 fewer than k candidates are all returned; no valid vectors give an empty result; other columns are ignored.
 """
 
@@ -138,30 +139,32 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         """Each query with its least score, once for every block that has a cell it sees."""
         for f in frames:
             out = []
-            for q, v in zip(f["vec_id"], f["v"], strict=True):
+            for q, a, v in zip(f["vec_id"], f["ask"], f["v"], strict=True):
                 v = np.asarray(v)
                 s1, s2 = c1 @ v[:half], c2 @ v[half:]
                 least = walk(s1, s2, held, enough) - 1e-9
                 best2 = np.where(held > 0, s2, -np.inf).max(axis=1)
                 blocks = {b for i in np.flatnonzero(s1 + best2 >= least) for b in range(where[i, 0], where[i, 0] + where[i, 1])}
-                out += [(q, v, least, b) for b in sorted(blocks)]
+                out += [(q, a, v, least, b) for b in sorted(blocks)]
             if out:
-                yield pd.DataFrame(out, columns=["query_id", "q", "least", "block"])
+                yield pd.DataFrame(out, columns=["query_id", "ask", "q", "least", "block"])
 
-    queries = entries.where(is_query).select("vec_id", "v").repartition(entries.sparkSession.sparkContext.defaultParallelism * 2, "vec_id")
-    aimed = queries.mapInPandas(aim, "query_id long, q array<double>, least double, block int").withColumn("part", F.pmod(F.xxhash64("query_id"), n_query_parts).cast("int"))
+    # Repeated rows of a query ask once; rows of one id with different vectors are numbered and ranked one by one.
+    asked = entries.where(is_query).select("vec_id", "v").distinct()
+    queries = asked.select("vec_id", "v", F.xxhash64("vec_id", "v").alias("ask")).repartition(entries.sparkSession.sparkContext.defaultParallelism * 2, "vec_id")
+    aimed = queries.mapInPandas(aim, "query_id long, ask long, q array<double>, least double, block int").withColumn("part", F.pmod(F.xxhash64("query_id"), n_query_parts).cast("int"))
     blocks = F.element_at(F.array(*[F.lit(int(b)) for b in where[:, 0]]), F.col("c1") + 1) + F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*[F.lit(int(p)) for p in where[:, 1]]), F.col("c1") + 1)).cast("int")
     spread = entries.withColumn("block", blocks).withColumn("part", F.explode(F.sequence(F.lit(0), n_query_parts - 1)))
 
     def score(e: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         if not len(e) or not len(f):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            return pd.DataFrame({"query_id": [], "ask": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "ask": "int64", "vec_id": "int64", "score": "float64"})
         e = e.sort_values("vec_id", kind="stable")
         x, ids, e1, e2 = np.stack(e["v"]), e["vec_id"].to_numpy(), e["c1"].to_numpy(), e["c2"].to_numpy()
-        out_q, out_v, out_s = [], [], []
+        out_q, out_a, out_v, out_s = [], [], [], []
         for at in range(0, len(f), 256):
             g = f.iloc[at : at + 256]
-            q, own = np.stack(g["q"]), g["query_id"].to_numpy()
+            q, own, ask = np.stack(g["q"]), g["query_id"].to_numpy(), g["ask"].to_numpy()
             # einsum adds up each pair in the same order whatever the block, so equal vectors tie exactly.
             s = np.einsum("ij,kj->ik", q, x, optimize=False)
             cell = (q[:, :half] @ c1.T)[:, e1] + (q[:, half:] @ c2.T)[:, e2]
@@ -172,12 +175,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                 found = np.flatnonzero((row >= cut) & (row > -np.inf))
                 found = found[np.argsort(-row[found], kind="stable")][:k]
                 out_q.append(np.full(len(found), own[i]))
+                out_a.append(np.full(len(found), ask[i]))
                 out_v.append(ids[found])
                 out_s.append(row[found])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
+        return pd.DataFrame({"query_id": np.concatenate(out_q), "ask": np.concatenate(out_a), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
-    scored = spread.groupBy("block", "part").cogroup(aimed.groupBy("block", "part")).applyInPandas(score, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    scored = spread.groupBy("block", "part").cogroup(aimed.groupBy("block", "part")).applyInPandas(score, "query_id long, ask long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
