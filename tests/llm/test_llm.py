@@ -409,6 +409,15 @@ def test_html_with_and_without_article():
     assert html_extract.main_text(PAGE.replace("{body}", plain)) == f"Head\n{TEXT}\nShort.\n{TEXT}"
 
 
+def test_html_articles_beside_or_with_other_text():
+    cards = "".join(f'<article><h3><a href=x>Card {i}</a></h3><p>Read this next.</p></article>' for i in range(4))
+    body = f"<div><p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p></div>"
+    assert html_extract.main_text(PAGE.replace("{body}", body + cards)).startswith(f"{TEXT}\n{TEXT}\n{TEXT}")
+    assert "Card 2" not in html_extract.main_text(PAGE.replace("{body}", body + cards))
+    links = "<ul>" + "".join(f"<li><a href=x>More about number {i}</a></li>" for i in range(6)) + "</ul>"
+    assert html_extract.main_text(PAGE.replace("{body}", f"<article><p>{TEXT}</p>{links}</article>")) == TEXT
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- x", "<script>never closed <p>x</p>", "<nav><a>x</a></nav>", "</div></div></article>"])
 def test_html_odd(page):
     assert html_extract.main_text(page) in ("", "<", "<p")
