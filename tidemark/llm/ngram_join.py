@@ -3,7 +3,9 @@
 1. Each text becomes the set of its word shingles (64-bit fingerprints). Texts with equal sets are one node from here on.
 2. Nodes meet by pigeonhole: a linked pair differs in at most 2/19 of the larger size (for 0.9), so if shingles are hashed
    into more groups than that, some group is the same in both. Each node emits keys of its groups' contents in its size class
-   (and in the next, if a linked set can lie there), just as many as are needed to share one. This loses no link.
+   (and in those above, as far as a linked set can lie there), just as many as are needed to share one. This loses no link.
+   98 of 100 keys are met by nobody, so keys travel packed (seven bytes: a part of the key, and whose it is), once from each
+   worker's flush of a million keys, however many of its documents share them.
 3. Nodes that share keys form coarse components (all links lie inside them). Each is searched where it lies: shingles are
    hashed into groups, the group counts are points in an R-tree, the overlap of a point and a box is at most the sum of the
    coordinate minima, and only pairs whose bound reaches the needed overlap are verified on the sets. A pair already
@@ -11,9 +13,9 @@
    chunks is searched on its own; their links are joined by distributed components.
 
 Cases: null and empty texts have the empty set and are linked with nothing; texts with fewer words than a shingle count as
-one shingle; repeated rows and ids are linked like any equal texts (one row each is returned); null ids keep their row and
-never name a component unless all are null; very long texts are read whole; other columns are ignored; an empty table gives
-an empty result.
+one shingle; repeated rows and ids are linked like any equal texts (one row each is returned), and different texts under one
+id, or without id, are texts of their own; null ids keep their row and never name a component unless all are null; very long
+texts are read whole; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import lower_ascii, materialize, mix64, release, table, window_hashes, word_hashes
 from .components import components
@@ -35,6 +41,10 @@ GROUPS = 32
 LEAF = 32
 #: Shingles of a coarse component that one task takes; larger ones are searched chunk by chunk.
 TASK_SHINGLES = 400_000
+#: Keys that a worker gathers before it sends them off.
+FLUSH_KEYS = 1_000_000
+#: Bytes of a packed key: five of the key, two of the place in the flush.
+PACKED = 7
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -73,9 +83,9 @@ def keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     n = len(shingles)
     if not n:
         return np.empty(0, np.uint64)
-    bounds = size_bounds(n * 2 + 2)
+    bounds = size_bounds(100 * n // percent + 1)
     c = int(np.searchsorted(bounds, n, side="right")) - 1
-    classes = [c, c + 1] if 100 * n >= percent * bounds[c + 1] else [c]
+    classes = [c, *(x for x in range(c + 1, len(bounds) - 1) if 100 * n >= percent * bounds[x])]
     out = []
     for c in classes:
         most = int(bounds[c + 1] - 1)
@@ -101,37 +111,114 @@ def keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def stars(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all nodes of a key, from rows (key, node).
+def _blobs(held: list[np.ndarray], nodes: list[int], flush: int, bits: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, bytes]]]:
+    """Pre-aggregate the keys of a worker's nodes: ties among its own nodes, and each key once, as packed rows by bucket.
 
-    Rows are spread by ranges of key and node, so a hot key is cut over several tasks; each task walks its sorted rows once and
-    ties the nodes of a key to the first one it sees, and what a key has in different tasks is tied together afterwards.
+    The first bits of a key are its bucket; of the rest 40 bits are packed, with the node's place in the flush.
     """
+    key = np.concatenate(held)
+    spot = np.repeat(np.arange(len(held), dtype=np.int64), [len(x) for x in held])
+    order = np.argsort(key, kind="stable")
+    key, spot = key[order], spot[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    first = np.flatnonzero(new)
+    centre = spot[first][np.cumsum(new) - 1]
+    ties = np.unique((centre << 16 | spot)[centre != spot])
+    node = np.array(nodes, np.int64)
+    key, spot = key[first], spot[first]
+    bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+    packed = np.empty((len(key), PACKED), np.uint8)
+    packed[:, :5] = (key >> np.uint64(24 - bits)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    packed[:, 5:] = spot.astype("<u2").view(np.uint8).reshape(-1, 2)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    rows = [(int(bucket[s]), flush, packed[s:e].tobytes()) for s, e in zip(starts, [*starts[1:], len(key)], strict=True)]
+    return node[ties >> 16], node[ties & 0xFFFF], rows
+
+
+MARKS = "doc_id long, text_hash long, n_shingles long, node long, place long, other long, bucket int, keys binary"
+
+
+def marks(docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
+    """From docs (doc_id, text, text_hash) in one scan: a row for each document (its set's size and fingerprint, and the place
+    of its node in the worker's flush), ties (node, other) of nodes that meet in one worker, and packed keys by bucket."""
+    schema = T._parse_datatype_string(MARKS)
+    arrow = to_arrow_schema(schema)
+
+    def batch(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        seen: dict[int, int] = {}
+        task = TaskContext.get()
+        flush = (task.partitionId() if task else 0) << 24
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            a, b, rows = _blobs(held, list(seen), flush, bits)
+            if len(a):
+                yield batch(len(a), node=a, other=b)
+            for at in range(0, len(rows), 4096):
+                part = rows[at : at + 4096]
+                yield batch(len(part), bucket=[r[0] for r in part], place=[r[1] for r in part], keys=[r[2] for r in part])
+
+        size = 0
+        for got in batches:
+            ids, hashes = got.column("doc_id"), got.column("text_hash")
+            n, node, place = [], [], []
+            for text in got.column("text").to_pylist():
+                s = shingle_set(text, k)
+                own = _node(s)
+                if len(s) and own not in seen:
+                    if size > FLUSH_KEYS or len(seen) > 0xFFFF:
+                        yield from flushed()
+                        held, seen, size, flush = [], {}, 0, flush + 1
+                    seen[own] = len(seen)
+                    held.append(keys(s, percent))
+                    size += len(held[-1])
+                n.append(len(s))
+                node.append(own)
+                place.append(flush << 16 | seen[own] if len(s) else None)
+            yield batch(len(n), doc_id=ids, text_hash=hashes, n_shingles=n, node=node, place=place)
+        if size:
+            yield from flushed()
+
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, schema)
+
+
+def meetings(packed: DataFrame) -> DataFrame:
+    """Edges (a, b) between places of different flushes that share a key, from packed keys (bucket, place, keys).
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = centre = None
+    A key comes once from each flush, so however many documents share it, it is a row for some million keys of input."""
+
+    def tied(bucket: np.ndarray, flush: np.ndarray, data: list[bytes]) -> pd.DataFrame:
+        raw = np.frombuffer(b"".join(data), np.uint8).reshape(-1, PACKED)
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // PACKED
+        low = np.zeros((len(raw), 8), np.uint8)
+        low[:, :5] = raw[:, :5]
+        key = np.repeat(bucket.astype(np.uint64) << np.uint64(40), sizes) | low.view("<u8").ravel()
+        place = np.repeat(flush << 16, sizes) | raw[:, 5:].copy().view("<u2").ravel().astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        centre = place[np.flatnonzero(new)][np.cumsum(new) - 1]
+        return pd.DataFrame({"a": centre[~new], "b": place[~new]}).drop_duplicates()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
         for f in frames:
-            k, v = f["key"].to_numpy(), f["node"].to_numpy()
-            if not len(k):
+            if not len(f):
                 continue
-            new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
-            starts = np.flatnonzero(new)
-            of = np.cumsum(new) - 1
-            held = np.where(of >= 0, v[starts][np.maximum(of, 0)] if len(starts) else centre, centre if centre is not None else 0)
-            tied = held != v
-            a, b, on = held[tied], v[tied], np.full(int(tied.sum()), None, object)
-            if key is None:  # the task's first key may go on in the task before
-                a, b, on = np.append(a, v[0]), np.append(b, v[0]), np.append(on, k[0])
-            key, centre = k[-1], held[-1]
-            yield pd.DataFrame({"a": a, "b": b, "key": pd.array(on, "Int64")})
-        if key is not None:
-            yield pd.DataFrame({"a": [centre], "b": [centre], "key": pd.array([key], "Int64")})
-
-    walked = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInPandas(walk, "a long, b long, key long")
-    walked = materialize(walked, "ngram-stars")
-    ends = walked.where("key IS NOT NULL").select("key", "a").distinct()
-    across = ends.join(ends.groupBy("key").agg(F.min("a").alias("b")), "key").where("a != b").select("a", "b")
-    return walked.where("key IS NULL").select("a", "b").union(across)
+            bucket, flush, data = f["bucket"].to_numpy(np.int64), f["place"].to_numpy(np.int64), f["keys"].tolist()
+            cut = int(np.searchsorted(bucket, bucket[-1]))
+            if cut:
+                parts = [*held, (bucket[:cut], flush[:cut], data[:cut])]
+                yield tied(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), [d for p in parts for d in p[2]])
+                held = []
+            held.append((bucket[cut:], flush[cut:], data[cut:]))
+        if held:
+            yield tied(np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held]), [d for p in held for d in p[2]])
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "a long, b long")
 
 
 class Tree:
@@ -209,22 +296,6 @@ def links(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None)
     return found
 
 
-def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, the set's fingerprint and keys of every document."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            n, node, found = [], [], []
-            for text in f["text"]:
-                s = shingle_set(text if isinstance(text, str) else None, k)
-                n.append(len(s))
-                node.append(_node(s))
-                found.append(keys(s, percent).view(np.int64))
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "n_shingles": n, "node": node, "keys": found})
-
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, node long, keys array<long>")
-
-
 def _node(s: np.ndarray) -> int:
     """A fingerprint of a set."""
     if not len(s):
@@ -234,15 +305,23 @@ def _node(s: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, shingles as bytes, n) of the wanted (_id, node, coarse) rows; texts are read again for these only."""
+    """(coarse, node, n, shingles as bytes) of the wanted (_id, _hash, node, coarse) rows; texts are read again for these only."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
         for f in frames:
-            got = [shingle_set(t, k) for t in f["text"]]
-            ok = [_node(s) == v for s, v in zip(got, f["node"], strict=True)]
-            yield pd.DataFrame({"coarse": f["coarse"], "node": f["node"], "n": [len(s) for s in got], "bytes": [s.tobytes() for s in got]})[ok]
-
-    joined = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["_id"])).select("text", "node", "coarse")
+            rows = []
+            for text, node, coarse in zip(f["text"], f["node"], f["coarse"], strict=True):
+                if node == last:  # repeated rows lie side by side after the merge join
+                    continue
+                last = node
+                s = shingle_set(text, k)
+                if _node(s) == node:
+                    rows.append((coarse, node, len(s), s.tobytes()))
+            yield pd.DataFrame(rows, columns=["coarse", "node", "n", "bytes"])
+
+    same = docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["text_hash"] == wanted["_hash"])
+    joined = docs.join(wanted.hint("merge"), same).select("text", "node", "coarse")
     return joined.mapInPandas(run, "coarse long, node long, n long, bytes binary")
 
 
@@ -260,38 +339,49 @@ def _search(percent: int, chunked: bool):
 
 
 def similar(docs: DataFrame, k: int = 3, percent: int = 90, task_shingles: int = TASK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles and component_id (least doc_id reachable by links) for docs (doc_id, text)."""
-    marks = materialize(sketches(docs, k, percent), "ngram-sketches")
-    slim = materialize(marks.select("doc_id", "n_shingles", "node"), "ngram-documents")
-    # One row of each node has its keys spread; copies have none.
-    owners = materialize(slim.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("_id"), F.first("n_shingles").alias("n")), "ngram-nodes")
-    first = owners.select(F.col("node").alias("_node"), "_id")
+    """doc_id, text_hash, n_shingles, component_id (least doc_id reachable by links) and component (a number of the component,
+    of every row with a word) for docs (doc_id, text). percent is the least similarity of a link, 1 to 100."""
+    if not 1 <= percent <= 100 or k < 1:
+        raise ValueError("similarity must be 1 to 100 percent, and shingles of a word or more")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
+    bits = max(6, min(18, (docs.count() >> 6).bit_length()))
+    found = materialize(marks(docs, k, percent, bits), "ngram-marks")
+    slim = found.where("n_shingles IS NOT NULL").select("doc_id", "text_hash", "n_shingles", "node", "place")
+    met = materialize(meetings(found.where("keys IS NOT NULL").select("bucket", "place", "keys")), "ngram-meetings")
+    slim = materialize(slim, "ngram-documents")
+    ties = materialize(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), "ngram-ties")
+    release(found)
+    # One row of each node has its set read; copies have none.
+    some = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("_first")
+    owners = slim.where("n_shingles > 0").groupBy("node").agg(some, F.first("n_shingles").alias("n"))
+    owners = materialize(owners.select("node", F.col("_first.doc_id").alias("_id"), F.col("_first.text_hash").alias("_hash"), "n"), "ngram-nodes")
     # Joins whose small side grows with the corpus are merge joins at every size, so that plans and costs do not jump.
-    once = marks.join(first.hint("merge"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    coarse = components(stars(once.select("node", F.explode("keys").alias("key"))), "ngram-coarse").select("node", F.col("root").alias("coarse"))
-    release(marks)
+    at = lambda side: slim.where("place IS NOT NULL").select(F.col("place").alias(side), F.col("node").alias(f"{side}_node")).distinct().hint("merge")
+    far = met.join(at("a"), "a").join(at("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    coarse = components(far.union(ties), "ngram-coarse").select("node", F.col("root").alias("coarse"))
+    release(met, ties)
     wanted = materialize(owners.join(coarse, "node"), "ngram-wanted")
     weights = wanted.groupBy("coarse").agg(F.sum("n").alias("total"))
-    sets = materialize(_sets(docs, wanted.select("_id", "node", "coarse"), k), "ngram-sets")
+    sets = materialize(_sets(docs, wanted.select("_id", "_hash", "node", "coarse"), k), "ngram-sets")
     sized = sets.join(weights, "coarse")
     small = sized.where(F.col("total") <= task_shingles).groupBy("coarse").applyInPandas(_search(percent, False), "a long, b long")
     # Large components: chunks by hash, each pair of chunks (and each chunk with itself) one group.
     chunks = F.ceil(F.col("total") / F.lit(task_shingles // 2)).cast("int")
     big = sized.where(F.col("total") > task_shingles).withColumn("_c", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), "_c").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_c") - 1))
-    big = big.select("coarse", "node", "bytes", "chunk", other.alias("o")).withColumn("pair", F.struct(F.least("chunk", "o").alias("x"), F.greatest("chunk", "o").alias("y")))
+    big = big.select("coarse", "node", "bytes", "chunk", other.alias("o"))
+    big = big.withColumn("pair", F.struct(F.least("chunk", "o").alias("x"), F.greatest("chunk", "o").alias("y")))
     large = big.groupBy("coarse", "pair").applyInPandas(_search(percent, True), "a long, b long")
     fine = components(small.union(large), "ngram-links")
     release(sets, wanted)
     names = owners.join(fine, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = names.groupBy("root").agg(F.min("_id").alias("component_id"))
-    named = materialize(names.join(least, "root").select("node", F.col("component_id")), "ngram-names")
+    named = materialize(names.join(least, "root").select("node", "component_id", F.col("root").alias("component")), "ngram-names")
     release(owners)
     out = slim.withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node"))).join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by 3-word shingles at 0.9."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return similar(docs)
+    return similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
