@@ -33,10 +33,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the least id."""
-    found = ngram_join.similar(docs.select("doc_id", "text"), SHINGLE, PERCENT)
-    gone = found.where((F.col("component_id") != F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    """One row of each component of near duplicates: the one with the least id (rows without id come last, then by text)."""
+    found = ngram_join.similar(docs, SHINGLE, PERCENT).where(F.col("component").isNotNull())
+    found = materialize(found.select("doc_id", "text_hash", "component"), "stage-components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = found.groupBy("component").agg(F.min(order).alias("first")).hint("merge")
+    gone = found.join(first, "component").where(order != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    docs = docs.select(*COLUMNS)
+    same = docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"])
+    kept = docs.join(gone, same, "left_anti")
+    # Rows that repeat both id and text are copies too; they are rare, so only then are texts grouped.
+    if not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        words = F.rlike(F.col("text"), F.lit(WORD))
+        kept = kept.where(words).dropDuplicates(["doc_id", "text"]).union(kept.where(~F.coalesce(words, F.lit(False))))
+    return kept
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
