@@ -6,8 +6,10 @@ centroids, by a heap over the two sorted lists, until the cells seen hold a give
 measured, not guessed: on a bounded sample it is what finds 97 % of the true neighbours, so clustered data need little and
 structureless data much. All entries of the cells seen are then scored exactly on the original vectors.
 
-Entries are spread over blocks of bounded size (cells of like first centroid together, hot ones cut up), queries over parts
-of bounded size; each task scores one part against one block and returns at most k rows a query.
+Entries are spread over blocks of bounded size (cells of like first centroid together, hot ones cut up) and queries go to the
+blocks that hold a cell they see. A block that very many queries aim at is scored in parts of bounded size, and only such a
+block's entries are copied, once for each part; entries of blocks nobody aims at are not moved. Each task scores one part
+against one block and returns at most k rows a query. Codebooks grow with the root of the table, up to MAX_CENTROIDS.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor
 do rows without id; rows with the query's id are its own; ties go to the smaller id; repeated rows are separate candidates
@@ -31,6 +33,9 @@ SAMPLE_ROWS = 20_000
 SAMPLE_QUERIES = 256
 TARGET_RECALL = 0.97
 BLOCK = 8_192
+#: Queries that a task scores against a block.
+PART = 20 * BLOCK
+MAX_CENTROIDS = 512
 SEED = 5
 
 
@@ -85,7 +90,7 @@ def walk(s1: np.ndarray, s2: np.ndarray, held: np.ndarray, enough: float) -> flo
 def fit(sample: np.ndarray, rows: int, k: int) -> dict:
     """Codebooks, and the share of entries to see, from a sample of the vectors."""
     half = (sample.shape[1] + 1) // 2
-    size = int(min(64, max(2, np.sqrt(rows) / 2)))
+    size = int(min(MAX_CENTROIDS, max(2, np.sqrt(rows) / 2)))
     c1, c2 = codebook(sample[:, :half], size), codebook(sample[:, half:], size) if sample.shape[1] > half else np.zeros((1, 0))
     a1, a2 = assign(sample[:, :half], c1), assign(sample[:, half:], c2)
     queries = np.random.default_rng(SEED).permutation(len(sample))[:SAMPLE_QUERIES]
@@ -123,17 +128,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     for r in entries.groupBy("c1", "c2").count().collect():
         held[r["c1"], r["c2"]] = r["count"]
     enough = model["share"] * held.sum()
-    # Blocks: neighbouring first centroids together up to BLOCK entries; one that holds more is cut up by a hash of the id.
-    first, start, parts, filled = held.sum(axis=1), {}, {}, BLOCK
+    # Blocks: neighbouring first centroids together up to so many entries; one that holds more is cut up by a hash of the row.
+    rows = int(min(BLOCK, max(1024, held.sum() // 64)))
+    first, start, parts, filled = held.sum(axis=1), {}, {}, rows
     block = -1
     for i, n in enumerate(first.tolist()):
-        if filled + n > BLOCK:
+        if filled + n > rows:
             block, filled = block + 1, 0
-        start[i], parts[i] = block, max(1, -(-n // BLOCK))
+        start[i], parts[i] = block, max(1, -(-n // rows))
         filled += n
         block += parts[i] - 1
     where = np.array([[start[i], parts[i]] for i in range(len(c1))])
-    n_query_parts = F.lit(max(1, int(-(-held.sum() // (20 * BLOCK)))))
 
     def aim(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each query with its least score, once for every block that has a cell it sees."""
@@ -152,9 +157,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     # Repeated rows of a query ask once; rows of one id with different vectors are numbered and ranked one by one.
     asked = entries.where(is_query).select("vec_id", "v").distinct()
     queries = asked.select("vec_id", "v", F.xxhash64("vec_id", "v").alias("ask")).repartition(entries.sparkSession.sparkContext.defaultParallelism * 2, "vec_id")
-    aimed = queries.mapInPandas(aim, "query_id long, ask long, q array<double>, least double, block int").withColumn("part", F.pmod(F.xxhash64("query_id"), n_query_parts).cast("int"))
-    blocks = F.element_at(F.array(*[F.lit(int(b)) for b in where[:, 0]]), F.col("c1") + 1) + F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*[F.lit(int(p)) for p in where[:, 1]]), F.col("c1") + 1)).cast("int")
-    spread = entries.withColumn("block", blocks).withColumn("part", F.explode(F.sequence(F.lit(0), n_query_parts - 1)))
+    aimed = materialize(queries.mapInPandas(aim, "query_id long, ask long, q array<double>, least double, block int"), "ann-aimed")
+    parts_of = aimed.groupBy("block").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
+    aimed = aimed.join(parts_of, "block").withColumn("part", F.pmod(F.xxhash64("query_id", "ask"), "parts").cast("int"))
+    at = lambda column: F.element_at(F.array(*[F.lit(int(x)) for x in where[:, column]]), F.col("c1") + 1)
+    placed = entries.withColumn("block", at(0) + F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), at(1)).cast("int"))
+    spread = placed.join(parts_of, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def score(e: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         if not len(e) or not len(f):

@@ -31,6 +31,15 @@ from .common import table
 
 # The split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Ranges of letters and digits newer than Unicode 16, the version by which the tokenizers library splits (there
+# they are neither letter nor digit).
+NEWER = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
+    "10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 "
+    "16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 "
+    "1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F "
+    "2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
 #: Distinct words whose tokens a worker keeps; beyond it the cache starts anew, which costs time and changes no result.
 CACHE_WORDS = 1_000_000
 #: Words longer than this are cut and merged on their own, outside the automaton's batch.
@@ -58,6 +67,10 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.split = regex.compile(SPLIT)
+        newer = "[" + "".join("-".join(rf"\U{x:0>8}" for x in r.split("-")) for r in NEWER.split()) + "]"
+        self.newer = regex.compile(newer)
+        old = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{newer})")
+        self.split_newer = regex.compile(regex.sub(r" \?\\p\{([LN])\}\+", lambda m: rf" ?(?:(?!{newer})\p{{{m[1]}}})+", old))
         size = 1 + max([*vocab.values(), *self.special.values()])
         self.piece: list[bytes] = [b""] * size
         for token, i in vocab.items():
@@ -226,12 +239,13 @@ class Bpe:
 
     def cut(self, text: str) -> list[str]:
         """The words of a text; special tokens are words of their own."""
+        split = self.split if text.isascii() or not self.newer.search(text) else self.split_newer
         out, at = [], 0
         for m in self.special_cut.finditer(text):
-            out += self.split.findall(text[at : m.start()])
+            out += split.findall(text[at : m.start()])
             out.append(m[0])
             at = m.end()
-        return out + self.split.findall(text[at:]) if at else self.split.findall(text)
+        return out + split.findall(text[at:]) if at else split.findall(text)
 
     def encode_batch(self, texts: list[str]) -> list[str]:
         """The decimal ids of each text, joined by commas."""

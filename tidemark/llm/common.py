@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +34,8 @@ def scratch_root(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         root = _ours.setdefault(app, f"file:///tmp/tidemark-scratch-{os.getpid()}-{uuid.uuid4().hex[:8]}")
         spark.sparkContext.setCheckpointDir(root)
@@ -43,6 +48,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark
+    if (own := _scope.get()) is not None:
+        own.paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -68,18 +75,43 @@ def release(*frames: DataFrame) -> None:
             _delete(path)
 
 
-def scratch_now() -> set[str]:
-    """The scratch tables that are there."""
-    return set(_written)
+class Scope:
+    """The scratch tables that were written inside a scratch() block, and those of them that outlive it."""
 
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: set[str] = set()
 
-def drop_scratch(keep: set[str] = frozenset()) -> None:
-    """Delete all scratch tables but those in keep; frames that read them are no longer usable."""
-    for path in [p for p in _written if p not in keep]:
+    def keep(self, *frames: DataFrame) -> None:
+        self.kept |= {df._scratch_path for df in frames}
+
+
+_scope: ContextVar[Scope | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[Scope]:
+    """Delete at the end what materialize() wrote inside the block, in this thread, but for what was kept; frames that read the
+    deleted tables are no longer usable."""
+    outer, own = _scope.get(), Scope()
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+        for path in own.paths:
+            if path not in own.kept:
+                _delete(path)
+            elif outer is not None:
+                outer.paths.append(path)
+
+
+def _drop_all() -> None:
+    for path in list(_written):
         _delete(path)
 
 
-atexit.register(drop_scratch)
+atexit.register(_drop_all)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -2,12 +2,13 @@
 
 Features are hashed counts of one, two and three letters in a row (words set apart by one blank, case folded), of the whole
 text. All machines are linear without a threshold, so a text's verdict is a sum of weights over its letter runs, and long
-texts are summed in pieces. Learning takes at most sample_rows rows, spread evenly over the languages (those with the least
-hash of their id). Families are a table of the genus of common languages; a language outside it is a family of its own.
+texts are summed in pieces. Learning takes at most sample_rows rows (two of each language at least), spread evenly over the
+languages (those with the least hash of id and text), of at most max_languages languages. Families are a table of the genus of common languages; a language outside it is a family of its own.
 
 Cases: null texts and texts without a letter get "und" and score 0; without any labelled row every text gets "und"; one
-language only is predicted with score 1; null labels are not learned from; repeated rows give repeated results; other
-columns are ignored by the query; an empty table gives an empty result.
+language only is predicted with score 1; null labels are not learned from; rows that repeat id, text and label are learned
+from once, and null ids and different texts under one id are rows of their own; repeated rows give repeated results; other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, table
+from .common import crc_bucket, materialize, table
 
 BUCKETS = 1 << 15
 SAMPLE_ROWS = 6_000
+#: Languages to learn, the most frequent ones; a bound on the model, 128 kB for each.
+MAX_LANGUAGES = 1_000
+PARTS = 256
 SEED = 113
 PIECE = 1_000_000
 
@@ -88,23 +92,32 @@ def machine(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int =
     return w
 
 
-def learn(docs: DataFrame, keep: Column, sample_rows: int = SAMPLE_ROWS) -> dict:
+def learn(docs: DataFrame, keep: Column, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> dict:
     """A model from docs (doc_id, text, lang) among rows for which keep holds."""
     rows = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(400).collect())
-    if not langs:
+    order = F.xxhash64(F.lit(SEED), "doc_id", "text")
+    thin = materialize(rows.select("lang", order.alias("o")), "language-rows")
+    counts = thin.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    if not counts:
         return {"langs": []}
-    each = max(2, sample_rows // len(langs))
-    place = Window.partitionBy("lang").orderBy("_o", "doc_id")
-    picked = rows.select("doc_id", "lang", F.xxhash64(F.lit(SEED), "doc_id").alias("_o")).withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= each).select(F.col("doc_id").alias("_id"))
-    sample = rows.select("doc_id", "text", "lang").join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("_id")))
+    each = max(2, sample_rows // len(counts))
+    # Equal rows share their order and are learned from once. The least of each language: first of some hundred parts of the
+    # order, which no hot language leaves in one task, then of what these leave; only what lies under that cut is read again.
+    known = thin.join(F.broadcast(thin.sparkSession.createDataFrame([(r["lang"],) for r in counts], "lang string")), "lang").distinct()
+    part = known.withColumn("part", F.pmod("o", F.lit(PARTS)))
+    some = part.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy("o"))).where(F.col("n") <= each)
+    least = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o"))).where(F.col("n") <= each)
+    cuts = F.broadcast(least.groupBy("lang").agg(F.max("o").alias("_cut")).withColumnRenamed("lang", "_lang"))
+    sample = rows.withColumn("_o", order).join(cuts, F.col("lang") == F.col("_lang")).where(F.col("_o") <= F.col("_cut"))
+    # One of each order: rows that repeat id and text are one, however many there are, before anything comes to the driver.
+    sample = sample.select("text", "lang", "_o").dropDuplicates(["lang", "_o"])
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             got = [counted(t) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "lang": f["lang"], "at": [g[0] for g in got], "v": [g[1] for g in got]})
+            yield pd.DataFrame({"o": f["_o"], "lang": f["lang"], "at": [g[0] for g in got], "v": [g[1] for g in got]})
 
-    got = sample.select("doc_id", "text", "lang").mapInPandas(count, "doc_id long, lang string, at array<int>, v array<float>").toPandas().sort_values(["doc_id", "lang"])
+    got = sample.mapInPandas(count, "o long, lang string, at array<int>, v array<float>").toPandas().sort_values(["o", "lang"])
     x = [(np.asarray(a, np.int32), np.asarray(v, np.float32)) for a, v in zip(got["at"], got["v"], strict=True)]
     named = got["lang"].to_numpy()
     full = np.array([len(a) > 0 for a, _ in x])

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, drop_scratch, materialize, mix64, scratch_now, table
+from .common import WORD, materialize, mix64, scratch, table
 
 MIN_WORDS = 5
 
@@ -196,19 +196,22 @@ def _collect(min_words: int):
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the text cleaned and two columns more: _n_lines (with a word) and _n_removed."""
-    before = scratch_now()
-    gone = materialize(removals(docs, doc_id, text, min_words), "lines-gone")
-    drop_scratch(before | {gone._scratch_path})
+    """docs with the text cleaned and two columns more (replacing those of these names): _n_lines (with a word) and _n_removed."""
+    at = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    docs, doc_id, text = docs.toDF(*at.values()), at[doc_id], at[text]
+    with scratch() as own:
+        gone = materialize(removals(docs, doc_id, text, min_words), "lines-gone")
+        own.keep(gone)
     d, h = _key(doc_id, text)
-    joined = docs.withColumns({"_d": d, "_h": h}).join(gone, ["_d", "_h"], "left").drop("_d", "_h")
+    joined = docs.withColumns({"_d": d, "_h": h}).join(gone, ["_d", "_h"], "left")
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda x, i: ~F.coalesce(F.get("_drop", i), F.lit(False)))
     cleaned = F.array_join(kept, "\n")
     cleaned = F.when(F.col("_drop").isNull(), F.col(text)).when(F.rlike(cleaned, F.lit(WORD)), cleaned).otherwise("")
     n_lines = F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(WORD))))
     counts = {"_n_lines": F.coalesce(F.when(F.col(text).isNotNull(), n_lines), F.lit(0)).cast("long"), "_n_removed": F.coalesce("_n_removed", F.lit(0).cast("long"))}
-    return joined.withColumns(counts).withColumn(text, cleaned).drop("_drop")
+    joined = joined.withColumns(counts).withColumn(text, cleaned)
+    return joined.select(*[F.col(n).alias(c) for c, n in at.items() if c not in counts], *counts)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,25 @@
 
 1. Sizes per source give each source's target: its weighted share of the whole, at most max_epochs times its own size, the
    excess shared again by weight. This is one level for all sources: target = min(cap, level * weight).
-2. Documents fall into blocks of about block_docs by a hash of their id, so a block number is already a random place in a
-   permutation of the source and a hot source is spread over as many blocks as it needs. A source draws whole passes over all
-   of its blocks, then blocks in order up to the remainder; in the last one, documents are taken in hash order while they fit.
+2. Documents fall into blocks of about block_docs by a hash of id, text, source and, where rows repeat all three, a number
+   of the copy; so a block number is already a random place in a permutation of the source and a hot source or a group of
+   copies is spread over as many blocks as it needs. A source draws whole passes over all of its blocks, then blocks in order
+   up to the remainder; in the last one, documents are taken in hash order while they fit, and what is still free is filled
+   with the largest documents of the later blocks that fit.
 3. The drawn blocks of each source are its quota. The quotas are split among output shards by a binary tree: each node deals
    its quotas to its two halves by a multivariate hypergeometric draw (one source after another), exactly conserving them.
 4. Consecutive drawn blocks of a source go to the shards in order of its leaf quotas; a document's copy is placed in its
    shard by a hash, which is the local shuffle.
 
-Only tables of sources, of blocks (one row for some hundred documents) and of the last block of each source are aggregated;
-texts are never moved to decide what to take.
+Texts are read once for a thin table (hash, size, source) that decides what to take, and once for the result. Of the thin
+table only sources, blocks (one row for some hundred documents) and the last block of each source are aggregated; texts are
+never moved to decide.
 
-Cases: null text has size 0; the null source is a source of its own and comes last; sources without words have target 0;
-repeated rows and ids are separate documents with equal draws; an empty table gives an empty result.
+Cases: null and empty texts have size 0 and are never taken; the null source is a source of its own and comes last; sources
+without words have target 0; repeated rows, null ids and different texts under one id are separate documents, each drawn on
+its own (which of two equal rows is taken is not told apart); very long documents are taken where they fit; ties of hashes
+cannot be told apart either and are taken together; columns of the names that are added are replaced, and other names may
+clash with nothing inside; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -146,31 +152,69 @@ def _deal(draw, seed: int, level: int):
     return step
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, block_docs: int = BLOCK_DOCS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target, copies (how often the document is taken), taken (words), and shards (one per copy)."""
-    keyed = docs.withColumns({"size": n_words(text), "_source": F.col(source), "_h": F.xxhash64(F.lit(seed), F.col(doc_id))})
-    thin = keyed.select(F.col(doc_id).alias("_id"), "size", "_source", "_h")
+ADDED = ["size", "source_size", "target", "copies", "taken", "shards"]
+#: Documents of later blocks that may fill what the last block leaves free; the largest that fit come first.
+FILL = 256
+
+
+def _numbered(rows: DataFrame, repeats: DataFrame | None) -> DataFrame:
+    """rows with _u, a hash of each row's own: its _h, or for rows that repeat a _h, that and a number of the copy."""
+    if repeats is None:
+        return rows.withColumn("_u", F.col("_h"))
+    marked = rows.join(repeats, F.col("_h") == F.col("_r"), "left")
+    again = marked.where("_r IS NOT NULL").drop("_r").withColumns({"_o": F.monotonically_increasing_id(), "_one": F.lit(1)})
+    again = _running(materialize(again, "mix-repeated"), "_h", "_o", "_one", 1 << 20)
+    again = again.withColumn("_u", F.when(F.col("_before") == 0, F.col("_h")).otherwise(F.xxhash64("_h", "_before"))).drop("_o", "_one", "_before")
+    return marked.where("_r IS NULL").drop("_r").withColumn("_u", F.col("_h")).unionByName(again)
+
+
+def _fold(items: Column, room: Column) -> Column:
+    """(room, ids): items (o, u, w) in order, each taken if its words w still fit."""
+    start = F.struct(room.alias("room"), F.array().cast("array<bigint>").alias("ids"))
+
+    def take(s, d):
+        fits = (d["w"] > 0) & (d["w"] <= s["room"])
+        return F.struct(F.when(fits, s["room"] - d["w"]).otherwise(s["room"]).alias("room"), F.when(fits, F.concat(s["ids"], F.array(d["u"]))).otherwise(s["ids"]).alias("ids"))
+
+    return F.aggregate(items, start, take)
+
+
+def _mixed(
+    docs: DataFrame, text: str, source: str, doc_id: str, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
+    block_docs: int = BLOCK_DOCS, shard_words: int = SHARD_WORDS, seed: int = SEED, sized: str | None = None,
+) -> DataFrame:
+    """mix() of docs whose column names clash with nothing here, with _u, the hash of each row's own."""
+    own = F.col(sized).cast("long") if sized else n_words(text)
+    keyed = docs.withColumns({"size": own, "_source": F.col(source), "_h": F.xxhash64(F.lit(seed), doc_id, text, source)})
+    thin = materialize(keyed.select("_h", "size", "_source"), "mix-thin")
+    repeats = materialize(thin.groupBy("_h").count().where("count > 1").select(F.col("_h").alias("_r")), "mix-repeats")
+    repeats = None if repeats.isEmpty() else repeats
     sizes = thin.groupBy("_source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, share, max_epochs, block_docs), "mix-sources")
     totals = targets.agg(F.count("*").alias("n"), F.sum("target").alias("words")).first()
     small = lambda df: F.broadcast(df) if totals["n"] <= BROADCAST_SOURCES else df
-    with_source = lambda df, cols: df.join(small(targets.select(F.col("_source").alias("_s"), *cols)), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    bucket = F.pmod("_h", F.col("_n_blocks")).cast("int")
-    thin = with_source(thin, ["_sidx", "_n_blocks"]).withColumn("_block", bucket)
+    of_source = small(targets.select(F.col("_source").alias("_s"), "_sidx", "_n_blocks"))
+    thin = _numbered(thin, repeats).join(of_source, F.col("_source").eqNullSafe(F.col("_s")))
+    bucket = F.pmod("_u", F.col("_n_blocks")).cast("int")
+    thin = thin.select("_sidx", "_u", "size", bucket.alias("_block"))
+    if repeats is not None:
+        thin = materialize(thin, "mix-numbered")
     blocks = materialize(thin.groupBy("_sidx", "_block").agg(F.sum("size").alias("words")), "mix-blocks")
-    # The block in which each source's remainder ends, and what of it fits.
+    # The block in which each source's remainder ends, what of it fits, and what fills the rest.
     reach = _running(blocks, "_sidx", "_block", "words").join(small(targets.select("_sidx", "_rest")), "_sidx")
     last = reach.where((F.col("_before") < F.col("_rest")) & (F.col("_rest") <= F.col("_before") + F.col("words")))
     last = last.select("_sidx", F.col("_block").alias("_last"), (F.col("_rest") - F.col("_before")).alias("_room"))
+    item = F.struct(F.xxhash64(F.lit(seed + 1), "_u").alias("o"), F.col("_u").alias("u"), F.col("size").alias("w"))
     inside = thin.join(small(last), "_sidx").where(F.col("_block") == F.col("_last"))
-    lists = inside.groupBy("_sidx", "_last", "_room").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 1), "_id").alias("o"), F.col("_id").alias("i"), F.col("size").alias("w")))).alias("_d"))
-    start = F.struct(F.col("_room").alias("room"), F.array().cast("array<bigint>").alias("ids"))
-
-    def take(s, d):
-        fits = (d["w"] > 0) & (d["w"] <= s["room"])
-        return F.struct(F.when(fits, s["room"] - d["w"]).otherwise(s["room"]).alias("room"), F.when(fits, F.concat(s["ids"], F.array(d["i"].cast("long")))).otherwise(s["ids"]).alias("ids"))
-
-    picked = lists.select("_sidx", "_last", F.aggregate("_d", start, take, lambda s: s["ids"]).alias("_ids"))
+    lists = inside.groupBy("_sidx", "_last", "_room").agg(F.sort_array(F.collect_list(item)).alias("_d"))
+    picked = materialize(lists.select("_sidx", "_last", _fold(F.col("_d"), F.col("_room")).alias("_got")), "mix-last")
+    later = thin.join(small(picked.select("_sidx", "_last", F.col("_got.room").alias("_room"))), "_sidx").where((F.col("_block") > F.col("_last")) & F.col("size").between(1, F.col("_room")))
+    largest = Window.partitionBy("_sidx").orderBy(F.desc("size"), "_u")
+    later = later.withColumn("_n", F.row_number().over(largest)).where(F.col("_n") <= FILL)
+    ordered = F.sort_array(F.collect_list(F.struct("_n", F.col("_u").alias("u"), F.col("size").alias("w"))))
+    fill = later.groupBy("_sidx", "_room").agg(ordered.alias("_d")).select("_sidx", _fold(F.col("_d"), F.col("_room"))["ids"].alias("_fill"))
+    ids = F.concat(F.col("_got.ids"), F.coalesce("_fill", F.array().cast("array<bigint>")))
+    picked = picked.join(small(fill), "_sidx", "left").select("_sidx", "_last", ids.alias("_ids"))
     plan = targets.join(small(picked), "_sidx", "left").withColumn("_last", F.coalesce("_last", F.when(F.col("_rest") > 0, F.col("_n_blocks")).otherwise(F.lit(-1))))
     plan = materialize(plan, "mix-plan")
     # Shards: leaf quotas as runs over each source's drawn blocks (pass after pass, then the remainder's).
@@ -181,26 +225,41 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     runs = _running(leaves, "_sidx", "_shard", "quota").where("quota > 0")
     drawn = runs.select("_sidx", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("quota") - 1)).alias("_rank"), "_shard")
     drawn = drawn.join(small(plan.select("_sidx", "_n_blocks")), "_sidx")
-    drawn = drawn.groupBy("_sidx", F.pmod("_rank", "_n_blocks").cast("int").alias("_block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", F.col("_shard").cast("int").alias("s")))), lambda x: x["s"]).alias("_shards"))
-    out = keyed.join(small(plan.select(F.col("_source").alias("_s"), "_sidx", "source_size", "target", "_passes", "_n_blocks", "_last", "_ids")), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_block", bucket)
-    in_last = (F.col("_block") == F.col("_last")) & F.coalesce(F.array_contains("_ids", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62)))), F.lit(False))
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("_passes") + ((F.col("_block") < F.col("_last")) | in_last).cast("int")).cast("int")
+    in_order = F.sort_array(F.collect_list(F.struct("_rank", F.col("_shard").cast("int").alias("s"))))
+    drawn = drawn.groupBy("_sidx", F.pmod("_rank", "_n_blocks").cast("int").alias("_block")).agg(F.transform(in_order, lambda x: x["s"]).alias("_shards"))
+    of_source = small(plan.select(F.col("_source").alias("_s"), "_sidx", "source_size", "target", "_passes", "_n_blocks", "_last", "_ids"))
+    out = _numbered(keyed, repeats).join(of_source, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_block", bucket)
+    chosen = (F.col("_block") >= F.col("_last")) & F.coalesce(F.array_contains("_ids", F.col("_u")), F.lit(False))
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("_passes") + ((F.col("_block") < F.col("_last")) | chosen).cast("int")).cast("int")
     out = out.withColumn("copies", copies).join(drawn, ["_sidx", "_block"], "left")
-    out = out.withColumn("shards", F.slice(F.coalesce("_shards", F.array().cast("array<int>")), F.lit(1), F.col("copies"))).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("_source", "_h", "_s", "_sidx", "_passes", "_n_blocks", "_last", "_ids", "_block", "_shards")
+    # A document that fills the rest lies in a block that is not drawn again: it goes to a shard by its hash.
+    extra = F.array(F.pmod("_u", F.lit(1 << levels)).cast("int"))
+    held = F.slice(F.concat(F.coalesce("_shards", F.array().cast("array<int>")), extra), F.lit(1), F.col("copies"))
+    out = out.withColumn("shards", held).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(*docs.columns, *ADDED, "_u")
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", sized: str | None = None, **settings) -> DataFrame:
+    """docs with size, source_size, target, copies (how often the document is taken), taken (words), and shards (one per copy).
+
+    sized: a column of sizes, where they are known; text may then be a fingerprint of the text. settings: weights of the
+    sources in order, share of all words, max_epochs, block_docs, shard_words, seed.
+    """
+    at = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    out = _mixed(docs.toDF(*at.values()), at[text], at[source], at[doc_id], sized=sized and at[sized], **settings)
+    return out.select(*[F.col(n).alias(c) for c, n in at.items() if c not in ADDED], *ADDED)
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **settings) -> DataFrame:
     """The documents of the mix, as often as they are taken, dealt to their shards and shuffled inside each."""
-    columns = docs.columns
-    named = docs.toDF(*[f"d_{i}" for i in range(len(columns))])
-    at = {c: f"d_{i}" for i, c in enumerate(columns)}
-    out = mix(named, at["text"], at["source"], at["doc_id"], **settings)
-    out = out.withColumn("_shard", F.explode("shards")).withColumn("_place", F.xxhash64(F.lit(SEED + 2), "_shard", at["doc_id"]))
-    return out.repartition("_shard").sortWithinPartitions("_shard", "_place").select([F.col(at[c]).alias(c) for c in columns])
+    at = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    out = _mixed(docs.toDF(*at.values()), at[text], at[source], at[doc_id], **settings)
+    out = out.withColumn("_shard", F.explode("shards")).withColumn("_place", F.xxhash64(F.lit(SEED + 2), "_shard", "_u"))
+    return out.repartition("_shard").sortWithinPartitions("_shard", "_place").select([F.col(n).alias(c) for c, n in at.items()])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    docs = table(spark, sf_dir, "documents")
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("text"), n_words().alias("words"))
+    return mix(materialize(thin, "mix-sizes"), sized="words").select("doc_id", "size", "source_size", "target", "taken", "shards")

@@ -1,16 +1,16 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
 1. Each text becomes the set of its word shingles (64-bit fingerprints). Texts with equal sets are one node from here on.
-2. Nodes meet by pigeonhole: a linked pair differs in at most 2/19 of the larger size (for 0.9), so if shingles are hashed
-   into more groups than that, some group is the same in both. Each node emits keys of its groups' contents in its size class
-   (and in those above, as far as a linked set can lie there), just as many as are needed to share one. This loses no link.
-   98 of 100 keys are met by nobody, so keys travel packed (seven bytes: a part of the key, and whose it is), once from each
-   worker's flush of a million keys, however many of its documents share them.
-3. Nodes that share keys form coarse components (all links lie inside them). Each is searched where it lies: shingles are
-   hashed into groups, the group counts are points in an R-tree, the overlap of a point and a box is at most the sum of the
-   coordinate minima, and only pairs whose bound reaches the needed overlap are verified on the sets. A pair already
-   connected by found links is not looked at again. Components too large for one task are cut into chunks, and each pair of
-   chunks is searched on its own; their links are joined by distributed components.
+2. Nodes meet by prefixes: of two linked sets, each holds most of the other, so their first shingles in one order of all
+   shingles, as many as can be missing and one more, share one. Common shingles come last in that order. This loses no link.
+   Most keys are met by nobody, so keys travel packed (seven bytes: a part of the key, and whose it is), and a key that many
+   documents share is one row for each worker's flush of a million keys.
+3. Shingles are hashed into groups, and the group counts are points; the overlap of two points is at most the sum of the
+   coordinate minima. Where few nodes share a key, pairs are kept only if that bound reaches the needed overlap; where many do,
+   they are tied together. What hangs together so is a coarse component (all links lie inside one), and is searched: its
+   points are packed into an R-tree, whose boxes have the same bound, and only surviving pairs are verified on the sets. A pair
+   already connected by found links is not looked at again. Components too large for one task are split by size class, and
+   where that is not enough into chunks, each pair of which is searched; their links are joined by distributed components.
 
 Cases: null and empty texts have the empty set and are linked with nothing; texts with fewer words than a shingle count as
 one shingle; repeated rows and ids are linked like any equal texts (one row each is returned), and different texts under one
@@ -20,9 +20,7 @@ texts are read whole; other columns are ignored, whatever their names; an empty
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,10 +37,15 @@ from .components import components
 #: Coordinates of the count vectors.
 GROUPS = 32
 LEAF = 32
-#: Shingles of a coarse component that one task takes; larger ones are searched chunk by chunk.
-TASK_SHINGLES = 400_000
-#: Keys that a worker gathers before it sends them off.
+#: Shingles of a group that one task takes; larger ones are split.
+TASK_SHINGLES = 4_000_000
+#: Texts that share a key and are paired each with each at most; more are only tied together, and searched.
+SMALL = 8
+#: Common shingles that are put last among keys at most (16 bytes each in every worker).
+COMMON = 4_000_000
+#: Keys that a worker gathers before it sends them off, and the flag of a place whose group is larger than SMALL.
 FLUSH_KEYS = 1_000_000
+FLAG = 1 << 15
 #: Bytes of a packed key: five of the key, two of the place in the flush.
 PACKED = 7
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -54,93 +57,126 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(window_hashes(words, min(k, len(words)))) if len(words) else words
 
 
-def size_bounds(most: int) -> np.ndarray:
-    """First sizes of the size classes: one by one up to 8, then a quarter more each."""
-    bounds = [1]
-    while bounds[-1] <= most:
-        bounds.append(max(bounds[-1] + 1, bounds[-1] * 5 // 4))
-    return np.array(bounds)
+def keys(shingles: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
+    """The keys of a set for links with 100 * intersection >= percent * union: its first shingles in one order of all shingles.
 
+    Linked sets share percent of each at least, so among the first n - percent * n / 100 + 1 of each there is a shared one,
+    whatever the order is, if it is the same for all. Here those counted and found rare come first, those not counted next,
+    and the common ones last, the most common at the end: stock phrases bring nobody together who has enough of their own.
+    """
+    n = len(shingles)
+    need = n + 1 - -(-percent * n // 100)
+    mixed = mix64(shingles ^ _ODD)
+    if need >= n:
+        return mixed
+    counted = _counted(mixed, percent)
+    if not len(common[0]):
+        often, at = np.zeros(n, dtype=bool), np.zeros(n, np.int64)
+    else:
+        short = mixed >> np.uint64(24 - bits)
+        at = np.minimum(np.searchsorted(common[0], short), len(common[0]) - 1)
+        often = counted & (common[0][at] == short)
+    out = []
+    for part in (mixed[counted & ~often], mixed[~counted]):
+        if len(part) > need:
+            part = np.partition(part, need - 1)[:need]
+        out.append(part)
+        need -= len(part)
+    if need:
+        out.append(mixed[often][np.lexsort((mixed[often], common[1][at[often]]))][:need])
+    return np.concatenate(out)
 
-@lru_cache(maxsize=4096)
-def _groups(most: int, differ: int) -> int:
-    """Into how many groups sets of a size class are hashed: so many that more stay non-empty than can differ, with a margin
-    of three deviations."""
-    for m in range(differ + 2, max(most, differ + 2) + 1):
-        empty = m * math.exp(-most / m)
-        if m - empty - 3 * math.sqrt(empty) >= differ + 1:
-            return m
-    return differ + 2
 
+def _counted(mixed: np.ndarray, percent: int) -> np.ndarray:
+    """Which shingles are counted: half as many again as a set has keys, in every set; only the order of keys hangs on it."""
+    return (mixed & np.uint64(0xFFFF)) < np.uint64(min(65536, (100 - percent) * 983 + 655))
 
-def keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """The pigeonhole keys of a set for links with 100 * intersection >= percent * union.
 
-    In a size class, linked sets differ in at most so many groups; of the keys of its non-empty groups, in the order of their
-    hashes, each set emits one more than that, which is enough to share one. A set with too few non-empty groups emits all
-    of its groups, the empty ones too.
-    """
-    n = len(shingles)
-    if not n:
-        return np.empty(0, np.uint64)
-    bounds = size_bounds(100 * n // percent + 1)
-    c = int(np.searchsorted(bounds, n, side="right")) - 1
-    classes = [c, *(x for x in range(c + 1, len(bounds) - 1) if 100 * n >= percent * bounds[x])]
-    out = []
-    for c in classes:
-        most = int(bounds[c + 1] - 1)
-        widest = 2 * most * (100 - percent) // (100 + percent)
-        if widest < 1:
-            continue  # equal sets only
-        differ = (n + min(most, 100 * n // percent)) * (100 - percent) // (100 + percent)
-        m = _groups(most, widest)
-        salt = np.uint64((c + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        mixed = mix64(shingles ^ salt)
-        group = (mixed >> np.uint64(33)) % np.uint64(m)
-        order = np.argsort(group, kind="stable")
-        sorted_group = group[order].astype(np.int64)
-        starts = np.flatnonzero(np.diff(sorted_group, prepend=-1))
-        sums = np.add.reduceat(mix64(mixed[order] * _ODD), starts)
-        sizes = np.diff(np.append(starts, n)).astype(np.uint64)
-        own = mix64(sums + mix64(sorted_group[starts].astype(np.uint64) * _ODD + sizes) + salt)
-        if len(own) > differ:
-            out.append(np.sort(own)[: differ + 1])
-        else:
-            empty = np.setdiff1d(np.arange(m), sorted_group[starts]).astype(np.uint64)
-            out += [own, mix64(mix64(empty * _ODD) + salt + np.uint64(1))]
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def _blobs(held: list[np.ndarray], nodes: list[int], flush: int, bits: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, bytes]]]:
-    """Pre-aggregate the keys of a worker's nodes: ties among its own nodes, and each key once, as packed rows by bucket.
-
-    The first bits of a key are its bucket; of the rest 40 bits are packed, with the node's place in the flush.
-    """
-    key = np.concatenate(held)
-    spot = np.repeat(np.arange(len(held), dtype=np.int64), [len(x) for x in held])
-    order = np.argsort(key, kind="stable")
-    key, spot = key[order], spot[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    first = np.flatnonzero(new)
-    centre = spot[first][np.cumsum(new) - 1]
-    ties = np.unique((centre << 16 | spot)[centre != spot])
-    node = np.array(nodes, np.int64)
-    key, spot = key[first], spot[first]
+def _cut(key: np.ndarray, bits: int, extra: np.ndarray) -> list[tuple[int, bytes]]:
+    """Sorted keys as (bucket, packed rows): the first bits of a key are its bucket, the next 40 are packed, then the extra bytes."""
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
-    packed = np.empty((len(key), PACKED), np.uint8)
-    packed[:, :5] = (key >> np.uint64(24 - bits)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    packed[:, 5:] = spot.astype("<u2").view(np.uint8).reshape(-1, 2)
+    packed = np.concatenate([(key >> np.uint64(24 - bits)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], extra], axis=1)
     starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-    rows = [(int(bucket[s]), flush, packed[s:e].tobytes()) for s, e in zip(starts, [*starts[1:], len(key)], strict=True)]
-    return node[ties >> 16], node[ties & 0xFFFF], rows
+    return [(int(bucket[s]), packed[s:e].tobytes()) for s, e in zip(starts, [*starts[1:], len(key)], strict=True)]
+
+
+def _open(bucket: np.ndarray, data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed rows: bucket and key in one number, the row each came from, and the extra bytes."""
+    raw = np.frombuffer(b"".join(data), np.uint8).reshape(-1, width)
+    row = np.repeat(np.arange(len(data)), np.fromiter(map(len, data), np.int64, len(data)) // width)
+    low = np.zeros((len(raw), 8), np.uint8)
+    low[:, :5] = raw[:, :5]
+    return bucket.astype(np.uint64)[row] << np.uint64(40) | low.view("<u8").ravel(), row, raw[:, 5:]
+
+
+def _by_bucket(work):
+    """A function over frames sorted by bucket that hands work whole buckets, many at once, across batch borders."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for f in frames:
+            if not len(f):
+                continue
+            bucket = f["bucket"].to_numpy()
+            cut = int(np.searchsorted(bucket, bucket[-1]))
+            if cut:
+                yield work(pd.concat([*held, f.iloc[:cut]]))
+                held = []
+            held.append(f.iloc[cut:])
+        if held:
+            yield work(pd.concat(held))
+
+    return run
+
+
+def common_shingles(docs: DataFrame, k: int, percent: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counted shingles that more than SMALL texts hold (shortened), in order, with their counts; the COMMON most common at most.
+    Only the order of keys hangs on them, no result."""
+
+    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
+        size = 0
+
+        def flushed() -> pd.DataFrame:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame(_cut(key, bits, np.minimum(n, 255).astype(np.uint8)[:, None]), columns=["bucket", "keys"])
+
+        for f in frames:
+            for text in f["text"]:
+                s = shingle_set(text, k)
+                if len(s) and (own := _node(s)) not in seen:
+                    seen.add(own)
+                    mixed = mix64(s ^ _ODD)
+                    held.append(mixed[_counted(mixed, percent)])
+                    size += len(held[-1])
+            if size > FLUSH_KEYS:
+                yield flushed()
+                held, size, seen = [], 0, set()
+        if size:
+            yield flushed()
+
+    def count(f: pd.DataFrame) -> pd.DataFrame:
+        key, _, n = _open(f["bucket"].to_numpy(np.int64), f["keys"].tolist(), 6)
+        value, at = np.unique(key, return_inverse=True)
+        total = np.bincount(at, n.ravel(), len(value)).astype(np.int64)
+        return pd.DataFrame({"s": value[total > SMALL].view(np.int64), "n": total[total > SMALL]})
+
+    packed = docs.select("text").mapInPandas(gather, "bucket int, keys binary")
+    found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_by_bucket(count), "s long, n long")
+    got = found.orderBy(F.desc("n"), "s").limit(COMMON).toPandas().sort_values("s")
+    return got["s"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
 
 
-MARKS = "doc_id long, text_hash long, n_shingles long, node long, place long, other long, bucket int, keys binary"
+MARKS = "doc_id long, text_hash long, n_shingles long, node long, place long, vector binary, other long, bucket int, keys binary"
 
 
-def marks(docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
-    """From docs (doc_id, text, text_hash) in one scan: a row for each document (its set's size and fingerprint, and the place
-    of its node in the worker's flush), ties (node, other) of nodes that meet in one worker, and packed keys by bucket."""
+def marks(docs: DataFrame, k: int, percent: int, bits: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """From docs (doc_id, text, text_hash) in one scan: a row for each document (its set's size and fingerprint, and for the
+    first of a node in the worker's flush its place there and count vector), ties (node, other) of large groups of nodes that
+    share a key in one flush, and packed keys by bucket. A key comes with the places of all its nodes in the flush, or where
+    they are more than SMALL with one of them and a flag."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # bounded by COMMON
     schema = T._parse_datatype_string(MARKS)
     arrow = to_arrow_schema(schema)
 
@@ -154,31 +190,44 @@ def marks(docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
         flush = (task.partitionId() if task else 0) << 24
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            a, b, rows = _blobs(held, list(seen), flush, bits)
-            if len(a):
-                yield batch(len(a), node=a, other=b)
+            key = np.concatenate(held)
+            spot = np.repeat(np.arange(len(held), dtype=np.int64), [len(x) for x in held])
+            order = np.argsort(key, kind="stable")
+            key, spot = key[order], spot[order]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            centre, large = np.repeat(spot[starts], sizes), np.repeat(sizes > SMALL, sizes)
+            ties = np.unique((centre << 16 | spot)[large & (centre != spot)])
+            if len(ties):
+                node = np.array(list(seen), np.int64)
+                yield batch(len(ties), node=node[ties >> 16], other=node[ties & 0xFFFF])
+            kept = ~large
+            kept[starts] = True
+            spot = np.where(large, spot | FLAG, spot)[kept]
+            rows = _cut(key[kept], bits, spot.astype("<u2").view(np.uint8).reshape(-1, 2))
             for at in range(0, len(rows), 4096):
                 part = rows[at : at + 4096]
-                yield batch(len(part), bucket=[r[0] for r in part], place=[r[1] for r in part], keys=[r[2] for r in part])
+                yield batch(len(part), bucket=[r[0] for r in part], place=[flush] * len(part), keys=[r[1] for r in part])
 
         size = 0
         for got in batches:
-            ids, hashes = got.column("doc_id"), got.column("text_hash")
-            n, node, place = [], [], []
+            n, node, place, vector = [], [], [], []
             for text in got.column("text").to_pylist():
                 s = shingle_set(text, k)
                 own = _node(s)
-                if len(s) and own not in seen:
-                    if size > FLUSH_KEYS or len(seen) > 0xFFFF:
+                first = bool(len(s)) and own not in seen
+                if first:
+                    if size > FLUSH_KEYS or len(seen) >= FLAG:
                         yield from flushed()
                         held, seen, size, flush = [], {}, 0, flush + 1
                     seen[own] = len(seen)
-                    held.append(keys(s, percent))
+                    held.append(keys(s, percent, shared.value, bits))
                     size += len(held[-1])
                 n.append(len(s))
                 node.append(own)
-                place.append(flush << 16 | seen[own] if len(s) else None)
-            yield batch(len(n), doc_id=ids, text_hash=hashes, n_shingles=n, node=node, place=place)
+                place.append(flush << 16 | seen[own] if first else None)
+                vector.append(count_vector(s).tobytes() if first else None)
+            yield batch(len(n), doc_id=got.column("doc_id"), text_hash=got.column("text_hash"), n_shingles=n, node=node, place=place, vector=vector)
         if size:
             yield from flushed()
 
@@ -186,39 +235,40 @@ def marks(docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
 
 
 def meetings(packed: DataFrame) -> DataFrame:
-    """Edges (a, b) between places of different flushes that share a key, from packed keys (bucket, place, keys).
+    """Edges (a, b, loose) between places that share a key, from packed keys (bucket, place, keys): each with each where they are
+    few (SMALL at most), and else each with the first, which is loose: it says only that they may be linked with each other."""
 
-    A key comes once from each flush, so however many documents share it, it is a row for some million keys of input."""
-
-    def tied(bucket: np.ndarray, flush: np.ndarray, data: list[bytes]) -> pd.DataFrame:
-        raw = np.frombuffer(b"".join(data), np.uint8).reshape(-1, PACKED)
-        sizes = np.fromiter(map(len, data), np.int64, len(data)) // PACKED
-        low = np.zeros((len(raw), 8), np.uint8)
-        low[:, :5] = raw[:, :5]
-        key = np.repeat(bucket.astype(np.uint64) << np.uint64(40), sizes) | low.view("<u8").ravel()
-        place = np.repeat(flush << 16, sizes) | raw[:, 5:].copy().view("<u2").ravel().astype(np.int64)
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        key, row, extra = _open(f["bucket"].to_numpy(np.int64), f["keys"].tolist(), PACKED)
+        spot = np.ascontiguousarray(extra).view("<u2").ravel().astype(np.int64)
+        place = (f["place"].to_numpy(np.int64) << 16)[row] | spot & (FLAG - 1)
         order = np.argsort(key, kind="stable")
-        key, place = key[order], place[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        centre = place[np.flatnonzero(new)][np.cumsum(new) - 1]
-        return pd.DataFrame({"a": centre[~new], "b": place[~new]}).drop_duplicates()
+        key, place, flagged = key[order], place[order], spot[order] >= FLAG
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        large = np.repeat((sizes > SMALL) | np.logical_or.reduceat(flagged, starts), sizes)
+        centre = np.repeat(place[starts], sizes)
+        star = large & (centre != place)
+        found = [pd.DataFrame({"a": centre[star], "b": place[star], "loose": True})]
+        for d in range(1, SMALL):
+            both = np.flatnonzero((key[d:] == key[:-d]) & ~large[d:])
+            found.append(pd.DataFrame({"a": place[both], "b": place[both + d], "loose": False}))
+        return pd.concat(found).drop_duplicates()
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_by_bucket(meet), "a long, b long, loose boolean")
+
+
+def _plausible(percent: int):
+    """Edges between nodes that are loose, or whose count vectors leave room for a link."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
         for f in frames:
-            if not len(f):
-                continue
-            bucket, flush, data = f["bucket"].to_numpy(np.int64), f["place"].to_numpy(np.int64), f["keys"].tolist()
-            cut = int(np.searchsorted(bucket, bucket[-1]))
-            if cut:
-                parts = [*held, (bucket[:cut], flush[:cut], data[:cut])]
-                yield tied(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), [d for p in parts for d in p[2]])
-                held = []
-            held.append((bucket[cut:], flush[cut:], data[cut:]))
-        if held:
-            yield tied(np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held]), [d for p in held for d in p[2]])
+            if len(f):
+                x, y = (np.frombuffer(b"".join(f[c]), np.int32).reshape(-1, GROUPS) for c in ("a_vector", "b_vector"))
+                room = np.minimum(x, y).sum(axis=1, dtype=np.int64) * (100 + percent) >= percent * (x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64))
+                yield f.loc[f["loose"].to_numpy(bool) | room, ["a_node", "b_node"]].rename(columns={"a_node": "a", "b_node": "b"}).drop_duplicates()
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "a long, b long")
+    return run
 
 
 class Tree:
@@ -261,8 +311,9 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((mix64(shingles * _ODD) >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
-def links(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the link graph of these sets. sides: only pairs with different sides are looked for."""
+def links(sets: list[np.ndarray], percent: int, chunk: np.ndarray | None = None, above: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the link graph of these sets. chunk: only pairs of different chunks are looked for; above: no pair of
+    two of these is."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     root = np.arange(n)
@@ -278,8 +329,10 @@ def links(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None)
     for q in range(n):
         near = tree.near(count_vector(sets[q]), int(sizes[q]), percent) if tree else np.arange(n)
         near = near[near > q]
-        if sides is not None:
-            near = near[sides[near] != sides[q]]
+        if chunk is not None:
+            near = near[chunk[near] != chunk[q]]
+        if above is not None and above[q]:
+            near = near[~above[near]]
         if not len(near):
             continue
         own = find(q)
@@ -325,19 +378,44 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return joined.mapInPandas(run, "coarse long, node long, n long, bytes binary")
 
 
-def _search(percent: int, chunked: bool):
+def _search(percent: int):
     """Links of one group of rows, as edges between nodes."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.drop_duplicates("node").sort_values("node")
         sets = [np.frombuffer(b, np.uint64) for b in f["bytes"]]
-        sides = f["chunk"].to_numpy() if chunked and f["chunk"].nunique() > 1 else None
+        chunk = f["chunk"].to_numpy() if f["chunk"].nunique() > 1 else None
         nodes = f["node"].to_numpy()
-        return pd.DataFrame([(nodes[a], nodes[b]) for a, b in links(sets, percent, sides)], columns=["a", "b"]).astype(np.int64)
+        return pd.DataFrame([(nodes[a], nodes[b]) for a, b in links(sets, percent, chunk, f["above"].to_numpy(bool))], columns=["a", "b"]).astype(np.int64)
 
     return run
 
 
+def _found(sets: DataFrame, wanted: DataFrame, percent: int, task_shingles: int) -> DataFrame:
+    """Links inside the coarse components, as edges.
+
+    A component that a task can hold is one group. Of larger ones, each size class is a group, with the class above it (linked
+    sets are of one class or of neighbouring ones). A class that is still too large is cut into chunks, and each pair of chunks
+    is a group.
+    """
+    same = {"chunk": F.lit(0), "above": F.lit(False)}
+    weights = wanted.groupBy("coarse").agg(F.sum("n").alias("total"))
+    sized = sets.join(weights, "coarse")
+    small = sized.where(F.col("total") <= task_shingles).withColumns(same).groupBy("coarse").applyInPandas(_search(percent), "a long, b long")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(max(100 / percent, 1.001))) + 1e-9).cast("int")
+    classes = F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("above")), F.struct((band - 1).alias("band"), F.lit(True).alias("above"))))
+    split = lambda df: df.join(weights, "coarse").where(F.col("total") > task_shingles).withColumn("_b", classes).select(*df.columns, "_b.band", "_b.above")
+    heavy = split(wanted.select("coarse", "n")).groupBy("coarse", "band").agg(F.sum("n").alias("held"))
+    banded = split(sets).join(heavy, ["coarse", "band"])
+    middle = banded.where(F.col("held") <= task_shingles).withColumn("chunk", F.lit(0)).groupBy("coarse", "band").applyInPandas(_search(percent), "a long, b long")
+    chunks = F.ceil(F.col("held") / F.lit(max(1, task_shingles // 2))).cast("int")
+    large = banded.where(F.col("held") > task_shingles).withColumn("_c", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), "_c").cast("int"))
+    large = large.select("coarse", "band", "above", "node", "bytes", "chunk", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)).alias("o"))
+    large = large.withColumn("pair", F.struct(F.least("chunk", "o").alias("x"), F.greatest("chunk", "o").alias("y")))
+    large = large.groupBy("coarse", "band", "pair").applyInPandas(_search(percent), "a long, b long")
+    return small.union(middle).union(large)
+
+
 def similar(docs: DataFrame, k: int = 3, percent: int = 90, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (least doc_id reachable by links) and component (a number of the component,
     of every row with a word) for docs (doc_id, text). percent is the least similarity of a link, 1 to 100."""
@@ -345,34 +423,25 @@ def similar(docs: DataFrame, k: int = 3, percent: int = 90, task_shingles: int =
         raise ValueError("similarity must be 1 to 100 percent, and shingles of a word or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
     bits = max(6, min(18, (docs.count() >> 6).bit_length()))
-    found = materialize(marks(docs, k, percent, bits), "ngram-marks")
-    slim = found.where("n_shingles IS NOT NULL").select("doc_id", "text_hash", "n_shingles", "node", "place")
-    met = materialize(meetings(found.where("keys IS NOT NULL").select("bucket", "place", "keys")), "ngram-meetings")
-    slim = materialize(slim, "ngram-documents")
-    ties = materialize(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), "ngram-ties")
+    found = materialize(marks(docs, k, percent, bits, common_shingles(docs, k, percent, bits)), "ngram-marks")
+    documents = found.where("n_shingles IS NOT NULL")
+    slim = materialize(documents.select("doc_id", "text_hash", "n_shingles", "node"), "ngram-documents")
+    # Joins whose small side grows with the corpus are merge joins at every size, so that plans and costs do not jump.
+    places = documents.where("place IS NOT NULL")
+    at = lambda side: places.select(F.col("place").alias(side), F.col("node").alias(f"{side}_node"), F.col("n_shingles").alias(f"{side}_n"), F.col("vector").alias(f"{side}_vector")).hint("merge")
+    met = meetings(found.where("keys IS NOT NULL").select("bucket", "place", "keys")).distinct()
+    met = met.join(at("a"), "a").join(at("b"), "b").where(F.col("loose") | (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")))
+    met = met.select("a_node", "b_node", "loose", "a_vector", "b_vector").mapInPandas(_plausible(percent), "a long, b long")
+    ties = found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    coarse = components(met.union(ties), "ngram-coarse").select("node", F.col("root").alias("coarse"))
     release(found)
     # One row of each node has its set read; copies have none.
     some = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("_first")
     owners = slim.where("n_shingles > 0").groupBy("node").agg(some, F.first("n_shingles").alias("n"))
     owners = materialize(owners.select("node", F.col("_first.doc_id").alias("_id"), F.col("_first.text_hash").alias("_hash"), "n"), "ngram-nodes")
-    # Joins whose small side grows with the corpus are merge joins at every size, so that plans and costs do not jump.
-    at = lambda side: slim.where("place IS NOT NULL").select(F.col("place").alias(side), F.col("node").alias(f"{side}_node")).distinct().hint("merge")
-    far = met.join(at("a"), "a").join(at("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    coarse = components(far.union(ties), "ngram-coarse").select("node", F.col("root").alias("coarse"))
-    release(met, ties)
     wanted = materialize(owners.join(coarse, "node"), "ngram-wanted")
-    weights = wanted.groupBy("coarse").agg(F.sum("n").alias("total"))
     sets = materialize(_sets(docs, wanted.select("_id", "_hash", "node", "coarse"), k), "ngram-sets")
-    sized = sets.join(weights, "coarse")
-    small = sized.where(F.col("total") <= task_shingles).groupBy("coarse").applyInPandas(_search(percent, False), "a long, b long")
-    # Large components: chunks by hash, each pair of chunks (and each chunk with itself) one group.
-    chunks = F.ceil(F.col("total") / F.lit(task_shingles // 2)).cast("int")
-    big = sized.where(F.col("total") > task_shingles).withColumn("_c", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), "_c").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_c") - 1))
-    big = big.select("coarse", "node", "bytes", "chunk", other.alias("o"))
-    big = big.withColumn("pair", F.struct(F.least("chunk", "o").alias("x"), F.greatest("chunk", "o").alias("y")))
-    large = big.groupBy("coarse", "pair").applyInPandas(_search(percent, True), "a long, b long")
-    fine = components(small.union(large), "ngram-links")
+    fine = components(_found(sets, wanted, percent, task_shingles), "ngram-links")
     release(sets, wanted)
     names = owners.join(fine, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = names.groupBy("root").agg(F.min("_id").alias("component_id"))

@@ -11,8 +11,8 @@ of letters undone. Features: densities and peaks of the lexicon, the share of le
 punctuation, and rates of obfuscated words. Scoring is one scan without a shuffle.
 
 Cases: null and empty texts get the features of a text without words, hence a score; labels that are null are not learned
-from; with no labelled rows, or one class only, every score is that class's share (0 without any); very long texts are scored
-whole in pieces; repeated rows give repeated results; other columns are ignored by the query; empty tables give an empty result.
+from, and an id with both labels counts as toxic; with no labelled rows, or one class only, every score is that class's share
+(0 without any); very long texts are scored whole; repeated rows give repeated results; other columns are ignored by the query; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -202,7 +202,7 @@ def isotonic(f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample_rows: int = SAMPLE_ROWS, lexicon: int = LEXICON) -> dict:
     """A model from docs (doc_id, text) and labels (doc_id, toxic) among labels for which keep holds."""
     chosen = labels.where(keep & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y"))
-    chosen = chosen.dropDuplicates(["_id"]).withColumn("_o", F.xxhash64(F.lit(SEED), "_id")).orderBy("_o", "_id").limit(sample_rows)
+    chosen = chosen.groupBy("_id").agg(F.max("_y").alias("_y")).withColumn("_o", F.xxhash64(F.lit(SEED), "_id")).orderBy("_o", "_id").limit(sample_rows)
     picked = chosen.select("_id", "_y", F.pmod("_o", F.lit(10)).alias("_part")).persist()
     try:
         sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
