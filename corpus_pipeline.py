@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from tidemark.llm.common import WORD, crc_bucket, drop_scratch, materialize, scratch_now, table
+from tidemark.llm.common import WORD, crc_bucket, materialize, release, scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near duplicates here: shingles of five words, similarity of 0.8 or more.
@@ -74,8 +74,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
-    before = scratch_now()
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        drop_scratch(before | {docs._scratch_path})  # what the stage wrote on its way, and the stage before
+        with scratch() as own:  # what the stage wrote on its way goes, and so does the stage before
+            done = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            own.keep(done)
+        release(docs)
+        docs = done
     return docs
