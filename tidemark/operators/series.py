@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import col, ratio
+from ..functions.exprs import clamp, col, normal_cdf, ratio
 
 
 def over(key: str, order: str):
@@ -65,6 +65,12 @@ def robust_z(df: DataFrame, x: str, out: str, key: str, order: str, n: int, leas
     return df.withColumn(out, F.when(size >= least, ratio(F.col(x) - F.col("_med"), 1.4826 * middle))).drop("_med", "_held")
 
 
+def robust_pct(df: DataFrame, x: str, out: str, key: str, order: str, n: int, least: int) -> DataFrame:
+    """The robust z as a percentile (0 to 100) by the normal law, cut at three deviations."""
+    df = robust_z(df, x, "_z", key, order, n, least)
+    return df.withColumn(out, 100 * normal_cdf(clamp("_z", -3.0, 3.0))).drop("_z")
+
+
 def rolling_rank(x: str, w, n: int, least: int) -> Column:
     """The percentile rank of x in its trailing frame, ties averaged."""
     held = F.collect_list(col(x)).over(w.rowsBetween(1 - n, 0))
