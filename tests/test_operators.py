@@ -137,3 +137,21 @@ def test_upsert(spark, tmp_path):
 def test_latest_of_few(spark, n):
     df = spark.createDataFrame([(1, i) for i in range(n)], "k int, t int")
     assert storage.latest(df, ["k"], ["t"]).count() == n
+
+
+def test_average_linkage_joins_the_nearest_first():
+    from tidemark.plans.linear import average_linkage
+
+    rho = np.array([[1, 0.9, 0.1, 0.0], [0.9, 1, 0.2, 0.1], [0.1, 0.2, 1, -0.8], [0.0, 0.1, -0.8, 1]])
+    assert average_linkage(rho, 0.5).tolist() == [0, 0, 1, 1] and average_linkage(rho, 0.05).tolist() == [0, 1, 2, 3] and average_linkage(rho, 2).tolist() == [0] * 4
+
+
+def test_regime_filter_gives_chances_and_minds_the_breaker():
+    from tidemark.plans.layers import CENTRES, regime_filter
+
+    rng = np.random.default_rng(1)
+    x = np.clip(CENTRES[np.repeat([0, 3, 0], 130)] + rng.normal(0, 8, (390, 5)), 0, 100)
+    x[350:353, 3] = 90
+    p = regime_filter(x, window=200)
+    assert np.isnan(p[:200]).all() and np.allclose(p[200:].sum(axis=1), 1) and (p[200:] >= 0).all()
+    assert (p[351, 2] + p[351, 3]) >= 0.7 - 1e-9 and p[220:250].argmax(axis=1).tolist().count(3) > 20

@@ -160,8 +160,8 @@ def trend_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.where("sma IS NOT NULL").select("asset", "d", F.when(F.col("close") > F.col("sma"), "BULL").otherwise("BEAR").alias("trend"), phase.alias("phase"))
 
 
-@query(f"""WITH {BARS_SQL}, y AS (SELECT b.asset, b.d, b.close, p.close AS past, p.d AS at FROM bars b ASOF JOIN bars p ON b.asset = p.asset AND b.d - INTERVAL 365 DAY >= p.d)
-SELECT asset, d, round(close / past - 1, 9) AS yoy FROM y WHERE date_diff('day', at, CAST(d - INTERVAL 365 DAY AS DATE)) < 10""", text=D)
+@query(f"""WITH {BARS_SQL}, y AS (SELECT b.asset, b.d, b.close, p.close AS past, p.d AS seen FROM bars b ASOF JOIN bars p ON b.asset = p.asset AND b.d - INTERVAL 365 DAY >= p.d)
+SELECT asset, d, round(close / past - 1, 9) AS yoy FROM y WHERE date_diff('day', seen, CAST(d - INTERVAL 365 DAY AS DATE)) < 10""", text=D)
 def yoy_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change over the last value known 365 days ago, not older than ten days then."""
     b = bars(spark, sf_dir).select("asset", "d", "close")
