@@ -59,6 +59,22 @@ def test_bpe_equals_the_library():
     assert [own.decode(bpe._ids(g)) for g in got] == texts
 
 
+def test_bpe_splits_every_character_like_the_library():
+    from tokenizers import pre_tokenizers
+
+    own, other = bpe.load(bpe.default_vocabulary()), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    for code in range(0x110000):
+        if not 0xD800 <= code < 0xE000:
+            text = f"a{chr(code)}1{chr(code)}! {chr(code)}{chr(code)} b"
+            assert ["".join(own.alphabet[b] for b in w.encode()) for w in own.cut(text)] == [w for w, _ in other.pre_tokenize_str(text)], hex(code)
+
+
+def test_bpe_one_text_of_several_megabytes(spark):
+    text = " ".join(WORDS[i * 7 % len(WORDS)] + str(i % 997) for i in range(400_000))
+    got = bpe.round_trip(frame(spark, [text])).first()
+    assert got.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and got.n_tokens > 400_000
+
+
 def test_bpe_pair_check_agrees_with_merging():
     b = bpe.load(bpe.default_vocabulary())
     rng = np.random.default_rng(1)
@@ -110,6 +126,12 @@ def test_line_dedup_against_definition(spark):
         assert got[d].text == want
 
 
+def test_line_dedup_keeps_clashing_names(spark, odd):
+    clash = odd.withColumn("_d", F.lit(1)).withColumn("_drop", F.lit(2)).withColumn("_h", F.lit(3)).withColumn("_n_lines", F.lit("x"))
+    out = line_dedup.dedup_lines(clash)
+    assert {"_d", "_drop", "_h"} <= set(out.columns) and len(out.columns) == len(set(out.columns)) and {r["_drop"] for r in out.collect()} == {2}
+
+
 def test_line_dedup_odd_rows(spark, odd):
     clash = odd.withColumn("ids", F.lit(1)).withColumn("words", F.lit("w")).withColumn("i", F.lit(2)).withColumn("name", F.lit(3))
     out = line_dedup.dedup_lines(clash)
@@ -160,6 +182,30 @@ def test_mixing_odd_rows(spark, odd):
     assert out.columns == odd.columns
 
 
+def test_mixing_of_repeated_and_null_ids(spark):
+    repeated = spark.createDataFrame([(7, "two words", None, "a", 0)] * 600, DOCS)
+    nulls = spark.createDataFrame([(None, f"{i} words", None, "a", 0) for i in range(600)], DOCS)
+    same_id = spark.createDataFrame([(7, f"{i} words", None, "a", 0) for i in range(600)], DOCS)
+    for docs in (repeated, nulls, same_id):
+        got = mixing.mix(docs, block_docs=32).toPandas()
+        assert len(got) == 600 and abs(got.taken.sum() - 1800) <= 2 and set(got.copies) == {1, 2}
+        again = mixing.mix(docs.repartition(5), block_docs=32).toPandas()
+        assert sorted(again.copies) == sorted(got.copies)
+
+
+def test_mixing_fills_what_a_long_document_leaves(spark):
+    rows = [(i, words(random.Random(i), 7), None, "a", 0) for i in range(400)] + [(1000, LONG[:60_000], None, "a", 0)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), block_docs=16).toPandas()
+    assert abs(got.taken.sum() - got.target.iloc[0]) <= 7
+
+
+def test_mixing_keeps_clashing_names(spark, odd):
+    clash = odd.withColumn("_h", F.lit(1)).withColumn("_u", F.lit(2)).withColumn("target", F.lit("x")).withColumn("_sidx", F.lit(3))
+    out = mixing.mix(clash)
+    assert {"_h", "_u", "_sidx"} <= set(out.columns) and len(out.columns) == len(set(out.columns)) and {r["_h"] for r in out.collect()} == {1}
+    assert mixing.mixed_documents(clash).columns == clash.columns
+
+
 def test_hypergeometric_draws(spark):
     df = spark.range(4000).select(mixing.hypergeometric(F.lit(50), F.lit(20), F.lit(10), mixing._uniform(F.lit(1), "id")).alias("x"))
     x = np.array([r.x for r in df.collect()])
@@ -186,6 +232,16 @@ def test_language(spark):
     assert language.predict(empty(spark), model).count() == 0
 
 
+def test_language_of_repeated_rows_one_language_and_clashing_names(spark):
+    rows = [(None, "the house and that", "en", "s", 0)] * 1500 + [(i, f"das haus und nicht {i}", "de", "s", 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("_o", F.lit("x")).withColumn("o", F.lit(1)).withColumn("_cut", F.lit(2))
+    model = language.learn(docs, F.lit(True), 20)
+    got = {(r.doc_id is None, r.lang_pred) for r in language.predict(docs, model).collect()}
+    assert got == {(True, "en"), (False, "de")}
+    one = spark.createDataFrame(rows[:3], DOCS)
+    assert {(r.lang_pred, r.score) for r in language.predict(one, language.learn(one, F.lit(True))).collect()} == {("en", 1.0)}
+
+
 # 5: toxicity
 
 
@@ -211,6 +267,13 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_toxicity_of_repeated_rows_and_one_class(spark):
+    docs = spark.createDataFrame([(1, "you idiot", None, None, 0)] * 5 + [(2, "fine words", None, None, 0)] * 5, DOCS)
+    both = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert {r.toxicity for r in toxicity.score(docs, toxicity.fit(docs, both, F.lit(True))).collect()} == {1.0}
+    assert {r.toxicity for r in toxicity.score(docs, toxicity.fit(docs, both.where("toxic = 0"), F.lit(True))).collect()} == {0.0}
+
+
 def test_disguised_words():
     assert toxicity.plain("1d10t!")[0] == "idiot" and toxicity.plain("i.d.i.o.t")[0] == "idiot" and toxicity.plain("STUUUPID")[0] == "stupid"
 
@@ -255,6 +318,43 @@ def test_ngram_join_odd_rows(spark, odd):
     assert ngram_join.similar(empty(spark).select("doc_id", "text")).count() == 0
 
 
+def test_ngram_join_of_null_and_repeated_ids_and_hot_groups(spark):
+    rng = random.Random(3)
+    base = words(rng, 60).split()
+    near = [" ".join(w if k != i % 60 else f"x{i}" for k, w in enumerate(base)) for i in range(40)]  # one large group
+    rows = [(None, t) for t in near[:10]] + [(5, near[10]), (5, near[11]), (5, "another text of its own here")] + [(100 + i, t) for i, t in enumerate(near[12:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x")).withColumn("place", F.lit(1))
+    for task in (10**6, 500):
+        got = ngram_join.similar(docs, 3, 80, task).collect()
+        assert len(got) == len(rows) and len({r.component for r in got}) == 2
+        assert {r.component_id for r in got if r.doc_id != 5} == {5}
+
+
+@pytest.mark.parametrize("percent", [70, 60, 50])
+def test_ngram_join_below_eighty_percent(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for i in range(60):
+        base = words(rng, 102).split()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[: percent + 2]))]  # sets of 100 and of percent shingles
+    got = {r.doc_id: r.component_id for r in ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string"), 3, percent).collect()}
+    assert all(got[2 * i + 1] == 2 * i for i in range(60))
+
+
+def test_keys_share_one_whatever_is_common():
+    rng = np.random.default_rng(4)
+    shingles = rng.integers(0, 1 << 62, 4000).astype(np.uint64)
+    short = np.sort(ngram_join.mix64(shingles[:900] ^ ngram_join._ODD) >> np.uint64(24 - 8))
+    for common in ((np.empty(0, np.uint64), np.empty(0, np.int64)), (short, rng.integers(9, 99, 900))):
+        for percent in (50, 80, 90):
+            for _ in range(60):
+                n = int(rng.integers(2, 300))
+                a = np.unique(rng.choice(shingles, n, replace=False))
+                cut = n * percent // 100
+                b = np.unique(np.concatenate([a[: max(1, -(-n * percent // 100))], []])).astype(np.uint64) if cut else a
+                assert set(ngram_join.keys(a, percent, common, 8).tolist()) & set(ngram_join.keys(b, percent, common, 8).tolist())
+
+
 def test_tree_bound_loses_nothing():
     rng = np.random.default_rng(0)
     points = rng.integers(0, 9, (900, 32)).astype(np.int32)
@@ -342,6 +442,45 @@ def test_substring_finds_a_whole_passage_whose_parts_stand_elsewhere(spark):
     assert [(r.doc, r.rep, abs(r.start - 33) < 3, abs(r.rstart - 72) < 3, r.equal >= 58) for r in got] == [(3, 2, True, True, True)]
 
 
+def best_chain(pos, rpos, k, cost, gap):
+    """The value of the best chain, by trying every predecessor."""
+    value = [float(k)] * len(pos)
+    for j in range(len(pos)):
+        for i in range(j):
+            if 0 < pos[j] - pos[i] <= gap and 0 < rpos[j] - rpos[i] <= gap:
+                new = min(k, pos[j] - pos[i], rpos[j] - rpos[i])
+                value[j] = max(value[j], value[i] - cost * (pos[j] - pos[i] + rpos[j] - rpos[i]) + new)
+    return max(value)
+
+
+def test_chains_reach_the_value_of_brute_force():
+    rng, met = random.Random(2), 0
+    for _ in range(200):
+        pairs = sorted({(rng.randrange(150), rng.randrange(150)) for _ in range(rng.randrange(2, 25))})
+        pos, rpos = (np.array(x) for x in zip(*pairs))  # noqa: B905
+        chain = substring_dedup.chains(pos, rpos, 6, 0.05, 40)[0]
+        p, r = pos[chain], rpos[chain]
+        assert (np.diff(p) > 0).all() and (np.diff(r) > 0).all() and (np.diff(p) <= 40).all() and (np.diff(r) <= 40).all()
+        got = 6.0 + sum(min(6, p[i + 1] - p[i], r[i + 1] - r[i]) - 0.05 * (p[i + 1] - p[i] + r[i + 1] - r[i]) for i in range(len(p) - 1))
+        best = best_chain(pos, rpos, 6, 0.05, 40)
+        met += got >= best - 1e-9
+        assert got <= best + 1e-9
+    assert met >= 190
+
+
+def test_substring_of_null_repeated_ids_and_clashing_names(spark):
+    rng = random.Random(12)
+    shared = words(rng, 60)
+    body = lambda: f"{words(rng, 30)} {shared} {words(rng, 30)}"
+    rows = [(None, body()), (None, body()), (7, body()), (7, body()), (9, body()), (11, words(rng, 90))]
+    rows += [rows[4], rows[5]]  # repeated rows are the same document
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("x")).withColumn("seed", F.lit(1))
+    got = substring_dedup.repeated(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in got if r.doc_id is not None) != [] and 11 not in {r.doc_id for r in got} | {r.source_doc_id for r in got}
+    assert len(got) == 4 and {r.doc_id for r in got} | {r.source_doc_id for r in got} == {None, 7, 9}
+    assert substring_dedup.repeated(docs.where("false")).count() == 0
+
+
 def test_seeds_share_within_equal_stretches():
     rng = random.Random(1)
     shared = words(rng, substring_dedup.K + substring_dedup.WINDOW - 1)

@@ -4,7 +4,7 @@
 2. Nodes meet by prefixes: of two linked sets, each holds most of the other, so their first shingles in one order of all
    shingles, as many as can be missing and one more, share one. Common shingles come last in that order. This loses no link.
    Most keys are met by nobody, so keys travel packed (seven bytes: a part of the key, and whose it is), and a key that many
-   documents share is one row for each worker's flush of a million keys.
+   documents share is one row for each worker's flush of some 100,000 keys.
 3. Shingles are hashed into groups, and the group counts are points; the overlap of two points is at most the sum of the
    coordinate minima. Where few nodes share a key, pairs are kept only if that bound reaches the needed overlap; where many do,
    they are tied together. What hangs together so is a coarse component (all links lie inside one), and is searched: its
@@ -44,7 +44,7 @@ SMALL = 8
 #: Common shingles that are put last among keys at most (16 bytes each in every worker).
 COMMON = 4_000_000
 #: Keys that a worker gathers before it sends them off, and the flag of a place whose group is larger than SMALL.
-FLUSH_KEYS = 1_000_000
+FLUSH_KEYS = 400_000
 FLAG = 1 << 15
 #: Bytes of a packed key: five of the key, two of the place in the flush.
 PACKED = 7
@@ -114,9 +114,7 @@ def _by_bucket(work):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        for f in frames:
-            if not len(f):
-                continue
+        for f in (g.iloc[at : at + 1_000] for g in frames for at in range(0, len(g), 1_000)):
             bucket = f["bucket"].to_numpy()
             cut = int(np.searchsorted(bucket, bucket[-1]))
             if cut:
@@ -150,9 +148,9 @@ def common_shingles(docs: DataFrame, k: int, percent: int, bits: int) -> tuple[n
                     mixed = mix64(s ^ _ODD)
                     held.append(mixed[_counted(mixed, percent)])
                     size += len(held[-1])
-            if size > FLUSH_KEYS:
-                yield flushed()
-                held, size, seen = [], 0, set()
+                if size > FLUSH_KEYS:
+                    yield flushed()
+                    held, size, seen = [], 0, set()
         if size:
             yield flushed()
 
@@ -210,7 +208,7 @@ def marks(docs: DataFrame, k: int, percent: int, bits: int, common: tuple[np.nda
                 yield batch(len(part), bucket=[r[0] for r in part], place=[flush] * len(part), keys=[r[1] for r in part])
 
         size = 0
-        for got in batches:
+        for got in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             n, node, place, vector = [], [], [], []
             for text in got.column("text").to_pylist():
                 s = shingle_set(text, k)
