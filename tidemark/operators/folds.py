@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
 def fold(df: DataFrame, key: str, order: str, step, schema: str) -> DataFrame:
-    """step(frame in order) for each series, which holds one row per period."""
+    """step(frame in order) for each series, which holds one row per period: a series must fit into a task's memory, so bars and the
+    like are folded, raw trades and events are aggregated first."""
     return df.groupBy(key).applyInPandas(lambda f: step(f.sort_values(order, kind="stable")), schema)
 
 
@@ -49,6 +52,18 @@ def rsi_first(x: np.ndarray, n: int = 14) -> float:
     return 100.0 if l == 0 else float(100 - 100 / (1 + g / l))
 
 
+def expanding_share(x: np.ndarray, least: int) -> np.ndarray:
+    """The share of values so far at or under each; nothing before so many values."""
+    held: list[float] = []
+    out = np.full(len(x), np.nan)
+    for i, v in enumerate(x):
+        at = bisect.bisect_right(held, v)
+        held.insert(at, v)
+        if len(held) >= least:
+            out[i] = (at + 1) / len(held)
+    return out
+
+
 def garch(r: np.ndarray, omega: float = 1e-5, alpha: float = 0.05, beta: float = 0.94) -> np.ndarray:
     """Conditional variance with fixed parameters, seeded with the whole variance."""
     out, v = np.empty(len(r)), float(np.var(r)) if len(r) else 0.0

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio, rounded
+from ..operators import folds as O
 from ..operators import series as S
 from ..sources.tables import BARS_SQL, bars
 from .registry import query
@@ -101,10 +103,12 @@ def forward_vol_20(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {BARS_SQL}, m AS (SELECT asset, d, close, list(close) {W}) AS held FROM bars)
 SELECT asset, d, round(CASE WHEN len(held) >= 60 THEN len(list_filter(held, lambda v: v <= close)) / len(held) END, 9) AS p FROM m""", text=D)
 def expanding_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of all values so far at or under this one; a row's list is its series' days so far."""
-    b, w = _bars(spark, sf_dir)
-    held = F.collect_list("close").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return b.select("asset", "d", F.round(F.when(F.size(held) >= 60, F.size(F.filter(held, lambda v: v <= F.col("close"))) / F.size(held)), 9).alias("p"))
+    """The share of all values so far at or under this one, from a sorted list that grows by a value a row."""
+
+    def step(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"asset": f["asset"], "d": f["d"], "p": O.expanding_share(O.column(f, "close"), 60)})
+
+    return O.fold(bars(spark, sf_dir).select("asset", "d", "close"), "asset", "d", step, "asset string, d date, p double").select("asset", "d", F.round(F.nanvl("p", F.lit(None)), 9).alias("p"))
 
 
 @query(f"""WITH {BARS_SQL}, m AS (SELECT asset, d, volume, list(volume) {W} ROWS BETWEEN 365 PRECEDING AND 1 PRECEDING) AS held FROM bars)
@@ -238,3 +242,39 @@ def every_fifth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth row of each series: sampling is the feature."""
     b, w = _bars(spark, sf_dir)
     return b.withColumn("i", F.row_number().over(w) - 1).where("i % 5 = 0").select("asset", "d", "close")
+
+
+@query(f"""WITH {BARS_SQL}, k AS (SELECT asset, d, close - lag(close) {W}) AS x, row_number() {W}) AS i FROM bars) SELECT asset, round(100 - 100 / (1 + avg(greatest(x, 0)) / avg(greatest(-x, 0))), 6) AS rsi FROM k WHERE i BETWEEN 2 AND 15 GROUP BY asset""")
+def rsi_first_14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index from the means of the first fourteen changes only."""
+    b, w = _bars(spark, sf_dir)
+    k = b.select("asset", (F.col("close") - F.lag("close").over(w)).alias("x"), F.row_number().over(w).alias("i")).where("i BETWEEN 2 AND 15")
+    return k.groupBy("asset").agg(F.round(100 - 100 / (1 + F.avg(F.greatest("x", F.lit(0.0))) / F.avg(F.greatest(-F.col("x"), F.lit(0.0)))), 6).alias("rsi"))
+
+
+@query(f"""WITH {BARS_SQL}, l AS (SELECT asset, d, close AS x0, lag(close, 3) {W}) AS x1, lag(close, 6) {W}) AS x2 FROM bars) SELECT asset, d, round(x0, 6) AS x0, round(x1, 6) AS x1, round(x2, 6) AS x2 FROM l WHERE x2 IS NOT NULL""", text=D)
+def delay_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value with those three and six rows before: points of a delay embedding."""
+    b, w = _bars(spark, sf_dir)
+    return b.select("asset", "d", F.round("close", 6).alias("x0"), *[F.round(F.lag("close", 3 * k).over(w), 6).alias(f"x{k}") for k in (1, 2)]).where("x2 IS NOT NULL")
+
+
+@query(f"""WITH {BARS_SQL}, r AS (SELECT asset, d, unnest(['close/quote', 'close/volume', 'quote/volume']) AS pair, unnest([corr(close, quote) {W} ROWS 59 PRECEDING), corr(close, volume) {W} ROWS 59 PRECEDING), corr(quote, volume) {W} ROWS 59 PRECEDING)]) AS c, count(*) {W} ROWS 59 PRECEDING) AS n FROM bars)
+SELECT asset, d, pair, round(c, 6) AS c FROM r WHERE n >= 60""", text=D)
+def rolling_corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a few series' rolling correlations, over one window."""
+    b, w = _bars(spark, sf_dir)
+    f = w.rowsBetween(-59, 0)
+    pairs = [("close", "quote"), ("close", "volume"), ("quote", "volume")]
+    c = b.select("asset", "d", F.count("*").over(f).alias("n"), *[F.corr(x, y).over(f).alias(f"{x}/{y}") for x, y in pairs]).where("n >= 60")
+    return c.select("asset", "d", F.inline(F.array(*[F.struct(F.lit(f"{x}/{y}").alias("pair"), F.round(F.col(f"{x}/{y}"), 6).alias("c")) for x, y in pairs])))
+
+
+@query(f"""WITH {BARS_SQL}, r AS (SELECT asset, d, close / lag(close, 90) {W}) - 1 AS r90 FROM bars), z AS (SELECT asset, d, count(r90) {W}) AS n, (r90 - avg(r90) {W})) / nullif(stddev_samp(r90) {W}), 0) AS z FROM r)
+SELECT asset, d, round(z, 6) AS z, CASE WHEN z > 1 THEN 'EXPANDING' WHEN z < -1 THEN 'SHRINKING' ELSE 'STEADY' END AS state FROM z WHERE n >= 30 AND z IS NOT NULL""", text=D)
+def momentum_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change over ninety rows against all changes so far."""
+    b, w = _bars(spark, sf_dir)
+    r = b.select("asset", "d", S.pct_change("close", w, 90).alias("r90"))
+    z = r.select("asset", "d", S.expanding_z("r90", w, 30).alias("z")).where("z IS NOT NULL")
+    return z.select("asset", "d", F.round("z", 6).alias("z"), F.when(F.col("z") > 1, "EXPANDING").when(F.col("z") < -1, "SHRINKING").otherwise("STEADY").alias("state"))

@@ -15,8 +15,12 @@ MICROS_FROM = 100_000_000_000_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; under /tmp only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tidemark-shared"
+    """A new folder under spark.checkpoint.dir; under /tmp only where that is unset and Spark runs on one machine, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file:///tmp/tidemark-shared"
     return f"{root}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
@@ -50,9 +54,22 @@ def latest(df: DataFrame, key: list[str], order: list[str], keep: int = 1) -> Da
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], path: str) -> None:
-    """Old rows without those that new replaces, and new, as one atomic write to another folder."""
-    old.join(new.select(*key), key, "left_anti").unionByName(new, allowMissingColumns=True).write.mode("overwrite").parquet(path)
+def publish(df: DataFrame, path: str, version: int) -> None:
+    """Write a version of a table beside the earlier ones. It shows only when the whole write is committed, and a lost job leaves
+    the earlier versions as they are."""
+    df.write.mode("errorifexists").parquet(f"{path}/version={version}")
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a published table; others are not read."""
+    every = spark.read.option("basePath", path).parquet(path)
+    newest = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == newest).drop("version")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str], path: str, version: int) -> None:
+    """Old rows without those that new replaces, and new, published as a version."""
+    publish(old.join(new.select(*key), key, "left_anti").unionByName(new, allowMissingColumns=True), path, version)
 
 
 def json_rows(df: DataFrame) -> DataFrame:

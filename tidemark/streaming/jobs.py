@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.storage import shared_folder
 
+#: How long the state of a silent key is kept.
+KEEP_STATE_MS = 30 * 86_400_000
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -47,21 +49,29 @@ def daily_flow(events: DataFrame) -> DataFrame:
 
 
 def change_only(events: DataFrame) -> DataFrame:
-    """Values that differ from the user's one before; state is the last value and its time, so late rows are dropped."""
+    """Values that differ from the user's one before; state is the last value and its time, so rows older than it are dropped, and
+    it goes when the watermark has passed it by KEEP_STATE_MS."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, seen = state.get if state.exists else (None, None)
         rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        if seen is not None:
+            rows = rows[rows["at"].astype("datetime64[us]").astype("int64") >= seen]
         v = rows["value"].round()
         prior = v.shift(1)
         if len(prior):
             prior.iloc[0] = last if last is not None else float("nan")
-            state.update((float(v.iloc[-1]),))
+            newest = int(rows["at"].astype("datetime64[us]").astype("int64").iloc[-1])
+            state.update((float(v.iloc[-1]), newest))
+            state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + KEEP_STATE_MS)
         out = rows[prior.isna() | (prior != v)]
         yield pd.DataFrame({"user_id": out["user_id"], "event_id": out["event_id"], "v": v[out.index]})
 
-    rows = events.select("user_id", "event_id", "at", "value")
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, v double", "v double", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("at", "2 days").select("user_id", "event_id", "at", "value")
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, v double", "v double, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def resolve_labels(events: DataFrame) -> DataFrame:
