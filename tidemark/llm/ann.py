@@ -158,8 +158,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     asked = entries.where(is_query).select("vec_id", "v").distinct()
     queries = asked.select("vec_id", "v", F.xxhash64("vec_id", "v").alias("ask")).repartition(entries.sparkSession.sparkContext.defaultParallelism * 2, "vec_id")
     aimed = materialize(queries.mapInPandas(aim, "query_id long, ask long, q array<double>, least double, block int"), "ann-aimed")
-    parts_of = aimed.groupBy("block").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
-    aimed = aimed.join(parts_of, "block").withColumn("part", F.pmod(F.xxhash64("query_id", "ask"), "parts").cast("int"))
+    parts_of = materialize(aimed.groupBy("block").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts")), "ann-parts")
+    own = parts_of.toDF("_b", "_n")
+    aimed = aimed.join(own, F.col("block") == F.col("_b")).withColumn("part", F.pmod(F.xxhash64("query_id", "ask"), "_n").cast("int")).drop("_b", "_n")
     at = lambda column: F.element_at(F.array(*[F.lit(int(x)) for x in where[:, column]]), F.col("c1") + 1)
     placed = entries.withColumn("block", at(0) + F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), at(1)).cast("int"))
     spread = placed.join(parts_of, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

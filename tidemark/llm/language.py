@@ -94,7 +94,7 @@ def machine(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int =
 
 def learn(docs: DataFrame, keep: Column, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> dict:
     """A model from docs (doc_id, text, lang) among rows for which keep holds."""
-    rows = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     order = F.xxhash64(F.lit(SEED), "doc_id", "text")
     thin = materialize(rows.select("lang", order.alias("o")), "language-rows")
     counts = thin.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()

@@ -7,10 +7,10 @@
    copies is spread over as many blocks as it needs. A source draws whole passes over all of its blocks, then blocks in order
    up to the remainder; in the last one, documents are taken in hash order while they fit, and what is still free is filled
    with the largest documents of the later blocks that fit.
-3. The drawn blocks of each source are its quota. The quotas are split among output shards by a binary tree: each node deals
+3. The whole blocks drawn of each source are its quota. The quotas are split among output shards by a binary tree: each node deals
    its quotas to its two halves by a multivariate hypergeometric draw (one source after another), exactly conserving them.
-4. Consecutive drawn blocks of a source go to the shards in order of its leaf quotas; a document's copy is placed in its
-   shard by a hash, which is the local shuffle.
+4. Consecutive drawn blocks of a source go to the shards in order of its leaf quotas, and the documents of its remainder to
+   shards by hash; a document's copy is placed in its shard by a hash, which is the local shuffle.
 
 Texts are read once for a thin table (hash, size, source) that decides what to take, and once for the result. Of the thin
 table only sources, blocks (one row for some hundred documents) and the last block of each source are aggregated; texts are
@@ -220,7 +220,7 @@ def _mixed(
     # Shards: leaf quotas as runs over each source's drawn blocks (pass after pass, then the remainder's).
     shards = max(8, math.ceil((totals["words"] or 0) / shard_words))
     levels = math.ceil(math.log2(shards))
-    quotas = plan.select("_sidx", (F.col("_passes") * F.col("_n_blocks") + F.least(F.col("_last") + 1, F.col("_n_blocks"))).alias("quota"))
+    quotas = plan.select("_sidx", (F.col("_passes") * F.col("_n_blocks") + F.greatest(F.col("_last"), F.lit(0))).alias("quota"))
     leaves = materialize(split_quotas(quotas, levels, seed), "mix-quotas")
     runs = _running(leaves, "_sidx", "_shard", "quota").where("quota > 0")
     drawn = runs.select("_sidx", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("quota") - 1)).alias("_rank"), "_shard")
@@ -232,7 +232,7 @@ def _mixed(
     chosen = (F.col("_block") >= F.col("_last")) & F.coalesce(F.array_contains("_ids", F.col("_u")), F.lit(False))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("_passes") + ((F.col("_block") < F.col("_last")) | chosen).cast("int")).cast("int")
     out = out.withColumn("copies", copies).join(drawn, ["_sidx", "_block"], "left")
-    # A document that fills the rest lies in a block that is not drawn again: it goes to a shard by its hash.
+    # What is taken of the last block, and what fills the rest, goes to shards by hash: whole blocks only are dealt by quota.
     extra = F.array(F.pmod("_u", F.lit(1 << levels)).cast("int"))
     held = F.slice(F.concat(F.coalesce("_shards", F.array().cast("array<int>")), extra), F.lit(1), F.col("copies"))
     out = out.withColumn("shards", held).withColumn("taken", F.col("copies") * F.col("size"))
