@@ -194,7 +194,7 @@ def test_mixing_of_repeated_and_null_ids(spark):
 
 
 def test_mixing_fills_what_a_long_document_leaves(spark):
-    rows = [(i, words(random.Random(i), 7), None, "a", 0) for i in range(400)] + [(1000, LONG[:60_000], None, "a", 0)]
+    rows = [(i, words(random.Random(i), 7), None, "a", 0) for i in range(400)] + [(1000, LONG[:6_000], None, "a", 0)]
     got = mixing.mix(spark.createDataFrame(rows, DOCS), block_docs=16).toPandas()
     assert abs(got.taken.sum() - got.target.iloc[0]) <= 7
 
@@ -350,8 +350,7 @@ def test_keys_share_one_whatever_is_common():
             for _ in range(60):
                 n = int(rng.integers(2, 300))
                 a = np.unique(rng.choice(shingles, n, replace=False))
-                cut = n * percent // 100
-                b = np.unique(np.concatenate([a[: max(1, -(-n * percent // 100))], []])).astype(np.uint64) if cut else a
+                b = a[: -(-n * percent // 100)]
                 assert set(ngram_join.keys(a, percent, common, 8).tolist()) & set(ngram_join.keys(b, percent, common, 8).tolist())
 
 
@@ -454,18 +453,15 @@ def best_chain(pos, rpos, k, cost, gap):
 
 
 def test_chains_reach_the_value_of_brute_force():
-    rng, met = random.Random(2), 0
+    rng = random.Random(2)
     for _ in range(200):
-        pairs = sorted({(rng.randrange(150), rng.randrange(150)) for _ in range(rng.randrange(2, 25))})
+        pairs = sorted({(6 * rng.randrange(25), 6 * rng.randrange(25)) for _ in range(rng.randrange(2, 25))})  # no two overlap
         pos, rpos = (np.array(x) for x in zip(*pairs))  # noqa: B905
         chain = substring_dedup.chains(pos, rpos, 6, 0.05, 40)[0]
         p, r = pos[chain], rpos[chain]
         assert (np.diff(p) > 0).all() and (np.diff(r) > 0).all() and (np.diff(p) <= 40).all() and (np.diff(r) <= 40).all()
         got = 6.0 + sum(min(6, p[i + 1] - p[i], r[i + 1] - r[i]) - 0.05 * (p[i + 1] - p[i] + r[i + 1] - r[i]) for i in range(len(p) - 1))
-        best = best_chain(pos, rpos, 6, 0.05, 40)
-        met += got >= best - 1e-9
-        assert got <= best + 1e-9
-    assert met >= 190
+        assert abs(got - best_chain(pos, rpos, 6, 0.05, 40)) < 1e-9
 
 
 def test_substring_of_null_repeated_ids_and_clashing_names(spark):

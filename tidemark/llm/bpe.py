@@ -41,7 +41,7 @@ NEWER = (
     "2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
 )
 #: Distinct words whose tokens a worker keeps; beyond it the cache starts anew, which costs time and changes no result.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: Words longer than this are cut and merged on their own, outside the automaton's batch.
 LONG_WORD = 4_000
 _NEVER = np.int64(1) << np.int64(40)

@@ -23,12 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize, mix64, scratch, table
 
 MIN_WORDS = 5
+NAMES = pa.schema([("name", pa.int64()), ("_d", pa.int64()), ("_h", pa.int64()), ("i", pa.int32())])
+WINDOWS = NAMES.append(pa.field("n", pa.int32()))
+GONE = pa.schema([("_d", pa.int64()), ("_h", pa.int64()), ("_drop", pa.list_(pa.bool_())), ("_n_removed", pa.int64())])
+
+
+def _records(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[list[dict]]:
+    """Rows as dicts, some at a time: a batch's lists of places need not all be Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows).to_pylist()
 
 
 def _sequences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -92,16 +103,16 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     # Only documents with a repeated line shorter than min_words next to another repeated one need longer runs.
     levels = max(0, min_words.bit_length() - 1)
     for k in range(1, levels + 1):
-        rows = materialize(state.mapInPandas(_level(k, min_words), "name long, _d long, _h long, i int"), f"lines-names-{k}")
+        rows = materialize(state.mapInArrow(_level(k, min_words), "name long, _d long, _h long, i int"), f"lines-names-{k}")
         if rows.isEmpty():
             break
         state = materialize(state.join(_by_document(_grouped(rows), f"hits{k}"), ["_d", "_h"], "left"), f"lines-{k}")
     reached = [c for c in state.columns if c.startswith("hits")]
-    rows = state.mapInPandas(_final(len(reached) - 1, min_words), "name long, _d long, _h long, i int, n int")
+    rows = state.mapInArrow(_final(len(reached) - 1, min_words), "name long, _d long, _h long, i int, n int")
     rows = materialize(rows, "lines-windows")
     found = _grouped_windows(rows)
     state = state.join(found, ["_d", "_h"], "left")
-    return state.mapInPandas(_collect(min_words), "_d long, _h long, _drop array<boolean>, _n_removed long").dropDuplicates(["_d", "_h"])
+    return state.mapInArrow(_collect(min_words), "_d long, _h long, _drop array<boolean>, _n_removed long").dropDuplicates(["_d", "_h"])
 
 
 def _grouped_windows(rows: DataFrame) -> DataFrame:
@@ -124,10 +135,10 @@ def _repeated(row: dict, k: int) -> np.ndarray:
 def _level(k: int, min_words: int):
     """Names of runs of 2**k lines, where both halves are repeated and some window needs a run that long."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in _records(batches):
             parts = []
-            for row in f.to_dict("records"):
+            for row in records:
                 half, n = 1 << (k - 1), len(row["ids"])
                 if n < 2 * half:
                     continue
@@ -144,7 +155,7 @@ def _level(k: int, min_words: int):
                     names = _names(np.asarray(row["ids"]), k)[k][at].view(np.int64)
                     parts.append(pd.DataFrame({"name": names, "_d": row["_d"], "_h": row["_h"], "i": at.astype(np.int32)}))
             if parts:
-                yield pd.concat(parts)
+                yield pa.RecordBatch.from_pandas(pd.concat(parts), NAMES, preserve_index=False)
 
     return run
 
@@ -152,10 +163,10 @@ def _level(k: int, min_words: int):
 def _final(levels: int, min_words: int):
     """Names of the windows of more than one line whose two overlapping halves are repeated."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in _records(batches):
             rows = []
-            for row in f.to_dict("records"):
+            for row in records:
                 repeated = [_repeated(row, k) for k in range(levels + 1)]
                 names = None
                 for i, size in sorted(_windows(np.asarray(row["words"]), min_words)):
@@ -166,7 +177,7 @@ def _final(levels: int, min_words: int):
                         name = int(_join_names(names[k][i : i + 1], names[k][j : j + 1]).view(np.int64)[0])
                         rows.append((name, row["_d"], row["_h"], i, size))
             if rows:
-                yield pd.DataFrame(rows, columns=["name", "_d", "_h", "i", "n"])
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["name", "_d", "_h", "i", "n"]), WINDOWS, preserve_index=False)
 
     return run
 
@@ -174,10 +185,10 @@ def _final(levels: int, min_words: int):
 def _collect(min_words: int):
     """The lines that later copies cover."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in _records(batches):
             out = []
-            for row in f.to_dict("records"):
+            for row in records:
                 words, gone = np.asarray(row["words"]), np.zeros(len(row["ids"]), dtype=bool)
                 for h in row["hits"]:
                     if h["later"] and words[h["i"]] >= min_words:
@@ -190,7 +201,7 @@ def _collect(min_words: int):
                     mask[at] = True
                     out.append((row["_d"], row["_h"], mask, len(at)))
             if out:
-                yield pd.DataFrame(out, columns=["_d", "_h", "_drop", "_n_removed"])
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["_d", "_h", "_drop", "_n_removed"]), GONE, preserve_index=False)
 
     return run
 

@@ -36,6 +36,8 @@ LEXICON = 5_000
 #: Least log likelihood ratio, against the class shares, of an entry: four toxic documents without a clean one, or more.
 SURPRISE = 7.0
 SEED = 71
+#: Words whose worth a worker keeps; beyond it the cache starts anew.
+CACHE_WORDS = 100_000
 PREFIXES = (4, 5, 6)
 
 # Common insults, and second-person words, of English, German, French and Spanish.
@@ -79,7 +81,7 @@ class Lexicon:
         """Of a raw word: its own and its beginning's log odds, whether it is second person, whether it is disguised."""
         got = self.seen.get(raw)
         if got is None:
-            if len(self.seen) > 400_000:
+            if len(self.seen) > CACHE_WORDS:
                 self.seen.clear()
             w, disguised = plain(raw)
             own = max(self.odds.get(w, 0.0), 4.0 if w in INSULTS else 0.0)
@@ -268,8 +270,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
         lex = None if "constant" in m else Lexicon(m["lexicon"])
-        for f in frames:
-            if lex is None or not len(f):
+        for f in (g.iloc[at : at + 1_000] for g in frames for at in range(0, len(g), 1_000)):
+            if lex is None:
                 yield f.assign(toxicity=np.full(len(f), m.get("constant", 0.0)))
                 continue
             x = np.stack([lex.features(t if isinstance(t, str) else "") for t in f["text"]])
