@@ -128,9 +128,19 @@ def test_series_sentinel_and_json(spark, tmp_path):
 
 
 def test_upsert(spark, tmp_path):
-    old = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
-    storage.upsert(old, spark.createDataFrame([(2, "z"), (3, "w")], "k int, v string"), ["k"], f"file://{tmp_path}/u")
-    assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/u").collect())) == [(1, "x"), (2, "z"), (3, "w")]
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    path = f"file://{tmp_path}/u"
+    storage.publish(old, path, 1)
+    storage.upsert(storage.published(spark, path), spark.createDataFrame([(2, "z"), (3, "w")], "k int, v string"), ["k"], path, 2)
+    assert sorted((r.k, r.v) for r in storage.published(spark, path).collect()) == [(1, "a"), (2, "z"), (3, "w")]
+
+
+def test_reads_of_one_partition_skip_the_others(spark, tmp_path):
+    path = f"file://{tmp_path}/bars"
+    storage.write_bars(spark.createDataFrame([("A", 1.0), ("B", 2.0)], "asset string, close double"), path)
+    one = spark.read.parquet(path).where("asset = 'A'").select("close")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(asset" in plan and "ReadSchema: struct<close:double>" in plan and len(one.inputFiles()) == 1
 
 
 @pytest.mark.parametrize("n", [0, 1])

@@ -1,6 +1,6 @@
 """Every named query of the engine; importing the modules registers them."""
 
-from . import events, folds, joins, layers, linear, market, scores, series, states, stats, stream, text, validation
+from . import events, files, folds, joins, layers, linear, market, scores, series, states, stats, stream, text, validation
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "events", "folds", "joins", "layers", "linear", "market", "scores", "series", "states", "stats", "stream", "text", "validation"]
+__all__ = ["ORACLES", "QUERIES", "events", "files", "folds", "joins", "layers", "linear", "market", "scores", "series", "states", "stats", "stream", "text", "validation"]

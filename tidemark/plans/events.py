@@ -91,3 +91,16 @@ def conversation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as ordered sequences."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("role", "turn").alias("opener"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("role") == "user").alias("user_turns"))
+
+
+@query("""WITH m AS (SELECT event_type, max(ts) AS newest FROM events GROUP BY 1), n AS (SELECT max(newest) AS now FROM m), l AS (SELECT event_type, user_id % 10 AS source, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2),
+a AS (SELECT event_type, avg(value) AS mean FROM events GROUP BY 1) SELECT l.event_type, source, l.ts < now - INTERVAL 12 HOUR AS stale, round(CASE WHEN l.ts < now - INTERVAL 12 HOUR THEN mean ELSE value END, 6) AS value FROM l, n, a WHERE l.event_type = a.event_type""")
+def staleness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest value of each source if it is fresh, and else the fallback of its kind."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", (F.col("user_id") % 10).alias("source"), "ts", "event_id", "value")
+    now = F.max("at").over(Window.partitionBy(F.lit(0)))  # one row for each source and kind
+    g = e.groupBy("event_type", "source").agg(F.max("ts").alias("at"), F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.sum("value").alias("total"), F.count("value").alias("n"))
+    kind = Window.partitionBy("event_type")
+    stale = F.col("at") < now - F.expr("INTERVAL 12 HOURS")
+    g = g.withColumns({"stale": stale, "mean": F.sum("total").over(kind) / F.sum("n").over(kind)})
+    return g.select("event_type", "source", "stale", F.round(F.when(F.col("stale"), F.col("mean")).otherwise(F.col("value")), 6).alias("value"))

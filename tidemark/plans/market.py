@@ -202,3 +202,16 @@ def topk_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = bars(spark, sf_dir).withColumn("month", F.date_format("d", "yyyy-MM")).withColumn("r", F.row_number().over(w))
     top = F.sum(F.when(F.col("r") <= 5, F.col("quote")))
     return m.groupBy("asset", "month").agg(F.round(top, 2).alias("top5"), F.round(top + 0.1 * F.sum("quote"), 2).alias("total"))
+
+
+@query("""WITH o AS (SELECT l_returnflag AS asset, CAST(l_shipdate AS DATE) AS d, l_partkey % 30 AS term, 20 + 100 * l_discount AS iv, l_quantity AS oi FROM lineitem),
+g AS (SELECT asset, d, sum(iv * oi) / sum(oi) AS iv, sum(iv * oi) FILTER (term <= 15) / sum(oi) FILTER (term <= 15) AS near, sum(iv * oi) FILTER (term > 15) / sum(oi) FILTER (term > 15) AS far FROM o GROUP BY 1, 2)
+SELECT asset, d, round(iv, 6) AS iv, round(far - near, 6) AS slope, CASE WHEN near > far THEN 'BACKWARDATION' WHEN near < far THEN 'CONTANGO' END AS shape FROM g""", text=("d",))
+def term_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volatility weighted by open interest, near against far terms; one pass."""
+    t = table(spark, sf_dir, "lineitem")
+    o = t.select(F.col("l_returnflag").alias("asset"), F.to_date("l_shipdate").alias("d"), (F.col("l_partkey") % 30).alias("term"), (20 + 100 * F.col("l_discount")).alias("iv"), F.col("l_quantity").alias("oi"))
+    mean = lambda hit: ratio(F.sum(F.when(hit, F.col("iv") * F.col("oi"))), F.sum(F.when(hit, F.col("oi"))))
+    g = o.groupBy("asset", "d").agg(mean(F.lit(True)).alias("iv"), mean(F.col("term") <= 15).alias("near"), mean(F.col("term") > 15).alias("far"))
+    shape = F.when(F.col("near") > F.col("far"), "BACKWARDATION").when(F.col("near") < F.col("far"), "CONTANGO")
+    return rounded(g.select("asset", "d", "iv", (F.col("far") - F.col("near")).alias("slope"), shape.alias("shape")))

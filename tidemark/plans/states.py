@@ -183,3 +183,33 @@ def data_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda name: F.size(F.filter("checks", lambda x: x == name)).cast("long")
     health = F.when(count("FAIL") > 0, "CRITICAL").when(count("WARN") > 1, "DEGRADED").otherwise("HEALTHY")
     return s.select("asset", count("OK").alias("n_ok"), count("WARN").alias("n_warn"), count("FAIL").alias("n_fail"), health.alias("health"))
+
+
+@query(f"""WITH {WIDE_SQL}, p AS (SELECT asset, d, least(0.4 * dom / 100 + 0.3 * least(n / 20.0, 1), 0.95) AS risk, least(1, dvol / 100) AS agr, fng AS st, CASE WHEN c > 0.2 THEN 0.05 ELSE 0 END AS boost, CASE WHEN dvol > 90 THEN 0.10 ELSE 0 END + CASE WHEN chg IS NULL THEN 0.05 ELSE 0 END AS penalty, dvol / 120 AS turn FROM wide),
+q AS (SELECT *, least(greatest(0.30 + 0.15 * agr + 0.08 * greatest(0, 1 - st / 100) + boost - penalty, 0.05), 0.95) AS macro FROM p), r AS (SELECT *, least(greatest(macro * (1 - risk), 0.05), 0.95) AS conf FROM q), k AS (SELECT *, greatest(0, (2 * conf - (1 - conf)) / 2) * CASE WHEN turn > 0.6 THEN 0.0 WHEN turn > 0.5 THEN 0.5 ELSE 1.0 END AS kelly FROM r)
+SELECT asset, d, round(macro, 6) AS macro, round(conf, 6) AS confidence, round(kelly, 6) AS kelly, CASE WHEN kelly <= 0 OR st >= 60 THEN 'CASH' WHEN st < 30 THEN 'BUY' ELSE 'HOLD' END AS signal FROM k""", text=D)
+def guarded_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence with boosts and penalties, the position it allows after the guard, and the signal at a regime's multiple of the
+    thresholds (1.2 here)."""
+    w = _wide(spark, sf_dir)
+    risk = F.least(0.4 * F.col("dom") / 100 + 0.3 * F.least(F.col("n") / 20.0, F.lit(1.0)), F.lit(0.95))
+    boost = F.when(F.col("c") > 0.2, 0.05).otherwise(0.0)
+    penalty = F.when(F.col("dvol") > 90, 0.10).otherwise(0.0) + F.when(F.col("chg").isNull(), 0.05).otherwise(0.0)
+    macro = clamp(0.30 + 0.15 * F.least(F.lit(1.0), F.col("dvol") / 100) + 0.08 * F.greatest(F.lit(0.0), 1 - F.col("fng") / 100) + boost - penalty, 0.05, 0.95)
+    p = w.select("asset", "d", "fng", (F.col("dvol") / 120).alias("turn"), macro.alias("macro"), risk.alias("risk")).withColumn("confidence", clamp(F.col("macro") * (1 - F.col("risk")), 0.05, 0.95))
+    p = p.withColumn("kelly", F.greatest(F.lit(0.0), (2 * F.col("confidence") - (1 - F.col("confidence"))) / 2) * G.guard("turn"))
+    signal = F.when((F.col("kelly") <= 0) | (F.col("fng") >= 50 * 1.2), "CASH").when(F.col("fng") < 25 * 1.2, "BUY").otherwise("HOLD")
+    return rounded(p.select("asset", "d", "macro", "confidence", "kelly", signal.alias("signal")))
+
+
+@query(f"""WITH {WIDE_SQL}, j AS (SELECT asset, d, abs(fng - lag(fng) {W})) > 40 AS bad, row_number() {W}) AS i FROM wide), g AS (SELECT asset, d, i, coalesce(bad, false) AS bad, sum(CASE WHEN coalesce(bad, false) THEN 0 ELSE 1 END) {W}) AS grp FROM j),
+t AS (SELECT *, sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY asset, grp ORDER BY d) >= 2 AS trip FROM g), c AS (SELECT *, max(CASE WHEN trip THEN i END) {W}) AS last FROM t) SELECT asset, d, bad, trip, coalesce(i - last < 5, false) AS open FROM c""", text=D)
+def breaker_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A breaker that trips after two jumps in a row, and stays open for five rows after the last trip."""
+    w = S.over("asset", "d")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    j = _wide(spark, sf_dir).select("asset", "d", F.coalesce(F.abs(F.col("fng") - F.lag("fng").over(w)) > 40, F.lit(False)).alias("bad"), F.row_number().over(w).alias("i"))
+    g = j.withColumn("grp", F.sum((~F.col("bad")).cast("int")).over(upto))
+    t = g.withColumn("trip", F.sum(F.col("bad").cast("int")).over(Window.partitionBy("asset", "grp").orderBy("d")) >= 2)
+    last = F.max(F.when(F.col("trip"), F.col("i"))).over(upto)
+    return t.select("asset", "d", "bad", "trip", F.coalesce(F.col("i") - last < 5, F.lit(False)).alias("open"))

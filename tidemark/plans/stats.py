@@ -299,3 +299,40 @@ def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = bars(spark, sf_dir).unpivot(["d", "asset"], ["open", "close", "volume"], "field", "v")  # noqa: E741
     last = F.max(F.when(F.col("v").isNotNull(), F.col("d"))).cast("string")
     return l.groupBy("field").agg(F.count("v").alias("n"), F.round(F.count("v") / F.count("*"), 9).alias("share"), last.alias("last_day"), (F.min("v") != F.max("v")).alias("varies"))
+
+
+_FEATURES = {"v": "v", "rng": "rng", "mom": "mom"}
+
+
+@query(f"""WITH {RET_SQL}, f AS (SELECT b.asset, b.d, r.v, (high - low) / b.close AS rng, b.close / lag(b.close, 7) OVER (PARTITION BY b.asset ORDER BY b.d) - 1 AS mom, CAST(lead(r.r) OVER (PARTITION BY b.asset ORDER BY b.d) > 0 AS INTEGER) AS y FROM bars b JOIN r ON b.asset = r.asset AND b.d = r.d),
+g AS (SELECT * FROM f WHERE v IS NOT NULL AND mom IS NOT NULL AND y IS NOT NULL), u AS (SELECT asset, y, unnest(['mom', 'rng', 'v']) AS name, unnest([ntile(5) OVER (PARTITION BY asset ORDER BY mom, d), ntile(5) OVER (PARTITION BY asset ORDER BY rng, d), ntile(5) OVER (PARTITION BY asset ORDER BY v, d)]) AS b FROM g),
+j AS (SELECT asset, name, b, y, count(*) AS c FROM u GROUP BY 1, 2, 3, 4), s AS (SELECT *, c / sum(c) OVER (PARTITION BY asset, name) AS p, sum(c) OVER (PARTITION BY asset, name, b) / sum(c) OVER (PARTITION BY asset, name) AS pa, sum(c) OVER (PARTITION BY asset, name, y) / sum(c) OVER (PARTITION BY asset, name) AS pb FROM j),
+m AS (SELECT asset, name, round(sum(p * ln(p / (pa * pb))), 9) AS mi FROM s GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY mi DESC, name) AS place FROM m) SELECT asset, name, mi, place FROM k WHERE place <= 2""")
+def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two features of each series that tell most about the sign of the next return (a top-k report)."""
+    w = S.over("asset", "d")
+    r = _returns(spark, sf_dir).select("asset", "d", "r", "v")
+    b = bars(spark, sf_dir).select("asset", "d", "high", "low", "close").join(r, ["asset", "d"])
+    g = b.select("asset", "d", "v", ((F.col("high") - F.col("low")) / F.col("close")).alias("rng"), (F.col("close") / F.lag("close", 7).over(w) - 1).alias("mom"), (F.lead("r").over(w) > 0).cast("int").alias("y")).dropna()
+    tiled = g.select("asset", "y", *[F.ntile(5).over(Window.partitionBy("asset").orderBy(c, "d")).alias(c) for c in _FEATURES])
+    u = tiled.select(F.struct("asset", F.lit(0)).alias("_"), "asset", "y", F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("b")) for c in sorted(_FEATURES)])))
+    j = u.groupBy(F.struct("asset", "name").alias("key"), "b", "y").agg(F.count("*").alias("c"))
+    m = ST.mutual_information(j, "key", "b", "y", "c").select("key.asset", "key.name", F.round("mi", 9).alias("mi"))
+    best = Window.partitionBy("asset").orderBy(F.desc("mi"), "name")
+    return m.withColumn("place", F.row_number().over(best)).where("place <= 2")
+
+
+@query(f"""WITH {RET_SQL}, f AS (SELECT asset, d, r, lag(r) {W} AS a, avg(r) OVER (PARTITION BY asset ORDER BY d ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b, volume > 30 AS busy FROM r), g AS (SELECT *, r - b AS e FROM f WHERE r IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL), h AS (SELECT *, lag(e) {W} AS e1, lag(busy) {W} AS was FROM g)
+SELECT asset, busy, count(*) AS n, round(avg(CAST(sign(b) = sign(r) AS INTEGER)), 6) AS accuracy, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS bias, round(corr(e, e1), 6) AS autocorr, round(avg(CAST(sign(a) <> sign(b) AS INTEGER)), 6) AS disagree, count(*) FILTER (was <> busy) AS turns FROM h GROUP BY 1, 2""")
+def forecast_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forecast by regime: accuracy of sign, size and bias of errors, whether errors follow each other, how often two forecasts
+    disagree, and how often the regime turns."""
+    w = S.over("asset", "d")
+    f = _returns(spark, sf_dir).select("asset", "d", "r", F.lag("r").over(w).alias("a"), F.avg("r").over(w.rowsBetween(-5, -1)).alias("b"), (F.col("volume") > 30).alias("busy")).dropna()
+    h = f.withColumn("e", F.col("r") - F.col("b")).withColumns({"e1": F.lag("e").over(w), "was": F.lag("busy").over(w)})
+    share = lambda hit: F.avg(hit.cast("int"))
+    out = h.groupBy("asset", "busy").agg(
+        F.count("*").alias("n"), share(F.signum("b") == F.signum("r")).alias("accuracy"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.avg("e").alias("bias"),
+        F.corr("e", "e1").alias("autocorr"), share(F.signum("a") != F.signum("b")).alias("disagree"), F.count_if(F.col("was") != F.col("busy")).alias("turns"),
+    )
+    return rounded(out)
