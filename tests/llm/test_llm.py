@@ -553,6 +553,12 @@ def test_html_articles_beside_or_with_other_text():
     assert html_extract.main_text(PAGE.replace("{body}", f"<article><p>{TEXT}</p>{links}</article>")) == TEXT
 
 
+def test_html_with_few_stop_words_and_no_article():
+    odd = "Thinhaea stouti ered thanenon areth ndth eringes threin erin onoth wathan thedes."
+    body = f"<div><h2>Head</h2><p>{odd}</p><p>Short.</p><p>{odd}</p><p>Last one.</p></div>"
+    assert html_extract.main_text(PAGE.replace("{body}", body)) == f"Head\n{odd}\nShort.\n{odd}\nLast one."
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- x", "<script>never closed <p>x</p>", "<nav><a>x</a></nav>", "</div></div></article>"])
 def test_html_odd(page):
     assert html_extract.main_text(page) in ("", "<", "<p")

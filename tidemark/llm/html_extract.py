@@ -2,8 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass labels each block by the part of the page it stands in and by
 length, link density and stop-word density: content, boilerplate, or undecided (short ones, and middling ones). In the second
-pass an undecided block takes the label of its nearest decided neighbours, so a one-word paragraph inside an article stays
-and one inside a menu goes. Headings go with the content that follows them. An article or main narrows both passes to itself if
+pass an undecided block takes the label of its nearest decided neighbours (content, if they are equally near and it has no
+link), so a one-word paragraph inside an article stays and one inside a menu goes. Headings go with the content that follows them. An article or main narrows both passes to itself if
 it holds most of the text that they call good.
 
 Cases: null or empty html gives an empty text; markup without text gives an empty text; unclosed and crossing tags, comments
@@ -153,6 +153,9 @@ def _passes(blocks: list[_Block], trusted: bool) -> None:
             words = _word.findall(b.text.lower())
             stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
             b.label = "good" if stops >= STOPS_HIGH or n > LONG and stops >= STOPS_LOW else "near"
+    if not any(b.label == "good" for b in blocks):  # few stop words, as in other languages: the longer blocks without links count
+        for b in blocks:
+            b.label = "good" if b.label == "near" and not b.linked else b.label
     before, last = [], None
     for i, b in enumerate(blocks):
         before.append(last)
@@ -174,7 +177,7 @@ def _passes(blocks: list[_Block], trusted: bool) -> None:
         elif left is None and right is None:
             b.label = "good" if decided[i] == "near" or len(blocks) == 1 else "bad"
         elif left is not None and right is not None and left != right:
-            near = left if i - before[i] < after[i] - i else right if after[i] - i < i - before[i] else "good" if decided[i] == "near" else "bad"
+            near = left if i - before[i] < after[i] - i else right if after[i] - i < i - before[i] else "bad" if b.linked else "good"
             b.label = near
         else:
             b.label = left or right
