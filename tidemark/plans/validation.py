@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import ratio, rounded
 from ..operators import series as S
 from ..operators import stats as ST
+from ..sources.storage import shared_folder
 from ..sources.tables import BARS_SQL, bars, table
 from .registry import query
 
@@ -132,3 +133,56 @@ def cross_asset_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = a.join(b, "i").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ma") * F.col("mb")).alias("dot"))
     p = p.join(n.select(F.col("label").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("label").alias("b"), F.col("n").alias("nb")), "b")
     return p.select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
+
+
+@query()
+def platt_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score to a probability through a logistic curve with two parameters."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / 5000.0).alias("score"))
+    s = d.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    x = VectorAssembler(inputCols=["score"], outputCol="features").transform(s)
+    p = LogisticRegression(maxIter=50).fit(x).transform(x)
+    return p.select("doc_id", F.round(vector_to_array("probability")[1], 6).alias("calibrated"))
+
+
+@query()
+def boosted_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees learned on each series' first seven tenths, written and read back as a model, and scored on the rest."""
+    w = Window.partitionBy("asset").orderBy("d")
+    s = _labelled(spark, sf_dir).withColumn("early", F.percent_rank().over(w) < 0.7)
+    x = VectorAssembler(inputCols=["x1", "x2"], outputCol="features").transform(s)
+    path = shared_folder(spark, "boosted")
+    GBTClassifier(maxIter=10, maxDepth=3, seed=42).fit(x.where("early")).save(path)
+    p = GBTClassificationModel.load(path).transform(x.where("NOT early"))
+    return ST.auc(p.select("asset", "label", F.round(vector_to_array("probability")[1], 9).alias("p")), "asset", "label", "p")
+
+
+@query()
+def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much AUC a model loses when one feature is dealt out anew (by a hash order) among the rows of its series."""
+    s = _labelled(spark, sf_dir).select("asset", "d", "x1", "x2", "label")
+    m = VectorAssembler(inputCols=["x1", "x2"], outputCol="features")
+    model = LogisticRegression(maxIter=20, regParam=0.01).fit(m.transform(s))
+
+    def area(rows: DataFrame, name: str) -> DataFrame:
+        p = model.transform(m.transform(rows)).select("asset", "label", F.round(vector_to_array("probability")[1], 9).alias("p"))
+        return ST.auc(p, "asset", "label", "p").select("asset", F.col("auc").alias(name))
+
+    at = lambda order: F.row_number().over(Window.partitionBy("asset").orderBy(*order))
+    placed = s.withColumn("i", at(["d"]))
+    out = area(s, "whole")
+    for c in ("x1", "x2"):
+        dealt = s.select("asset", F.col(c).alias("_new"), at([F.xxhash64(F.lit(11), "d"), "d"]).alias("i"))
+        out = out.join(area(placed.join(dealt, ["asset", "i"]).withColumn(c, F.col("_new")), f"without_{c}"), "asset")
+    return out.select("asset", "whole", *[F.round(F.col("whole") - F.col(f"without_{c}"), 9).alias(f"loss_{c}") for c in ("x1", "x2")])
+
+
+@query()
+def volatility_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four clusters of mean return and volatility over twenty rows, numbered by rising volatility."""
+    w = S.over("asset", "d")
+    r = bars(spark, sf_dir).select("asset", "d", S.log_return("close", w).alias("r"))
+    x = r.select("asset", "d", S.rolling(F.avg, "r", w, 20).alias("mean"), S.rolling(F.stddev_samp, "r", w, 20).alias("vol")).dropna()
+    v = VectorAssembler(inputCols=["mean", "vol"], outputCol="features").transform(x)
+    c = KMeans(k=4, seed=42).fit(v).transform(v).groupBy("prediction").agg(F.count("*").alias("n"), F.avg("vol").alias("vol"), F.avg("mean").alias("mean"))
+    return rounded(c.select(F.row_number().over(Window.orderBy("vol")).alias("regime"), "n", "vol", "mean"), 4)
