@@ -42,7 +42,7 @@ TASK_SHINGLES = 4_000_000
 #: Texts that share a key and are paired each with each at most; more are only tied together, and searched.
 SMALL = 8
 #: Common shingles that are put last among keys at most (16 bytes each in every worker).
-COMMON = 4_000_000
+COMMON = 2_000_000
 #: Keys that a worker gathers before it sends them off, and the flag of a place whose group is larger than SMALL.
 FLUSH_KEYS = 400_000
 FLAG = 1 << 15
@@ -162,8 +162,16 @@ def common_shingles(docs: DataFrame, k: int, percent: int, bits: int) -> tuple[n
 
     packed = docs.select("text").mapInPandas(gather, "bucket int, keys binary")
     found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_by_bucket(count), "s long, n long")
-    got = found.orderBy(F.desc("n"), "s").limit(COMMON).toPandas().sort_values("s")
-    return got["s"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"s": [f["s"].to_numpy(np.int64).tobytes()], "n": [f["n"].to_numpy(np.int64).tobytes()]})
+
+    # As packed bytes, 16 for each: as rows they would be large objects in the driver.
+    got = found.orderBy(F.desc("n"), "s").limit(COMMON).mapInPandas(pack, "s binary, n binary").collect()
+    value, n = (np.frombuffer(b"".join(r[c] for r in got), np.int64) for c in ("s", "n"))
+    order = np.argsort(value)
+    return value[order].view(np.uint64), n[order]
 
 
 MARKS = "doc_id long, text_hash long, n_shingles long, node long, place long, vector binary, other long, bucket int, keys binary"
