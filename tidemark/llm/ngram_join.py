@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import lower_ascii, materialize, mix64, release, table, window_hashes, word_hashes
 from .components import components
 
-#: Coordinates of the count vectors.
+#: Coordinates of the count vectors that travel with the keys; the tree has more for larger sets.
 GROUPS = 32
 LEAF = 32
 #: Shingles of a group that one task takes; larger ones are split.
@@ -313,8 +313,18 @@ class Tree:
         return self.order[spots]
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((mix64(shingles * _ODD) >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """How many shingles fall into each group (a power of two)."""
+    shift = np.uint64(65 - groups.bit_length())
+    return np.bincount((mix64(shingles * _ODD) >> shift).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def _fine(sizes: np.ndarray) -> int:
+    """Groups for sets of these sizes: some four shingles each, so that the bound tells large sets apart, too, and 64 MB at most."""
+    groups = GROUPS
+    while groups < 4096 and 4 * groups < sizes.mean() and 2 * groups * len(sizes) <= 1 << 24:
+        groups *= 2
+    return groups
 
 
 def links(sets: list[np.ndarray], percent: int, chunk: np.ndarray | None = None, above: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -331,9 +341,10 @@ def links(sets: list[np.ndarray], percent: int, chunk: np.ndarray | None = None,
         return int(i)
 
     found = []
-    tree = Tree(np.stack([count_vector(s) for s in sets]), sizes) if n > 2 else None
+    points = np.stack([count_vector(s, _fine(sizes)) for s in sets]) if n > 2 else None
+    tree = Tree(points, sizes) if n > 2 else None
     for q in range(n):
-        near = tree.near(count_vector(sets[q]), int(sizes[q]), percent) if tree else np.arange(n)
+        near = tree.near(points[q], int(sizes[q]), percent) if tree else np.arange(n)
         near = near[near > q]
         if chunk is not None:
             near = near[chunk[near] != chunk[q]]
