@@ -341,7 +341,8 @@ def links(sets: list[np.ndarray], percent: int, chunk: np.ndarray | None = None,
         return int(i)
 
     found = []
-    points = np.stack([count_vector(s, _fine(sizes)) for s in sets]) if n > 2 else None
+    groups = _fine(sizes)
+    points = np.stack([count_vector(s, groups) for s in sets]) if n > 2 else None
     tree = Tree(points, sizes) if n > 2 else None
     for q in range(n):
         near = tree.near(points[q], int(sizes[q]), percent) if tree else np.arange(n)
