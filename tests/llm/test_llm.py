@@ -39,7 +39,7 @@ def empty(spark):
 
 def test_queries_are_registered():
     found = registry.queries()
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in found) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in found) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(found)
 
 

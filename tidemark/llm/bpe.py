@@ -40,8 +40,9 @@ NEWER = (
     "1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F "
     "2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
 )
-#: Distinct words whose tokens a worker keeps; beyond it the cache starts anew, which costs time and changes no result.
-CACHE_WORDS = 1_000_000
+#: Bytes of distinct words and their tokens that a worker keeps; beyond it the cache starts anew, which costs time and changes
+#: no result. Longer words than the second are never kept.
+CACHE_BYTES, KEPT_WORD = 160_000_000, 256
 #: Words longer than this are cut and merged on their own, outside the automaton's batch.
 LONG_WORD = 4_000
 _NEVER = np.int64(1) << np.int64(40)
@@ -55,16 +56,17 @@ def byte_alphabet() -> list[str]:
 
 
 class Bpe:
-    """Vocabulary, merges and special tokens of a tokenizer file, with the encoder and the decoder."""
+    """Vocabulary, merges and special tokens of a tokenizer file, with the encoder and the decoder. Without specials their
+    strings are plain text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, specials: bool = True) -> None:
         spec = json.load(open(path, encoding="utf-8"))
         vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.alphabet = byte_alphabet()
         self.to_shown = {i: c for i, c in enumerate(self.alphabet)}
         to_byte = {c: i for i, c in enumerate(self.alphabet)}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]} if specials else {}
         self.special_cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.split = regex.compile(SPLIT)
         newer = "[" + "".join("-".join(rf"\U{x:0>8}" for x in r.split("-")) for r in NEWER.split()) + "]"
@@ -101,6 +103,7 @@ class Bpe:
         self.pairs, self.pair_rank, self.size = pairs[order], order.astype(np.int64), size
         self.byte_rank = self._ranks(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256)).reshape(256, 256)
         self.seen: dict[str, str] = {}
+        self.held = 0
 
     @staticmethod
     def _spine(halves: np.ndarray, side: int) -> np.ndarray:
@@ -220,8 +223,8 @@ class Bpe:
         ends = np.cumsum(np.fromiter(map(len, shown), np.int64, len(shown)) + 1) - 1
         return hits[:, 1], np.diff(np.searchsorted(hits[:, 0], ends), prepend=0)
 
-    def learn(self, words: list[str]) -> None:
-        """Put the tokens of new words into the cache, as decimal ids joined by commas."""
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of words, one word after the other, and how many each has."""
         data = [w.encode() for w in words]
         long = {i for i, d in enumerate(data) if len(d) > LONG_WORD}
         shown = [d.decode("latin-1").translate(self.to_shown) if len(d) <= LONG_WORD else "" for d in data]
@@ -230,12 +233,27 @@ class Bpe:
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         distinct, back = np.unique(ids[inner] * self.size + ids[inner + 1], return_inverse=True)
         fails = ~self.compatible(distinct // self.size, distinct % self.size)[back]
+        bad = sorted(set(owner[inner[fails]].tolist()) | long)
+        if not bad:
+            return ids, counts
+        merged = self.merge_all([data[i] for i in bad])
+        failed = np.zeros(len(words), bool)
+        failed[bad] = True
+        proposed = ids[~failed[owner]]
+        counts = counts.copy()
+        counts[bad] = [len(m) for m in merged]
+        out = np.empty(counts.sum(), np.int64)
+        exact = np.repeat(failed, counts)
+        out[~exact] = proposed
+        out[exact] = np.fromiter(chain.from_iterable(merged), np.int64)
+        return out, counts
+
+    def learn(self, words: list[str]) -> None:
+        """Put the tokens of new words into the cache, as decimal ids joined by commas."""
+        ids, counts = self.tokens(words)
         text = list(map(str, ids.tolist()))
         ends = np.cumsum(counts)
         self.seen.update(zip(words, [",".join(text[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)], strict=True))
-        bad = sorted(set(owner[inner[fails]].tolist()) | long)
-        for i, merged in zip(bad, self.merge_all([data[i] for i in bad]), strict=True):
-            self.seen[words[i]] = ",".join(map(str, merged))
 
     def cut(self, text: str) -> list[str]:
         """The words of a text; special tokens are words of their own."""
@@ -249,12 +267,19 @@ class Bpe:
 
     def encode_batch(self, texts: list[str]) -> list[str]:
         """The decimal ids of each text, joined by commas."""
-        if len(self.seen) > CACHE_WORDS or not self.seen:
-            self.seen = {s: str(i) for s, i in self.special.items()}
+        if self.held > CACHE_BYTES or not self.held:
+            self.seen, self.held = {s: str(i) for s, i in self.special.items()}, 1
         parts = [self.cut(t) for t in texts]
-        if new := list(set(chain.from_iterable(parts)).difference(self.seen)):
+        new = list(set(chain.from_iterable(parts)).difference(self.seen))
+        if new:
             self.learn(new)
-        return [",".join(map(self.seen.__getitem__, p)) for p in parts]
+        out = [",".join(map(self.seen.__getitem__, p)) for p in parts]
+        for w in new:
+            if len(w) > KEPT_WORD:
+                del self.seen[w]
+            else:
+                self.held += 2 * len(w) + len(self.seen[w]) + 200
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of token ids: their bytes in a row, read as UTF-8."""

@@ -16,6 +16,9 @@ MODULES = {
     "op8_substring": "substring_dedup",
     "op9_ann": "ann",
     "op10_html": "html_extract",
+    "op11_alignment": "alignment",
+    "op12_exact_dedup": "exact_dedup",
+    "op13_fill_middle": "fill_middle",
 }
 
 
