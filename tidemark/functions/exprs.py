@@ -90,6 +90,18 @@ def ratio(a, b) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def corr(x, y, frame=None) -> Column:
+    """Pearson's correlation of the pairs that are complete, over rows or a window; null (not an error, not NaN) where either
+    side does not vary."""
+    a, b = F.when(col(y).isNotNull(), col(x)).cast("double"), F.when(col(x).isNotNull(), col(y)).cast("double")
+    parts = [F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b)]
+    both, sa, sb = (p.over(frame) for p in parts) if frame is not None else parts
+    # Of a constant, rounding can leave a deviation of some parts in 10**16 of its size.
+    size = lambda v: F.max(F.abs(v)) if frame is None else F.max(F.abs(v)).over(frame)
+    varies = (sa > 1e-13 * size(a)) & (sb > 1e-13 * size(b))
+    return F.when(varies, F.try_divide(both, sa * sb))
+
+
 def finite(x) -> Column:
     """Null for NaN and infinities."""
     return F.when(F.isnan(col(x)) | (F.abs(col(x)) == float("inf")), F.lit(None)).otherwise(col(x))

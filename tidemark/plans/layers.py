@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clamp, decay, ratio, rounded, weighted_mean
+from ..functions.exprs import clamp, corr, decay, ratio, rounded, weighted_mean
 from ..operators import folds as O
 from ..operators import series as S
 from ..operators import stats as ST
@@ -146,7 +146,7 @@ def lead_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _returns(spark, sf_dir)
     x = r.select("asset", "v", *[shift(h).alias(f"r{h + 10}") for h in hs])
     both = lambda h: F.col("v").isNotNull() & F.col(f"r{h + 10}").isNotNull()
-    g = x.groupBy("asset").agg(*[F.struct(F.lit(h).alias("h"), F.count_if(both(h)).alias("n"), F.round(F.corr(F.when(both(h), F.col("v")), F.when(both(h), F.col(f"r{h + 10}"))), 8).alias("c")).alias(f"s{h + 10}") for h in hs])
+    g = x.groupBy("asset").agg(*[F.struct(F.lit(h).alias("h"), F.count_if(both(h)).alias("n"), F.round(corr("v", f"r{h + 10}"), 8).alias("c")).alias(f"s{h + 10}") for h in hs])
     return g.select("asset", F.inline(F.array(*[f"s{h + 10}" for h in hs])))
 
 
@@ -191,8 +191,8 @@ def slowing_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = _returns(spark, sf_dir).select("asset", "d", "r", F.lag("r").over(w).alias("p")).where("p IS NOT NULL")  # noqa: E741
     f = w.rowsBetween(-59, 0)
     mean = lambda k: F.avg(F.col("r") ** k).over(f)
-    skew = (mean(3) - 3 * mean(1) * mean(2) + 2 * mean(1) ** 3) / F.pow(mean(2) - mean(1) ** 2, F.lit(1.5))
-    c = l.select("asset", "d", F.count("p").over(f).alias("n"), F.corr("r", "p").over(f).alias("rho1"), skew.alias("skew")).where("n = 60")
+    skew = ratio(mean(3) - 3 * mean(1) * mean(2) + 2 * mean(1) ** 3, F.pow(mean(2) - mean(1) ** 2, F.lit(1.5)))
+    c = l.select("asset", "d", F.count("p").over(f).alias("n"), corr("r", "p", f).alias("rho1"), skew.alias("skew")).where("n = 60")
     return rounded(c.select("asset", "d", "rho1", "skew"))
 
 
@@ -207,7 +207,7 @@ def fisher_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     r = _returns(spark, sf_dir).where("r IS NOT NULL")
     m = r.groupBy("asset").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.count("r").alias("n"))
-    z = r.join(m, "asset").select("asset", (1.06 * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"), "n", (F.round((F.col("r") - F.col("m")) / F.col("s") * 200) / 200).alias("z"))
+    z = r.join(m, "asset").select("asset", (1.06 * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"), "n", (F.round(ratio(F.col("r") - F.col("m"), "s") * 200) / 200).alias("z"))
     q = z.groupBy("asset", "bw", "n", "z").agg(F.count("*").alias("k")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(511))))
     far = -5 + F.col("i") * 10 / 511.0 - F.col("z")
     bell = F.col("k") * F.exp(-far * far / (2 * F.col("bw") ** 2))

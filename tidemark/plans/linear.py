@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio, rounded
+from ..functions.exprs import corr, ratio, rounded
 from ..operators import series as S
 from ..operators import stats as ST
 from ..sources.tables import BARS_SQL, bars
@@ -30,7 +30,7 @@ def two_regressors(df: DataFrame, key: str, order: str, y: str, a: str, b: str,
     s = lambda p, q: F.sum(F.col(f"_{p}") * F.col(f"_{q}"))
     m = x.groupBy(key).agg(F.count("*").alias("n"), s(a, a).alias("aa"), s(b, b).alias("bb"), s(a, b).alias("ab"), s(y, a).alias("ya"), s(y, b).alias("yb"), s(y, y).alias("yy"))
     det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
-    m = m.withColumns({"b1": (F.col("ya") * F.col("bb") - F.col("yb") * F.col("ab")) / det, "b2": (F.col("yb") * F.col("aa") - F.col("ya") * F.col("ab")) / det, "_det": det})
+    m = m.withColumns({"b1": ratio(F.col("ya") * F.col("bb") - F.col("yb") * F.col("ab"), det), "b2": ratio(F.col("yb") * F.col("aa") - F.col("ya") * F.col("ab"), det), "_det": det})
     e = x.join(m.select(key, "b1", "b2"), key).withColumn("_e", F.col(f"_{y}") - F.col("b1") * F.col(f"_{a}") - F.col("b2") * F.col(f"_{b}"))
     e = e.withColumns({"u": F.col("_e") * F.col(f"_{a}"), "v": F.col("_e") * F.col(f"_{b}")})
     w = S.over(key, order)
@@ -45,12 +45,12 @@ def two_regressors(df: DataFrame, key: str, order: str, y: str, a: str, b: str,
 
     def error(first: str, second: str, uu: str, uv: str, vv: str, scale) -> F.Column:
         # The diagonal of inverse(X'X) * meat * inverse(X'X) for the slope of the first regressor.
-        p, q = F.col(first) / F.col("_det"), -F.col("ab") / F.col("_det")
+        p, q = ratio(first, "_det"), ratio(-F.col("ab"), "_det")
         return F.sqrt(F.greatest((p * p * F.col(uu) + 2 * p * q * F.col(uv) + q * q * F.col(vv)) * scale, F.lit(0.0)))
 
-    hc = F.col("n") / (F.col("n") - 3)
+    hc = ratio("n", F.col("n") - 3)
     return t.select(
-        key, "n", "b1", "b2", (1 - F.col("ee") / F.col("yy")).alias("r2"),
+        key, "n", "b1", "b2", (1 - ratio("ee", "yy")).alias("r2"),
         error("bb", "aa", "uu0", "uv0", "vv0", hc).alias("se1_hc"), error("aa", "bb", "vv0", "uv0", "uu0", hc).alias("se2_hc"),
         error("bb", "aa", "uu1", "uv1", "vv1", F.lit(1.0)).alias("se1_hac"), error("aa", "bb", "vv1", "uv1", "uu1", F.lit(1.0)).alias("se2_hac"),
     )
@@ -102,8 +102,8 @@ def partial_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = S.over("asset", "d")
     f = _returns(spark, sf_dir).select("asset", F.col("v").alias("x"), F.round(F.lead("close", 7).over(w) / F.col("close") - 1, 10).alias("y"), F.round(F.col("close") / F.lag("close", 7).over(w) - 1, 10).alias("z")).dropna()
     k = f.select("asset", *[ST.average_rank(c, "asset").alias(f"r{c}") for c in "xyz"])
-    c = k.groupBy("asset").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("xy"), F.corr("rx", "rz").alias("xz"), F.corr("ry", "rz").alias("yz"))
-    part = (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))
+    c = k.groupBy("asset").agg(F.count("*").alias("n"), corr("rx", "ry").alias("xy"), corr("rx", "rz").alias("xz"), corr("ry", "rz").alias("yz"))
+    part = ratio(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2)))
     return rounded(c.select("asset", "n", F.col("xy").alias("ic"), part.alias("partial_ic")), 9)
 
 
@@ -135,7 +135,7 @@ def clark_west(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _returns(spark, sf_dir).where("r IS NOT NULL").select("asset", "r", F.avg("r").over(past).alias("f0"), F.avg("r").over(w.rowsBetween(-20, -1)).alias("f1"), F.count("r").over(past).alias("k")).where("k >= 60")
     e0, e1 = (F.col("r") - F.col("f0")) ** 2, (F.col("r") - F.col("f1")) ** 2
     g = f.select("asset", e0.alias("e0"), e1.alias("e1"), (e0 - e1 + (F.col("f0") - F.col("f1")) ** 2).alias("c"))
-    return g.groupBy("asset").agg(F.count("*").alias("n"), F.round(1 - F.sum("e1") / F.sum("e0"), 8).alias("r2_os"), F.round(F.avg("c") / (F.stddev_samp("c") / F.sqrt(F.count("*"))), 6).alias("stat"))
+    return g.groupBy("asset").agg(F.count("*").alias("n"), F.round(1 - ratio(F.sum("e1"), F.sum("e0")), 8).alias("r2_os"), F.round(ratio(F.avg("c"), F.stddev_samp("c") / F.sqrt(F.count("*"))), 6).alias("stat"))
 
 
 ASSETS = ("A", "N", "R")
@@ -157,10 +157,10 @@ def effective_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = z.groupBy("d").agg(F.sum(F.col("z") * F.col("z")).alias("q"), F.count("z").alias("n"), *[F.max(F.when(F.col("asset") == a, F.col("r"))).alias(f"r_{a}") for a in ASSETS])
     f = Window.partitionBy(F.lit(0)).orderBy("d").rowsBetween(-59, 0)
     both = lambda x, y: F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(f) >= 60
-    rho = [F.when(both(f"r_{x}", f"r_{y}"), F.corr(f"r_{x}", f"r_{y}").over(f)) for x, y in _PAIRS]
+    rho = [F.when(both(f"r_{x}", f"r_{y}"), corr(f"r_{x}", f"r_{y}", f)) for x, y in _PAIRS]
     m = t.withColumn("rho", sum(rho[1:], rho[0]) / len(rho)).where("n > 0").withColumn("t_eff", F.col("q") / F.col("n"))
     state = F.when(F.col("t_eff") >= 2, "Hot").when(F.col("t_eff") >= 1, "Warm").otherwise("Cold")
-    return rounded(m.select("d", "n", "t_eff", state.alias("state"), (F.col("n") / (1 + (F.col("n") - 1) * F.col("rho"))).alias("n_eff")))
+    return rounded(m.select("d", "n", "t_eff", state.alias("state"), ratio("n", 1 + (F.col("n") - 1) * F.col("rho")).alias("n_eff")))
 
 
 _near = lambda x, y: f"coalesce((r{x} * r{y} + v{x} * v{y} + m{x} * m{y}) / nullif(sqrt(r{x} * r{x} + v{x} * v{x} + m{x} * m{x}) * sqrt(r{y} * r{y} + v{y} * v{y} + m{y} * m{y}), 0), 0)"
@@ -200,7 +200,7 @@ SELECT asset, metric, round(rho, 6) AS mean_rho, round(w / sum(w) OVER (PARTITIO
 def correlation_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights cut by each metric's mean correlation with the others, and renormalised; one pass over the bars."""
     pairs = [(x, y) for i, x in enumerate(METRICS) for y in METRICS[i + 1 :]]
-    c = bars(spark, sf_dir).groupBy("asset").agg(*[F.abs(F.corr(x, y)).alias(_ab(x, y)) for x, y in pairs])
+    c = bars(spark, sf_dir).groupBy("asset").agg(*[F.abs(corr(x, y)).alias(_ab(x, y)) for x, y in pairs])
     mean = lambda m: sum((F.col(_ab(m, o)) for o in METRICS if o != m), F.lit(0.0)) / (len(METRICS) - 1)
     u = c.select("asset", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), mean(m).alias("mean_rho")) for m in METRICS])))
     u = u.withColumn("w", 0.2 * F.greatest(F.lit(0.05), 1 - F.col("mean_rho")))
@@ -226,7 +226,7 @@ def stress_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = sum((F.col(c) * F.col(c) * _cw[c] ** 2 for c in _subs), F.lit(0.0))
     for i, p in enumerate(_subs):
         for q in _subs[i + 1 :]:
-            total = total + 2 * _cw[p] * _cw[q] * F.col(p) * F.col(q) * F.when(F.count("*").over(f) >= 60, F.corr(p, q).over(f))
+            total = total + 2 * _cw[p] * _cw[q] * F.col(p) * F.col(q) * F.when(F.count("*").over(f) >= 60, corr(p, q, f))
     return x.withColumn("t", total).where("t > 1e-9").select("asset", "d", F.round(F.sqrt("t"), 6).alias("ciss"))
 
 
@@ -252,7 +252,7 @@ def metric_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     Correlations are one aggregation in Spark; the tree is built on a matrix of five by five for each series.
     """
     pairs = [(x, y) for i, x in enumerate(METRICS) for y in METRICS[i + 1 :]]
-    c = bars(spark, sf_dir).groupBy("asset").agg(*[F.corr(x, y).alias(_ab(x, y)) for x, y in pairs])
+    c = bars(spark, sf_dir).groupBy("asset").agg(*[corr(x, y).alias(_ab(x, y)) for x, y in pairs])
 
     def tree(f: pd.DataFrame) -> pd.DataFrame:
         r = f.iloc[0]

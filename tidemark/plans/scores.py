@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as C
-from ..functions.exprs import bucket, clamp, decay, ratio, rounded, weighted_mean
+from ..functions.exprs import bucket, clamp, corr, decay, ratio, rounded, weighted_mean
 from ..operators import series as S
 from ..sources.tables import BARS_SQL, bars
 from .registry import query
@@ -24,7 +24,7 @@ def _wide(spark, sf_dir) -> DataFrame:
     return bars(spark, sf_dir).select(
         "asset", "d", "close", "volume", "quote", "n",
         (100 * (F.col("close") / F.lag("close").over(w) - 1) / 10).alias("chg"), (40 + 30 * low_high).alias("dom"), (0.5 + F.col("n") / 20.0).alias("pc"),
-        F.least(F.lit(100.0), F.col("volume") / 4).alias("fng"), (40 + 60 * (1 - low_high)).alias("dvol"), (95 + F.col("n")).cast("double").alias("dxy"), F.when(F.count("*").over(w.rowsBetween(-59, 0)) >= 2, F.corr("close", "volume").over(w.rowsBetween(-59, 0))).alias("c"),
+        F.least(F.lit(100.0), F.col("volume") / 4).alias("fng"), (40 + 60 * (1 - low_high)).alias("dvol"), (95 + F.col("n")).cast("double").alias("dxy"), F.when(F.count("*").over(w.rowsBetween(-59, 0)) >= 2, corr("close", "volume", w.rowsBetween(-59, 0))).alias("c"),
     )
 
 

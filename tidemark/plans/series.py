@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio, rounded
+from ..functions.exprs import corr, ratio, rounded
 from ..operators import folds as O
 from ..operators import series as S
 from ..sources.tables import BARS_SQL, bars
@@ -88,7 +88,7 @@ def rolling_quantile_75(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rolling_corr_60(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, w = _bars(spark, sf_dir)
     f = w.rowsBetween(-59, 0)
-    return b.select("asset", "d", F.round(F.when(F.count("*").over(f) >= 60, F.corr("close", "volume").over(f)), 6).alias("c"))
+    return b.select("asset", "d", F.round(F.when(F.count("*").over(f) >= 60, corr("close", "volume", f)), 6).alias("c"))
 
 
 @query(f"""WITH {BARS_SQL}, r AS (SELECT asset, d, ln(close) - ln(lag(close) {W})) AS r FROM bars)
@@ -244,12 +244,12 @@ def every_fifth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.withColumn("i", F.row_number().over(w) - 1).where("i % 5 = 0").select("asset", "d", "close")
 
 
-@query(f"""WITH {BARS_SQL}, k AS (SELECT asset, d, close - lag(close) {W}) AS x, row_number() {W}) AS i FROM bars) SELECT asset, round(100 - 100 / (1 + avg(greatest(x, 0)) / avg(greatest(-x, 0))), 6) AS rsi FROM k WHERE i BETWEEN 2 AND 15 GROUP BY asset""")
+@query(f"""WITH {BARS_SQL}, k AS (SELECT asset, d, close - lag(close) {W}) AS x, row_number() {W}) AS i FROM bars) SELECT asset, round(coalesce(100 - 100 / (1 + avg(greatest(x, 0)) / nullif(avg(greatest(-x, 0)), 0)), 100), 6) AS rsi FROM k WHERE i BETWEEN 2 AND 15 GROUP BY asset""")
 def rsi_first_14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index from the means of the first fourteen changes only."""
+    """The index from the means of the first fourteen changes only; 100 without a fall."""
     b, w = _bars(spark, sf_dir)
     k = b.select("asset", (F.col("close") - F.lag("close").over(w)).alias("x"), F.row_number().over(w).alias("i")).where("i BETWEEN 2 AND 15")
-    return k.groupBy("asset").agg(F.round(100 - 100 / (1 + F.avg(F.greatest("x", F.lit(0.0))) / F.avg(F.greatest(-F.col("x"), F.lit(0.0)))), 6).alias("rsi"))
+    return k.groupBy("asset").agg(F.round(F.coalesce(100 - 100 / (1 + ratio(F.avg(F.greatest("x", F.lit(0.0))), F.avg(F.greatest(-F.col("x"), F.lit(0.0))))), F.lit(100.0)), 6).alias("rsi"))
 
 
 @query(f"""WITH {BARS_SQL}, l AS (SELECT asset, d, close AS x0, lag(close, 3) {W}) AS x1, lag(close, 6) {W}) AS x2 FROM bars) SELECT asset, d, round(x0, 6) AS x0, round(x1, 6) AS x1, round(x2, 6) AS x2 FROM l WHERE x2 IS NOT NULL""", text=D)
@@ -266,7 +266,7 @@ def rolling_corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, w = _bars(spark, sf_dir)
     f = w.rowsBetween(-59, 0)
     pairs = [("close", "quote"), ("close", "volume"), ("quote", "volume")]
-    c = b.select("asset", "d", F.count("*").over(f).alias("n"), *[F.corr(x, y).over(f).alias(f"{x}/{y}") for x, y in pairs]).where("n >= 60")
+    c = b.select("asset", "d", F.count("*").over(f).alias("n"), *[corr(x, y, f).alias(f"{x}/{y}") for x, y in pairs]).where("n >= 60")
     return c.select("asset", "d", F.inline(F.array(*[F.struct(F.lit(f"{x}/{y}").alias("pair"), F.round(F.col(f"{x}/{y}"), 6).alias("c")) for x, y in pairs])))
 
 

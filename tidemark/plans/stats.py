@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio, rounded
+from ..functions.exprs import corr, ratio, rounded
 from ..operators import series as S
 from ..operators import stats as ST
 from ..sources.tables import BARS_SQL, bars, table
@@ -99,7 +99,7 @@ def corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of every pair of columns: one pass with one aggregate for each pair, no self join."""
     names = sorted(["open", "high", "low", "close", "volume"])
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    wide = bars(spark, sf_dir).groupBy("asset").agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    wide = bars(spark, sf_dir).groupBy("asset").agg(*[corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     each = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{a}|{b}").alias("c")) for a, b in pairs])
     return wide.select("asset", F.inline(each)).select("asset", "x", "y", F.round("c", 6).alias("c"))
 
@@ -111,7 +111,7 @@ def rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spearman's correlation of a feature with the return that follows (ties averaged)."""
     f = _returns(spark, sf_dir).select("asset", "d", F.round("v", 10).alias("x"), F.round(F.ln(F.lead("close", 7).over(S.over("asset", "d"))) - F.ln("close"), 10).alias("y")).dropna()
     k = f.select("asset", ST.average_rank("x", "asset").alias("rx"), ST.average_rank("y", "asset").alias("ry"))
-    return k.groupBy("asset").agg(F.round(F.corr("rx", "ry"), 9).alias("ic"))
+    return k.groupBy("asset").agg(F.round(corr("rx", "ry"), 9).alias("ic"))
 
 
 @query(f"""WITH {RET_SQL}, l AS (SELECT asset, r AS y, lag(v) {W} AS x FROM r)
@@ -130,11 +130,11 @@ def granger_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a second series' past adds to a series' own past: the F statistic, and the posterior from BIC."""
     w = S.over("asset", "d")
     l = _returns(spark, sf_dir).select("asset", F.col("r").alias("y"), F.lag("r").over(w).alias("a"), F.lag("v").over(w).alias("b")).dropna()  # noqa: E741
-    c = l.groupBy("asset").agg(F.count("*").alias("n"), F.corr("y", "a").alias("ya"), F.corr("y", "b").alias("yb"), F.corr("a", "b").alias("ab"))
+    c = l.groupBy("asset").agg(F.count("*").alias("n"), corr("y", "a").alias("ya"), corr("y", "b").alias("yb"), corr("a", "b").alias("ab"))
     ya, yb, ab, n = (F.col(k) for k in ("ya", "yb", "ab", "n"))
-    c = c.withColumn("r0", ya * ya).withColumn("r1", (ya * ya + yb * yb - 2 * ya * yb * ab) / (1 - ab * ab))
+    c = c.withColumn("r0", ya * ya).withColumn("r1", ratio(ya * ya + yb * yb - 2 * ya * yb * ab, 1 - ab * ab))
     gain = F.exp((n * F.ln(1 - F.col("r0")) - n * F.ln(1 - F.col("r1")) - F.ln(n)) / 2)
-    return rounded(c.select("asset", "n", ((F.col("r1") - F.col("r0")) / ((1 - F.col("r1")) / (n - 3))).alias("f_stat"), (gain / (1 + gain)).alias("bic_posterior")))
+    return rounded(c.select("asset", "n", ratio(F.col("r1") - F.col("r0"), ratio(1 - F.col("r1"), n - 3)).alias("f_stat"), (gain / (1 + gain)).alias("bic_posterior")))
 
 
 @query(f"""WITH {RET_SQL}, f AS (SELECT asset, d, v AS x, lead(close, 7) {W} / close - 1 AS y FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY x, d) AS i, count(*) OVER (PARTITION BY asset) AS n FROM f WHERE x IS NOT NULL AND y IS NOT NULL)
@@ -234,7 +234,7 @@ SELECT asset, round(avg(dif) / (stddev_samp(dif) / sqrt(count(*))), 6) AS dm, ro
 def diebold_mariano(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether two forecasts' losses differ, and the size of the effect."""
     e = _returns(spark, sf_dir).where("r IS NOT NULL AND v IS NOT NULL").select("asset", (F.abs("r") - F.abs("v")).alias("dif"))
-    return rounded(e.groupBy("asset").agg((F.avg("dif") / (F.stddev_samp("dif") / F.sqrt(F.count("*")))).alias("dm"), (F.avg("dif") / F.stddev_samp("dif")).alias("cohen_d")))
+    return rounded(e.groupBy("asset").agg(ratio(F.avg("dif"), F.stddev_samp("dif") / F.sqrt(F.count("*"))).alias("dm"), ratio(F.avg("dif"), F.stddev_samp("dif")).alias("cohen_d")))
 
 
 @query(f"""WITH {RET_SQL}, m AS (SELECT asset, d, r, avg(r) OVER (PARTITION BY asset) AS mu FROM r WHERE r IS NOT NULL),
@@ -245,7 +245,7 @@ def acf_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = S.over("asset", "d")
     m = _returns(spark, sf_dir).where("r IS NOT NULL").withColumn("x", F.col("r") - F.avg("r").over(Window.partitionBy("asset")))
     m = m.withColumns({f"y{k}": F.lag("x", k).over(w) for k in range(1, 6)})
-    a = m.groupBy("asset").agg(*[(F.sum(F.col("x") * F.col(f"y{k}")) / F.sum(F.col("x") * F.col("x"))).alias(f"a{k}") for k in range(1, 6)])
+    a = m.groupBy("asset").agg(*[ratio(F.sum(F.col("x") * F.col(f"y{k}")), F.sum(F.col("x") * F.col("x"))).alias(f"a{k}") for k in range(1, 6)])
     return a.select("asset", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.round(f"a{k}", 9).alias("acf")) for k in range(1, 6)])))
 
 
@@ -333,6 +333,6 @@ def forecast_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = lambda hit: F.avg(hit.cast("int"))
     out = h.groupBy("asset", "busy").agg(
         F.count("*").alias("n"), share(F.signum("b") == F.signum("r")).alias("accuracy"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.avg("e").alias("bias"),
-        F.corr("e", "e1").alias("autocorr"), share(F.signum("a") != F.signum("b")).alias("disagree"), F.count_if(F.col("was") != F.col("busy")).alias("turns"),
+        corr("e", "e1").alias("autocorr"), share(F.signum("a") != F.signum("b")).alias("disagree"), F.count_if(F.col("was") != F.col("busy")).alias("turns"),
     )
     return rounded(out)

@@ -10,7 +10,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio, rounded
+from ..functions.exprs import corr, ratio, rounded
 from ..operators import series as S
 from ..operators import stats as ST
 from ..sources.storage import shared_folder
@@ -82,7 +82,7 @@ def validate_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = s.withColumn("q", F.ntile(5).over(Window.partitionBy("asset", "era").orderBy("x1", "d")))
     on = lambda q, c: F.avg(F.when(F.col("q") == q, c))
     up = (F.col("y") > 0).cast("double")
-    return k.groupBy("asset", "era").agg(F.count("*").alias("n"), F.round(on(5, F.col("y")) - on(1, F.col("y")), 5).alias("gap"), F.round(on(5, up), 6).alias("p_up_top"), F.round(F.corr("x1", "y"), 6).alias("ic"))
+    return k.groupBy("asset", "era").agg(F.count("*").alias("n"), F.round(on(5, F.col("y")) - on(1, F.col("y")), 5).alias("gap"), F.round(on(5, up), 6).alias("p_up_top"), F.round(corr("x1", "y"), 6).alias("ic"))
 
 
 @query()
