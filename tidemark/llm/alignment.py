@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,10 +34,10 @@ from . import bpe
 from .common import materialize, scratch, table
 
 #: Bytes of stretches and of their groups that a worker keeps; beyond it those used least go, which changes no result.
-CACHE_BYTES = 96_000_000
+CACHE_BYTES, ENTRY_BYTES = 96_000_000, 400
 #: Bytes of stretches that the piece model cuts in one call.
 RUN_BYTES = 8_000
-#: Characters aligned at once.
+#: Bytes of texts aligned at once.
 BATCH_CHARS = 500_000
 # Unicode's white space.
 _SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -126,7 +127,7 @@ class Aligner:
         self.links, self.n_links = np.zeros(4096, np.int32), 0
 
     def _size(self, texts: list[str], groups: list[str]) -> int:
-        return sum(map(len, texts)) + sum(map(len, groups)) + 250 * len(texts)
+        return sum(map(len, texts)) + sum(map(len, groups)) + ENTRY_BYTES * len(texts)
 
     def shrink(self) -> None:
         """Keep the stretches that were used most, up to half of the room."""
@@ -267,18 +268,14 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Places and texts in groups of bounded size, nulls as empty."""
-    start, group, held = 0, [], 0
-    for k, t in enumerate(texts):
-        t = t or ""
-        if group and held + len(t) > BATCH_CHARS:
-            yield start, group
-            start, group, held = k, [], 0
-        group.append(t)
-        held += len(t)
-    if group:
-        yield start, group
+def _groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Places and texts in groups of bounded size, nulls as empty; only one group is held as Python strings."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // BATCH_CHARS
+    starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for a, b in zip(starts, starts[1:], strict=False):
+        if a < b:
+            yield a, [t or "" for t in texts.slice(a, b - a).to_pylist()]
 
 
 def align(docs: DataFrame, vocabulary: str | None = None, model: str | None = None, text: str = "text") -> DataFrame:
@@ -291,7 +288,7 @@ def align(docs: DataFrame, vocabulary: str | None = None, model: str | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = load(*paths)
         for batch in batches:
-            for start, group in _groups(batch.column(text).to_pylist()):
+            for start, group in _groups(batch.column(text)):
                 stats, groups, n_links, links = both.align(group)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n_links)]).astype(np.int32))
                 own = [pa.array(stats[0]), pa.array(stats[1]), pa.array(stats[2]), pa.array(groups, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(links))]
