@@ -18,6 +18,7 @@ the query; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +38,8 @@ from .common import materialize, scratch, table
 CACHE_BYTES, ENTRY_BYTES = 96_000_000, 400
 #: Bytes of stretches that the piece model cuts in one call.
 RUN_BYTES = 8_000
+#: Rows whose links are looked up at once.
+SCORED_ROWS = 500
 #: Bytes of texts aligned at once.
 BATCH_CHARS = 500_000
 # Unicode's white space.
@@ -278,9 +281,9 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
             yield a, [t or "" for t in texts.slice(a, b - a).to_pylist()]
 
 
-def align(docs: DataFrame, vocabulary: str | None = None, model: str | None = None, text: str = "text") -> DataFrame:
+def align(docs: DataFrame, vocabulary: str | None = None, model: str | None = None, text: str = "text", digest: bool = False) -> DataFrame:
     """docs with n_a, n_b (tokens), n_overlaps, groups (`a1,a2|b1;a3|b2,b3`) and links (the number of the linked pair at each
-    cut, see Aligner.pairs)."""
+    cut, see Aligner.pairs). With digest, groups are given as their SHA-256 (nothing for nothing), which moves far less."""
     paths = (vocabulary or default_paths()[0], model or default_paths()[1])
     kept = [f for f in docs.schema.fields if f.name not in _OWN]
     names = [f.name for f in kept]
@@ -290,6 +293,8 @@ def align(docs: DataFrame, vocabulary: str | None = None, model: str | None = No
         for batch in batches:
             for start, group in _groups(batch.column(text)):
                 stats, groups, n_links, links = both.align(group)
+                if digest:
+                    groups = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in groups]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n_links)]).astype(np.int32))
                 own = [pa.array(stats[0]), pa.array(stats[1]), pa.array(stats[2]), pa.array(groups, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(links))]
                 part = batch.slice(start, len(group))
@@ -319,7 +324,7 @@ def link_scores(aligned: DataFrame, counts: tuple[np.ndarray, np.ndarray]) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, best = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, SCORED_ROWS) for b in batches for at in range(0, b.num_rows, SCORED_ROWS)):
             column = batch.column("links")
             links, offsets = column.flatten().to_numpy(), column.offsets.to_numpy().astype(np.int64)
             offsets = offsets - offsets[0]
@@ -335,10 +340,9 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and a digest of the alignment of every document. Texts are aligned once; what is written for the second look
     are digests and the numbers of linked pairs."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = align(docs).drop("text")
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    found = align(docs, digest=True).withColumnRenamed("groups", "groups_sha256")
     with scratch() as own:
-        thin = materialize(found.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+        thin = materialize(found.drop("text"), "aligned")
         own.keep(thin)
         scored = link_scores(thin, pair_counts(thin))
     return scored.select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
