@@ -281,11 +281,12 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
             yield a, [t or "" for t in texts.slice(a, b - a).to_pylist()]
 
 
-def align(docs: DataFrame, vocabulary: str | None = None, model: str | None = None, text: str = "text", digest: bool = False) -> DataFrame:
+def align(docs: DataFrame, vocabulary: str | None = None, model: str | None = None, text: str = "text", digest: bool = False, keep: list[str] | None = None) -> DataFrame:
     """docs with n_a, n_b (tokens), n_overlaps, groups (`a1,a2|b1;a3|b2,b3`) and links (the number of the linked pair at each
-    cut, see Aligner.pairs). With digest, groups are given as their SHA-256 (nothing for nothing), which moves far less."""
+    cut, see Aligner.pairs). With digest, groups are given as their SHA-256 (nothing for nothing), which moves far less; keep names the
+    columns of docs that are kept (else all)."""
     paths = (vocabulary or default_paths()[0], model or default_paths()[1])
-    kept = [f for f in docs.schema.fields if f.name not in _OWN]
+    kept = [f for f in docs.schema.fields if f.name not in _OWN and (keep is None or f.name in keep)]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,9 +341,9 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and a digest of the alignment of every document. Texts are aligned once; what is written for the second look
     are digests and the numbers of linked pairs."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = align(docs, digest=True).withColumnRenamed("groups", "groups_sha256")
+    found = align(docs, digest=True, keep=["doc_id"]).withColumnRenamed("groups", "groups_sha256")
     with scratch() as own:
-        thin = materialize(found.drop("text"), "aligned")
+        thin = materialize(found, "aligned")
         own.keep(thin)
         scored = link_scores(thin, pair_counts(thin))
     return scored.select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
