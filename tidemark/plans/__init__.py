@@ -1,6 +1,6 @@
 """Every named query of the engine; importing the modules registers them."""
 
-from . import criticality, events, files, folds, joins, layers, linear, market, regressions, scores, series, states, stats, stream, text, validation
+from . import components, criticality, events, files, folds, joins, layers, linear, market, regressions, scores, series, states, stats, stream, tables, text, validation
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "criticality", "events", "files", "folds", "joins", "layers", "linear", "market", "regressions", "scores", "series", "states", "stats", "stream", "text", "validation"]
+__all__ = ["ORACLES", "QUERIES", "components", "criticality", "events", "files", "folds", "joins", "layers", "linear", "market", "regressions", "scores", "series", "states", "stats", "stream", "tables", "text", "validation"]

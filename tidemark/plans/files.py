@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import storage as I
+from ..sources import storage as I  # noqa: N812
+from ..sources.archives import ZippedCsv, write_archives
 from ..sources.tables import BARS_SQL, bars, table
 from .registry import query
 
@@ -57,3 +60,45 @@ def partition_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     I.write_bars(bars(spark, sf_dir).drop("k"), path)
     one = spark.read.parquet(path).where("asset = 'R'")
     return one.groupBy("asset").agg(F.count("*").alias("n"), F.round(F.avg("close"), 6).alias("mean"))
+
+
+@query("""SELECT l_returnflag || '-' || strftime(l_shipdate, '%Y') AS archive, count(*) AS n, round(sum(l_quantity), 4) AS qty,
+round(max(l_extendedprice), 2) AS high FROM lineitem GROUP BY 1""")
+def zipped_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tape as zipped CSV files with checksums, one for each series and year, read back by the data source: two of five
+    columns are parsed."""
+    t = table(spark, sf_dir, "lineitem")
+    name = F.concat_ws("-", "l_returnflag", F.date_format("l_shipdate", "yyyy")).alias("archive")
+    path = I.shared_folder(spark, "archives")
+    write_archives(t.select(name, "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"), path, "archive")
+    spark.dataSource.register(ZippedCsv)
+    reader = spark.read.format("zipped_csv").schema("l_quantity double, l_extendedprice double, _archive string, _error string")
+    got = reader.option("names", "l_orderkey,l_linenumber,l_quantity,l_extendedprice,l_discount").option("mode", "FAILFAST").load(path)
+    each = got.groupBy(F.regexp_replace("_archive", r"\.zip$", "").alias("archive"))
+    return each.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 4).alias("qty"), F.round(F.max("l_extendedprice"), 2).alias("high"))
+
+
+@query(f"""WITH {BARS_SQL} SELECT b.asset, strftime(b.d, '%Y-%m') AS month, count(*) AS n, round(max(b.close - m.mean), 6) AS gap
+FROM bars b JOIN (SELECT asset, strftime(d, '%Y-%m') AS month, avg(close) AS mean FROM bars GROUP BY 1, 2) m ON b.asset = m.asset AND strftime(b.d, '%Y-%m') = m.month
+WHERE b.d >= DATE '1996-01-01' AND b.d < DATE '1997-01-01' GROUP BY 1, 2""")
+def pruned_bucketed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year of two tables partitioned by year and bucketed by series: only that year's files are opened, and the join and the
+    aggregation before it need no shuffle."""
+    names = series_tables(spark, bars(spark, sf_dir))
+    return year_join(spark, *names, 1996)
+
+
+def series_tables(spark: SparkSession, b: DataFrame, buckets: int = 4) -> tuple[str, str]:
+    """Closes, and their monthly means, as tables of the catalogue by year and series."""
+    rows = b.select("asset", "d", "close", F.date_format("d", "yyyy-MM").alias("month"), F.year("d").alias("year"))
+    means = rows.groupBy("asset", "month", "year").agg(F.avg("close").alias("mean"))
+    names = tuple(f"tidemark_{kind}_{uuid.uuid4().hex[:12]}" for kind in ("closes", "means"))
+    for name, df in zip(names, (rows, means), strict=True):
+        I.write_bucketed(df, name, ["asset", "month"], buckets, ["year"], I.shared_folder(spark, name))
+    return names
+
+
+def year_join(spark: SparkSession, closes: str, means: str, year: int) -> DataFrame:
+    one, two = (spark.table(n).where(F.col("year") == year).drop("year") for n in (closes, means))
+    both = one.join(two.hint("merge"), ["asset", "month"])
+    return both.groupBy("asset", "month").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.col("close") - F.col("mean")), 6).alias("gap"))

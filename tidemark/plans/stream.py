@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_folder
+from ..sources.tables import table
 from ..streaming import jobs as J  # noqa: N812
+from ..streaming import state as O  # noqa: E741, N812
 from .registry import query
 
 
@@ -37,3 +40,42 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = J.run_available(J.sessions(J.events_stream(spark, sf_dir)), "sessions", "complete")
     s = J.last_state(got, ["user_id", "start"])
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+
+
+_CUT = "SELECT max(epoch_ms(ts)) - 86400000 FROM events"
+_GAIN = f"((s.spread + {O.DRIFT}) / (s.spread + {O.DRIFT} + {O.NOISE}))"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT event_type, event_id, epoch_ms(ts) AS at, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i
+  FROM events WHERE epoch_ms(ts) <= ({_CUT})),
+s AS (SELECT event_type, 0::BIGINT AS event_id, 0::BIGINT AS i, NULL::DOUBLE AS mean, NULL::DOUBLE AS level, 1.0::DOUBLE AS spread, 0 AS bad, NULL::BIGINT AS opened,
+  0 AS trips, FALSE AS held FROM (SELECT DISTINCT event_type FROM o)
+UNION ALL SELECT o.event_type, o.event_id, o.i,
+  CASE WHEN shut OR NOT fits THEN s.mean WHEN s.mean IS NULL THEN x ELSE {O.ALPHA} * x + (1 - {O.ALPHA}) * s.mean END,
+  CASE WHEN shut OR NOT fits THEN s.level WHEN s.mean IS NULL THEN x ELSE s.level + {_GAIN} * (x - s.level) END,
+  CASE WHEN shut OR NOT fits THEN s.spread WHEN s.mean IS NULL THEN 1.0 ELSE (1 - {_GAIN}) * (s.spread + {O.DRIFT}) END,
+  CASE WHEN shut THEN s.bad WHEN fits OR s.bad + 1 >= {O.MAX_BAD} THEN 0 ELSE s.bad + 1 END,
+  CASE WHEN shut THEN s.opened WHEN NOT fits AND s.bad + 1 >= {O.MAX_BAD} THEN o.at END,
+  s.trips + CASE WHEN NOT shut AND NOT fits AND s.bad + 1 >= {O.MAX_BAD} THEN 1 ELSE 0 END, shut OR NOT fits
+  FROM s JOIN o ON o.event_type = s.event_type AND o.i = s.i + 1,
+  LATERAL (SELECT s.opened IS NOT NULL AND o.at < s.opened + {O.COOL_MS} AS shut, x BETWEEN {O.RANGE[0]} AND {O.RANGE[1]} AS fits) k)
+SELECT event_type, event_id, i AS n, round(mean, 6) AS mean, round(level, 6) AS level, bad, trips, held FROM s WHERE i > 0""")
+def stream_online_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Online levels of each metric over several batches with late rows; the twin folds the same rows in order of time."""
+    path = shared_folder(spark, "arrivals")
+    stream = O.in_batches(table(spark, sf_dir, "events"), path, 4)
+    with O.state_store(spark):
+        got = J.run_available(O.online_levels(stream), "levels", "append").drop("_batch")
+    return got.withColumns({c: F.round(c, 6) for c in ("mean", "level")}).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("mean", "level")})
+
+
+@query("""SELECT event_type, user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, round(arg_max(value, (ts, event_id)), 6) AS value
+FROM events GROUP BY 1, 2""", text=("ts",))
+def stream_last_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last value of each user and type, kept as a published table by a stream; the last batch is then run once more."""
+    path = shared_folder(spark, "last-values")
+    stream = O.in_batches(table(spark, sf_dir, "events").drop("props"), f"{path}/in", 4).drop("at")
+    sink = O.keep_last(f"{path}/table", ["event_type", "user_id"], ["ts", "event_id"])
+    O.run_sink(stream, sink, f"{path}/state")
+    sink(spark.read.parquet(f"{path}/in").limit(0), 3)  # a replayed batch: nothing changes
+    return O.last_values(spark, f"{path}/table").select("event_type", "user_id", "ts", "event_id", F.round("value", 6).alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,7 +22,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file:///tmp/tidemark-shared"
-    return f"{root}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = f"{root}/tidemark-{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+_made: dict[str, SparkSession] = {}
+
+
+def _clear() -> None:
+    """At the end of the driver: what queries wrote to the shared folder goes."""
+    for path, spark in _made.items():
+        try:
+            delete(spark, path)
+        except Exception:  # the session may have ended: its folder is then the cluster's to clear
+            return
+
+
+atexit.register(_clear)
 
 
 def read_trades(spark: SparkSession, path: str) -> DataFrame:
@@ -54,17 +72,65 @@ def latest(df: DataFrame, key: list[str], order: list[str], keep: int = 1) -> Da
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of whatever file system Spark reads."""
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def _markers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Version and data folder of every published version, oldest first: only names and one line each are read."""
+    p, fs = _hadoop(spark, f"{path}/_versions")
+    if not fs.exists(p):
+        return []
+    found = []
+    for f in fs.listStatus(p):
+        stream = fs.open(f.getPath())
+        found.append((int(f.getPath().getName()), spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        stream.close()
+    return sorted(found)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The published versions of a table, oldest first."""
+    return [v for v, _ in _markers(spark, path)]
+
+
 def publish(df: DataFrame, path: str, version: int) -> None:
-    """Write a version of a table beside the earlier ones. It shows only when the whole write is committed, and a lost job leaves
-    the earlier versions as they are."""
-    df.write.mode("errorifexists").parquet(f"{path}/version={version}")
+    """Write a version of a table beside the earlier ones. It shows only when the whole write is committed (a marker names its
+    folder), and a lost job leaves the earlier versions as they are. Of two writers of one version the second fails."""
+    spark, folder = df.sparkSession, f"data-{version}-{uuid.uuid4().hex}"
+    if version in versions(spark, path):
+        raise ValueError(f"version {version} of {path} is published already")
+    df.write.parquet(f"{path}/{folder}")
+    p, fs = _hadoop(spark, f"{path}/_versions/{version}")
+    try:
+        out = fs.create(p, False)
+    except Exception as e:
+        delete(spark, f"{path}/{folder}")
+        raise ValueError(f"version {version} of {path} was published by another writer") from e
+    out.writeBytes(folder)
+    out.close()
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of a published table; others are not read."""
-    every = spark.read.option("basePath", path).parquet(path)
-    newest = every.agg(F.max("version")).first()[0]
-    return every.where(F.col("version") == newest).drop("version")
+    known = _markers(spark, path)
+    if not known:
+        raise ValueError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path}/{known[-1][1]}")
+
+
+def expire(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Remove all but the newest versions. Two at least should stay, so that readers of the last but one can end."""
+    for version, folder in _markers(spark, path)[: -max(keep, 1)]:
+        delete(spark, f"{path}/_versions/{version}")
+        delete(spark, f"{path}/{folder}")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], path: str, version: int) -> None:
@@ -83,6 +149,11 @@ def write_bars(bars: DataFrame, path: str) -> None:
     bars.write.mode("overwrite").partitionBy("asset").parquet(path)
 
 
-def write_bucketed(df: DataFrame, name: str, key: str, buckets: int = 64) -> None:
-    """A table bucketed and sorted by its join key: joins on it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int = 64, partitions: list[str] = (), path: str | None = None) -> None:
+    """A table of the catalogue, partitioned by period and bucketed and sorted by its join keys: reads of a period skip the other
+    periods' files, and joins and aggregations by the keys need no shuffle. Rows are laid by bucket before the write, so that each
+    period has one file a bucket."""
+    laid = df.repartition(buckets, *keys)
+    w = laid.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    w = w.partitionBy(*partitions) if partitions else w
+    (w.option("path", path) if path else w).saveAsTable(name)
