@@ -65,14 +65,14 @@ def fisher_rao(df: DataFrame, key: str, period: str, x: str, least: int = 20) ->
     """The angle between the densities of x in each period and the one before (periods are whole numbers).
 
     Both are standardised by their pooled moments and estimated by Gaussian kernels (each with its own Silverman bandwidth) on
-    one grid; the angle is the arc cosine of the trapezoid sum of the root of their product. Null where nothing varies; pairs
-    with fewer than `least` values on a side have no row.
+    one grid; the angle is the arc cosine of the trapezoid sum of the root of their product. Pairs in which nothing varies, or
+    with fewer than `least` values on a side, have no row.
     """
     sides = F.array(F.struct(F.col(period).alias("pair"), F.lit(1).alias("side")), F.struct((F.col(period) + 1).alias("pair"), F.lit(0).alias("side")))
     m = df.where(F.col(x).isNotNull()).select(key, F.col(x).cast("double").alias("_x"), F.inline(sides))
     both, one = Window.partitionBy(key, "pair"), Window.partitionBy(key, "pair", "side")
     m = m.withColumn("_z", ratio(F.col("_x") - F.avg("_x").over(both), F.stddev_samp("_x").over(both)))
-    m = m.withColumns({"_n": F.count(F.lit(1)).over(one), "_sd": F.stddev_samp("_z").over(one)})
+    m = m.where("_z IS NOT NULL").withColumns({"_n": F.count(F.lit(1)).over(one), "_sd": F.stddev_samp("_z").over(one)})
     m = m.withColumn("_iqr", F.percentile("_z", F.lit(0.75)).over(one) - F.percentile("_z", F.lit(0.25)).over(one))
     scale = F.when(F.col("_iqr") > 0, F.least("_sd", F.col("_iqr") / 1.349)).otherwise(F.col("_sd"))
     scale = F.when(scale > 0, scale).otherwise(1.0)

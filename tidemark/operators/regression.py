@@ -81,7 +81,8 @@ def least_squares(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str])
     for i in reversed(range(k)):
         m = m.withColumn(f"b_{i}", (F.col(f"z_{k}_{i}") - _sum([F.col(f"l_{q}_{i}") * F.col(f"b_{q}") for q in range(i + 1, k)])) / F.col(f"l_{i}_{i}"))
     n, free, sd = F.col("n").cast("double"), F.col("n") - (k + 1), F.col(f"sd_{k}")
-    m = m.withColumn("r2", F.least(explained(k, k), F.lit(1.0))).withColumn("_s2", F.when(free > 0, n * sd * sd * (1 - F.col("r2")) / free))
+    share = explained(k, k)
+    m = m.withColumn("r2", F.when(share < 1, share).when(share >= 1, 1.0)).withColumn("_s2", F.when(free > 0, n * sd * sd * (1 - F.col("r2")) / free))
     slope = [F.col(f"b_{i}") * sd / F.col(f"sd_{i}") for i in range(k)]
     spread = [F.col("_s2") / n * _sum([F.col(f"w_{q}_{i}") ** 2 for q in range(i, k)]) / F.col(f"sd_{i}") ** 2 for i in range(k)]
     m = m.withColumns({f"_b{i}": slope[i] for i in range(k)} | {f"_v{i}": spread[i] for i in range(k)})

@@ -27,7 +27,8 @@ def first_component(matrix: Column, k: int, rounds: int = ROUNDS) -> Column:
         return F.transform(F.array(F.transform(matrix, lambda row: dot(row, v))), lambda w: F.transform(w, lambda x: F.try_divide(x, F.sqrt(dot(w, w)))))[0]
 
     start = F.array_repeat(F.lit(1 / k**0.5), k)
-    v = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+    whole = ~F.exists(F.flatten(matrix), lambda x: x.isNull())
+    v = F.when(whole, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step))
     flip = F.when(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) < 0, -1.0).otherwise(1.0)
     return F.transform(v, lambda x: x * flip)
 

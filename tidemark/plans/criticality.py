@@ -53,8 +53,8 @@ _STEP = (C.HIGH - C.LOW) / (C.POINTS - 1)
 
 @query(f"""WITH {RET_SQL}, g AS (SELECT asset, r, (row_number() OVER (PARTITION BY asset ORDER BY d) - 1) // {_N} AS period FROM r WHERE r IS NOT NULL),
 m AS (SELECT asset, r, period AS pair, 1 AS side FROM g UNION ALL SELECT asset, r, period + 1, 0 FROM g),
-z AS (SELECT asset, pair, side, (r - avg(r) OVER b) / stddev_samp(r) OVER b AS z FROM m WINDOW b AS (PARTITION BY asset, pair)),
-h AS (SELECT asset, pair, side, count(*) AS n, stddev_samp(z) AS sd, quantile_cont(z, 0.75) - quantile_cont(z, 0.25) AS iqr FROM z GROUP BY 1, 2, 3),
+z AS (SELECT asset, pair, side, (r - avg(r) OVER b) / nullif(stddev_samp(r) OVER b, 0) AS z FROM m WINDOW b AS (PARTITION BY asset, pair)),
+h AS (SELECT asset, pair, side, count(*) AS n, stddev_samp(z) AS sd, quantile_cont(z, 0.75) - quantile_cont(z, 0.25) AS iqr FROM z WHERE z IS NOT NULL GROUP BY 1, 2, 3),
 b AS (SELECT *, 1.06 * CASE WHEN iqr > 0 THEN least(sd, iqr / 1.349) ELSE sd END * pow(n, -0.2) AS bw FROM h WHERE n >= 20),
 p AS (SELECT z.asset, z.pair, z.side, i, sum(exp(-pow(({C.LOW} + i * {_STEP!r} - z) / bw, 2) / 2)) / (any_value(n) * any_value(bw) * sqrt(2 * pi())) AS p
   FROM z JOIN b ON z.asset = b.asset AND z.pair = b.pair AND z.side = b.side, (SELECT unnest(range(0, {C.POINTS})) AS i) GROUP BY 1, 2, 3, 4),

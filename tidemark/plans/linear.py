@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import corr, ratio, rounded
+from ..operators import folds as O  # noqa: E741, N812
 from ..operators import series as S
 from ..operators import stats as ST
 from ..sources.tables import BARS_SQL, bars
@@ -46,7 +47,8 @@ def two_regressors(df: DataFrame, key: str, order: str, y: str, a: str, b: str,
     def error(first: str, second: str, uu: str, uv: str, vv: str, scale) -> F.Column:
         # The diagonal of inverse(X'X) * meat * inverse(X'X) for the slope of the first regressor.
         p, q = ratio(first, "_det"), ratio(-F.col("ab"), "_det")
-        return F.sqrt(F.greatest((p * p * F.col(uu) + 2 * p * q * F.col(uv) + q * q * F.col(vv)) * scale, F.lit(0.0)))
+        v = (p * p * F.col(uu) + 2 * p * q * F.col(uv) + q * q * F.col(vv)) * scale
+        return F.when(v.isNotNull(), F.sqrt(F.greatest(v, F.lit(0.0))))
 
     hc = ratio("n", F.col("n") - 3)
     return t.select(
@@ -138,59 +140,62 @@ def clark_west(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("asset").agg(F.count("*").alias("n"), F.round(1 - ratio(F.sum("e1"), F.sum("e0")), 8).alias("r2_os"), F.round(ratio(F.avg("c"), F.stddev_samp("c") / F.sqrt(F.count("*"))), 6).alias("stat"))
 
 
-ASSETS = ("A", "N", "R")
-_PAIRS = [(x, y) for i, x in enumerate(ASSETS) for y in ASSETS[i + 1 :]]
-_wide_sql = ", ".join(f"max(r) FILTER (asset = '{a}') AS r_{a}" for a in ASSETS)
-_corr60 = lambda x, y: f"CASE WHEN count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL) OVER (ORDER BY d ROWS 59 PRECEDING) >= 60 THEN corr({x}, {y}) OVER (ORDER BY d ROWS 59 PRECEDING) END"
+_PAST60 = "(PARTITION BY asset ORDER BY d ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"
+_PAIR60 = "(PARTITION BY one, two ORDER BY d ROWS 59 PRECEDING)"
 
 
-@query(f"""WITH {RET_SQL}, z AS (SELECT asset, d, r, CASE WHEN count(r) {W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) >= 60 THEN (r - avg(r) {W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) / stddev_pop(r) {W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) END AS z FROM r),
-t AS (SELECT d, sum(z * z) AS q, count(z) AS n, {_wide_sql} FROM z GROUP BY d), m AS (SELECT d, q, n, ({' + '.join(_corr60('r_' + x, 'r_' + y) for x, y in _PAIRS)}) / {len(_PAIRS)} AS rho FROM t)
-SELECT d, n, round(q / n, 6) AS t_eff, CASE WHEN q / n >= 2 THEN 'Hot' WHEN q / n >= 1 THEN 'Warm' ELSE 'Cold' END AS state, round(n / (1 + (n - 1) * rho), 6) AS n_eff FROM m WHERE n > 0""", text=D)
+@query(f"""WITH {RET_SQL}, z AS (SELECT asset, d, r, CASE WHEN count(r) OVER {_PAST60} >= 60
+  THEN (r - avg(r) OVER {_PAST60}) / nullif(stddev_pop(r) OVER {_PAST60}, 0) END AS z FROM r WHERE r IS NOT NULL),
+t AS (SELECT d, sum(z * z) AS q, count(z) AS n FROM z GROUP BY d HAVING count(z) > 0),
+p AS (SELECT a.asset AS one, b.asset AS two, a.d, a.r AS x, b.r AS y FROM z a JOIN z b ON a.d = b.d AND a.asset < b.asset),
+c AS (SELECT d, CASE WHEN count(*) OVER {_PAIR60} >= 60 THEN nullif(corr(x, y) OVER {_PAIR60}, 'nan'::DOUBLE) END AS c FROM p),
+m AS (SELECT d, avg(c) AS rho FROM c GROUP BY d)
+SELECT t.d, n, round(q / n, 6) AS t_eff, CASE WHEN q / n >= 2 THEN 'Hot' WHEN q / n >= 1 THEN 'Warm' ELSE 'Cold' END AS state,
+  round(n / nullif(1 + (n - 1) * rho, 0), 6) AS n_eff FROM t LEFT JOIN m ON t.d = m.d""", text=D)
 def effective_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far all assets moved on a day against their own past, and how many independent ones there are by their mean correlation.
-
-    The frame of dates is small (a row a day), so its rolling correlations run over one ordered group.
-    """
+    """How far all assets moved on a day against their own past, and how many independent ones there are by the mean correlation of
+    their pairs over sixty common days. Any assets: pairs meet by day, and each pair is a series of its own."""
     w = S.over("asset", "d")
-    z = _returns(spark, sf_dir).select("asset", "d", "r", S.trailing_z("r", w, 60, 60).alias("z"))
-    t = z.groupBy("d").agg(F.sum(F.col("z") * F.col("z")).alias("q"), F.count("z").alias("n"), *[F.max(F.when(F.col("asset") == a, F.col("r"))).alias(f"r_{a}") for a in ASSETS])
-    f = Window.partitionBy(F.lit(0)).orderBy("d").rowsBetween(-59, 0)
-    both = lambda x, y: F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(f) >= 60
-    rho = [F.when(both(f"r_{x}", f"r_{y}"), corr(f"r_{x}", f"r_{y}", f)) for x, y in _PAIRS]
-    m = t.withColumn("rho", sum(rho[1:], rho[0]) / len(rho)).where("n > 0").withColumn("t_eff", F.col("q") / F.col("n"))
+    z = _returns(spark, sf_dir).where("r IS NOT NULL").select("asset", "d", "r", S.trailing_z("r", w, 60, 60).alias("z"))
+    t = z.groupBy("d").agg(F.sum(F.col("z") * F.col("z")).alias("q"), F.count("z").alias("n")).where("n > 0")
+    one, two = z.select("d", F.col("asset").alias("one"), F.col("r").alias("x")), z.select("d", F.col("asset").alias("two"), F.col("r").alias("y"))
+    f = Window.partitionBy("one", "two").orderBy("d").rowsBetween(-59, 0)
+    c = one.join(two, "d").where("one < two").select("d", F.when(F.count("*").over(f) >= 60, corr("x", "y", f)).alias("c"))
+    m = t.join(c.groupBy("d").agg(F.avg("c").alias("rho")), "d", "left").withColumn("t_eff", F.col("q") / F.col("n"))
     state = F.when(F.col("t_eff") >= 2, "Hot").when(F.col("t_eff") >= 1, "Warm").otherwise("Cold")
     return rounded(m.select("d", "n", "t_eff", state.alias("state"), ratio("n", 1 + (F.col("n") - 1) * F.col("rho")).alias("n_eff")))
 
 
-_near = lambda x, y: f"coalesce((r{x} * r{y} + v{x} * v{y} + m{x} * m{y}) / nullif(sqrt(r{x} * r{x} + v{x} * v{x} + m{x} * m{x}) * sqrt(r{y} * r{y} + v{y} * v{y} + m{y} * m{y}), 0), 0)"
-_mean_near = lambda a: "(" + " + ".join(_near(*sorted((a, b))) for b in ASSETS if b != a) + f") / {len(ASSETS) - 1}"
+_COS = "coalesce((a.r * b.r + a.v * b.v + a.m * b.m) / nullif(sqrt(a.r * a.r + a.v * a.v + a.m * a.m) * sqrt(b.r * b.r + b.v * b.v + b.m * b.m), 0), 0)"
 
 
-@query(f"""WITH {RET_SQL}, x AS (SELECT asset, d, r, stddev_samp(r) {W} ROWS 19 PRECEDING) AS v, close / lag(close, 20) {W}) - 1 AS m FROM r),
-t AS (SELECT d, {', '.join(f"max({c}) FILTER (asset = '{a}') AS {c}{a}" for a in ASSETS for c in 'rvm')} FROM x WHERE r IS NOT NULL AND v IS NOT NULL AND m IS NOT NULL GROUP BY d HAVING count(*) = {len(ASSETS)}),
-s AS (SELECT d, {', '.join(f"greatest(0, ({_mean_near(a)} + 1) / 2) * v{a} / ({' + '.join('v' + b for b in ASSETS)} + 1e-12) AS s{a}" for a in ASSETS)} FROM t), n AS (SELECT *, greatest({', '.join('s' + a for a in ASSETS)}) AS top FROM s), o AS (SELECT d, {', '.join(f'CASE WHEN top > 0 THEN s{a} / top ELSE s{a} END AS {a}' for a in ASSETS)} FROM n)
-SELECT d, {', '.join(f'round({a}, 6) AS risk_{a.lower()}' for a in ASSETS)}, round(({' + '.join(ASSETS)}) / {len(ASSETS)}, 6) AS overall, CASE WHEN round(({' + '.join(ASSETS)}) / {len(ASSETS)}, 6) > 0.7 THEN 'CRISIS' WHEN round(({' + '.join(ASSETS)}) / {len(ASSETS)}, 6) > 0.4 THEN 'STRESS' ELSE 'NORMAL' END AS regime FROM o""", text=D)
+@query(f"""WITH {RET_SQL}, x0 AS (SELECT asset, d, r, stddev_samp(r) {W} ROWS 19 PRECEDING) AS v, close / lag(close, 20) {W}) - 1 AS m FROM r),
+x AS (SELECT * FROM x0 WHERE r IS NOT NULL AND v IS NOT NULL AND m IS NOT NULL),
+c AS (SELECT a.d, a.asset, any_value(a.v) AS v, avg({_COS}) AS near FROM x a JOIN x b ON a.d = b.d AND a.asset <> b.asset GROUP BY 1, 2),
+s AS (SELECT d, asset, greatest(0, (near + 1) / 2) * v / (sum(v) OVER (PARTITION BY d) + 1e-12) AS s FROM c),
+n AS (SELECT *, max(s) OVER (PARTITION BY d) AS top FROM s), o AS (SELECT d, asset, CASE WHEN top > 0 THEN s / top ELSE s END AS risk FROM n),
+q AS (SELECT *, round(avg(risk) OVER (PARTITION BY d), 6) AS overall FROM o)
+SELECT d, asset, round(risk, 6) AS risk, overall, CASE WHEN overall > 0.7 THEN 'CRISIS' WHEN overall > 0.4 THEN 'STRESS' ELSE 'NORMAL' END AS regime FROM q""", text=D)
 def systemic_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each asset's mean cosine with the others times its share of volatility, over the largest of the day."""
-    w = S.over("asset", "d")
-    x = _returns(spark, sf_dir).select("asset", "d", "r", F.stddev_samp("r").over(w.rowsBetween(-19, 0)).alias("v"), (F.col("close") / F.lag("close", 20).over(w) - 1).alias("m")).dropna()
-    t = x.groupBy("d").agg(F.count("*").alias("k"), *[F.max(F.when(F.col("asset") == a, F.col(c))).alias(f"{c}{a}") for a in ASSETS for c in "rvm"]).where(F.col("k") == len(ASSETS))
-
-    def near(x: str, y: str):
-        dot = lambda p, q: sum((F.col(f"{c}{p}") * F.col(f"{c}{q}") for c in "rvm"), F.lit(0.0))
-        return F.coalesce(ratio(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))), F.lit(0.0))
+    """Each asset's mean cosine with the others of the day times its share of volatility, over the largest of the day.
 
-    whole = sum((F.col(f"v{a}") for a in ASSETS), F.lit(0.0)) + 1e-12
-    mean = lambda a: sum((near(*sorted((a, b))) for b in ASSETS if b != a), F.lit(0.0)) / (len(ASSETS) - 1)
-    s = t.select("d", *[(F.greatest(F.lit(0.0), (mean(a) + 1) / 2) * F.col(f"v{a}") / whole).alias(f"s{a}") for a in ASSETS]).withColumn("top", F.greatest(*[f"s{a}" for a in ASSETS]))
-    o = s.select("d", *[F.when(F.col("top") > 0, F.col(f"s{a}") / F.col("top")).otherwise(F.col(f"s{a}")).alias(f"risk_{a.lower()}") for a in ASSETS])
-    o = o.withColumn("overall", F.round(sum((F.col(f"risk_{a.lower()}") for a in ASSETS), F.lit(0.0)) / len(ASSETS), 6))
-    return rounded(o.withColumn("regime", F.when(F.col("overall") > 0.7, "CRISIS").when(F.col("overall") > 0.4, "STRESS").otherwise("NORMAL")))
+    Any assets: the mean cosine with the others comes from the sum of the day's unit vectors, so no pairs are made.
+    """
+    w = S.over("asset", "d")
+    move = F.col("close") / F.lag("close", 20).over(w) - 1
+    x = _returns(spark, sf_dir).select("asset", "d", "r", F.stddev_samp("r").over(w.rowsBetween(-19, 0)).alias("v"), move.alias("m")).dropna()
+    size, day = F.sqrt(F.col("r") ** 2 + F.col("v") ** 2 + F.col("m") ** 2), Window.partitionBy("d")
+    x = x.withColumns({f"u{c}": F.coalesce(ratio(c, size), F.lit(0.0)) for c in "rvm"}).withColumn("k", F.count("*").over(day)).where("k > 1")
+    dot = sum((F.col(f"u{c}") * (F.sum(f"u{c}").over(day) - F.col(f"u{c}")) for c in "rvm"), F.lit(0.0))
+    s = x.withColumn("s", F.greatest(F.lit(0.0), (dot / (F.col("k") - 1) + 1) / 2) * F.col("v") / (F.sum("v").over(day) + 1e-12))
+    s = s.withColumn("top", F.max("s").over(day)).withColumn("risk", F.when(F.col("top") > 0, F.col("s") / F.col("top")).otherwise(F.col("s")))
+    o = s.withColumn("overall", F.round(F.avg("risk").over(day), 6))
+    regime = F.when(F.col("overall") > 0.7, "CRISIS").when(F.col("overall") > 0.4, "STRESS").otherwise("NORMAL")
+    return rounded(o.select("d", "asset", "risk", "overall", regime.alias("regime")))
 
 
 METRICS = ("close", "high", "low", "quote", "volume")
-_c5 = ", ".join(f"abs(corr({x}, {y})) AS {x}_{y}" for i, x in enumerate(METRICS) for y in METRICS[i + 1 :])
+_c5 = ", ".join(f"nullif(abs(corr({x}, {y})), 'nan'::DOUBLE) AS {x}_{y}" for i, x in enumerate(METRICS) for y in METRICS[i + 1 :])
 _ab = lambda x, y: "_".join(sorted((x, y)))
 _mean5 = lambda m: "(" + " + ".join(_ab(m, o) for o in METRICS if o != m) + f") / {len(METRICS) - 1}"
 
@@ -207,27 +212,36 @@ def correlation_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(u.select("asset", "metric", "mean_rho", (F.col("w") / F.sum("w").over(Window.partitionBy("asset"))).alias("weight")))
 
 
-_rank01 = lambda c: f"percent_rank() OVER (PARTITION BY asset ORDER BY {c}) AS {c}"
 _subs = ("rng", "vol", "chg")
 _cw = {"rng": 0.4, "vol": 0.35, "chg": 0.25}
-_full60 = lambda x, y: f"CASE WHEN count(*) {W} ROWS 59 PRECEDING) >= 60 THEN corr({x}, {y}) {W} ROWS 59 PRECEDING) END"
+_so_far = lambda c: f"len(list_filter(list({c}) {W}), lambda v: v <= {c})) / row_number() {W}) AS {c}"
+_full60 = lambda x, y: f"nullif(corr({x}, {y}) {W} ROWS 59 PRECEDING), 'nan'::DOUBLE)"
 
 
-@query(f"""WITH {BARS_SQL}, b AS (SELECT asset, d, round((high - low) / close, 10) AS rng, volume AS vol, round(abs(close / lag(close) {W}) - 1), 10) AS chg FROM bars), x AS (SELECT asset, d, {', '.join(_rank01(c) for c in _subs)} FROM b WHERE chg IS NOT NULL),
-c AS (SELECT *, {_full60('rng', 'vol')} AS p, {_full60('rng', 'chg')} AS q, {_full60('vol', 'chg')} AS s FROM x)
-SELECT asset, d, round(sqrt(0.16 * rng * rng + 0.1225 * vol * vol + 0.0625 * chg * chg + 2 * (0.14 * rng * vol * p + 0.1 * rng * chg * q + 0.0875 * vol * chg * s)), 6) AS ciss FROM c WHERE p IS NOT NULL AND q IS NOT NULL AND s IS NOT NULL
-  AND 0.16 * rng * rng + 0.1225 * vol * vol + 0.0625 * chg * chg + 2 * (0.14 * rng * vol * p + 0.1 * rng * chg * q + 0.0875 * vol * chg * s) > 1e-9""", text=D)
+@query(f"""WITH {BARS_SQL}, b AS (SELECT asset, d, round((high - low) / close, 10) AS rng, volume AS vol, round(abs(close / lag(close) {W}) - 1), 10) AS chg FROM bars),
+x AS (SELECT asset, d, row_number() {W}) AS i, {', '.join(_so_far(c) for c in _subs)} FROM b WHERE chg IS NOT NULL),
+c AS (SELECT *, {_full60('rng', 'vol')} AS p, {_full60('rng', 'chg')} AS q, {_full60('vol', 'chg')} AS s, count(*) {W} ROWS 59 PRECEDING) AS n FROM x WHERE i >= 60),
+t AS (SELECT asset, d, 0.16 * rng * rng + 0.1225 * vol * vol + 0.0625 * chg * chg
+  + 2 * (0.14 * rng * vol * coalesce(p, 0) + 0.1 * rng * chg * coalesce(q, 0) + 0.0875 * vol * chg * coalesce(s, 0)) AS t FROM c WHERE n >= 60)
+SELECT asset, d, round(sqrt(greatest(t, 0)), 6) AS ciss FROM t""", text=D)
 def stress_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sub-indices put together like a portfolio: ranks, weights, and their rolling correlations."""
+    """Sub-indices put together like a portfolio: ranks among the values so far, weights, and rolling correlations (0 where one
+    side does not vary)."""
     w = S.over("asset", "d")
-    b = bars(spark, sf_dir).select("asset", "d", F.round((F.col("high") - F.col("low")) / F.col("close"), 10).alias("rng"), F.col("volume").alias("vol"), F.round(F.abs(F.col("close") / F.lag("close").over(w) - 1), 10).alias("chg")).dropna()
-    x = b.select("asset", "d", *[F.percent_rank().over(Window.partitionBy("asset").orderBy(c)).alias(c) for c in _subs])
+    rng, chg = (F.col("high") - F.col("low")) / F.col("close"), F.abs(F.col("close") / F.lag("close").over(w) - 1)
+    b = bars(spark, sf_dir).select("asset", "d", F.round(rng, 10).alias("rng"), F.col("volume").alias("vol"), F.round(chg, 10).alias("chg")).dropna()
+
+    def ranks(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"asset": f["asset"], "d": f["d"], **{c: O.expanding_share(O.column(f, c), 60) for c in _subs}}).iloc[59:]
+
+    x = O.fold(b, "asset", "d", ranks, "asset string, d date, rng double, vol double, chg double")
     f = w.rowsBetween(-59, 0)
     total = sum((F.col(c) * F.col(c) * _cw[c] ** 2 for c in _subs), F.lit(0.0))
     for i, p in enumerate(_subs):
         for q in _subs[i + 1 :]:
-            total = total + 2 * _cw[p] * _cw[q] * F.col(p) * F.col(q) * F.when(F.count("*").over(f) >= 60, corr(p, q, f))
-    return x.withColumn("t", total).where("t > 1e-9").select("asset", "d", F.round(F.sqrt("t"), 6).alias("ciss"))
+            total = total + 2 * _cw[p] * _cw[q] * F.col(p) * F.col(q) * F.coalesce(corr(p, q, f), F.lit(0.0))
+    t = x.select("asset", "d", total.alias("t"), F.count("*").over(f).alias("n")).where("n >= 60")
+    return t.select("asset", "d", F.round(F.sqrt(F.greatest("t", F.lit(0.0))), 6).alias("ciss"))
 
 
 def average_linkage(rho: np.ndarray, cut: float) -> np.ndarray:
@@ -256,7 +270,8 @@ def metric_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def tree(f: pd.DataFrame) -> pd.DataFrame:
         r = f.iloc[0]
-        rho = np.array([[1.0 if x == y else r[_ab(x, y)] for y in METRICS] for x in METRICS])
+        # What does not vary is near nothing.
+        rho = np.nan_to_num(np.array([[1.0 if x == y else r[_ab(x, y)] for y in METRICS] for x in METRICS], dtype=float))
         return pd.DataFrame({"asset": r["asset"], "metric": METRICS, "cluster": average_linkage(rho, 0.5), "factors": int((np.linalg.eigvalsh(rho) > 1).sum())})
 
     return c.groupBy("asset").applyInPandas(tree, "asset string, metric string, cluster int, factors int")

@@ -14,7 +14,7 @@ from .registry import query
 D = ("d",)
 W = "OVER (PARTITION BY asset ORDER BY d"
 WIDE_SQL = f"""{BARS_SQL}, wide AS (SELECT asset, d, close, volume, quote, n, 100 * (close / lag(close) {W}) - 1) / 10 AS chg, 40 + 30 * low / high AS dom, 0.5 + n / 20.0 AS pc,
-  least(100, volume / 4) AS fng, 40 + 60 * (1 - low / high) AS dvol, 95 + n AS dxy, CASE WHEN count(*) {W} ROWS 59 PRECEDING) >= 2 THEN corr(close, volume) {W} ROWS 59 PRECEDING) END AS c FROM bars)"""
+  least(100, volume / 4) AS fng, 40 + 60 * (1 - low / high) AS dvol, 95 + n AS dxy, CASE WHEN count(*) {W} ROWS 59 PRECEDING) >= 2 THEN nullif(corr(close, volume) {W} ROWS 59 PRECEDING), 'nan'::DOUBLE) END AS c FROM bars)"""
 
 
 def _wide(spark, sf_dir) -> DataFrame:

@@ -49,7 +49,7 @@ def evt_pot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RET_SQL}, m AS (SELECT asset, min(r) AS lo, max(r) AS hi FROM r GROUP BY asset),
-b AS (SELECT r.asset, least(CAST(floor((r - lo) / (hi - lo) * 10) AS INTEGER), 9) AS b, count(*) AS c FROM r JOIN m ON r.asset = m.asset WHERE r IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT r.asset, least(CAST(floor((r - lo) / nullif(hi - lo, 0) * 10) AS INTEGER), 9) AS b, count(*) AS c FROM r JOIN m ON r.asset = m.asset WHERE r IS NOT NULL GROUP BY 1, 2),
 p AS (SELECT asset, c / sum(c) OVER (PARTITION BY asset) AS p FROM b) SELECT asset, round(-sum(p * ln(p)) / ln(10), 9) AS entropy FROM p GROUP BY asset""")
 def entropy_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy of ten equal-width bins of returns over its maximum."""
