@@ -36,6 +36,8 @@ LEXICON = 5_000
 #: Least log likelihood ratio, against the class shares, of an entry: four toxic documents without a clean one, or more.
 SURPRISE = 7.0
 SEED = 71
+#: Terms that a task counts before it hands them on.
+COUNTED_TERMS = 500_000
 #: Words whose worth a worker keeps; beyond it the cache starts anew.
 CACHE_WORDS = 100_000
 PREFIXES = (4, 5, 6)
@@ -207,7 +209,13 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample_rows: int = SAM
     chosen = chosen.groupBy("_id").agg(F.max("_y").alias("_y")).withColumn("_o", F.xxhash64(F.lit(SEED), "_id")).orderBy("_o", "_id").limit(sample_rows)
     picked = chosen.select("_id", "_y", F.pmod("_o", F.lit(10)).alias("_part")).persist()
     try:
-        sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+        # One row of an id is learned from: the one whose text has the least hash. Only hashes are read to find it.
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
+        one = rows.select("doc_id", "_h").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).groupBy("_id", "_y", "_part")
+        one = one.agg(F.min("_h").alias("_least"), F.count("*").alias("_rows")).persist()
+        repeated = not one.where("_rows > 1").isEmpty()
+        sample = rows.join(F.broadcast(one), (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_least"))).drop("_h", "_least", "_rows")
+        sample = sample.dropDuplicates(["_id"]) if repeated else sample
         counts = picked.groupBy("_part", "_y").count().collect()
         class_rows = {y: sum(r["count"] for r in counts if r["_y"] == y and r["_part"] < 4) for y in (0, 1)}
         total = {y: sum(r["count"] for r in counts if r["_y"] == y) for y in (0, 1)}
@@ -223,6 +231,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample_rows: int = SAM
                         row = held.setdefault(t, [0, 0, 0, 0])
                         row[2 + int(y)] += 1
                         row[int(y)] += part < 4
+                    if len(held) > COUNTED_TERMS:
+                        yield pd.DataFrame([(t, *n) for t, n in held.items()], columns=["term", "n0", "n1", "a0", "a1"])
+                        held = {}
             yield pd.DataFrame([(t, *n) for t, n in held.items()], columns=["term", "n0", "n1", "a0", "a1"])
 
         counted = sample.select("text", "_y", "_part").mapInPandas(count_terms, "term string, n0 long, n1 long, a0 long, a1 long")
@@ -245,6 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample_rows: int = SAM
                 yield pd.DataFrame({"x": [lex.features(t).tolist() for t in f["text"]], "y": f["_y"], "part": f["_part"], "id": f["doc_id"]})
 
         rows = sample.where("_part >= 4").select("text", "_y", "_part", "doc_id").mapInPandas(measure, "x array<double>, y int, part long, id long").toPandas().sort_values("id")
+        one.unpersist()
     finally:
         picked.unpersist()
     if not len(rows) or rows["y"].nunique() < 2:
@@ -257,10 +269,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample_rows: int = SAM
 
 
 def calibrated(model: dict, f: np.ndarray) -> np.ndarray:
-    """Between knots linear; ends carry on a little so that higher raw scores still rank higher."""
+    """Between knots linear; a little of the raw score ranks what the knots tie, and moves nothing over the half."""
     kx, ky = model["knots"]
     p = np.interp(f, kx, ky)
-    return np.clip(p + 1e-4 * np.tanh(f / 4), 0.0, 1.0)
+    q = np.clip(p + 1e-4 * np.tanh(f / 4), 0.0, 1.0)
+    return np.where(p >= 0.5, np.maximum(q, 0.5), np.minimum(q, np.nextafter(0.5, 0.0)))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
