@@ -6,7 +6,7 @@
    of the copy; so a block number is already a random place in a permutation of the source and a hot source or a group of
    copies is spread over as many blocks as it needs. A source draws whole passes over all of its blocks, then blocks in order
    up to the remainder; in the last one, documents are taken in hash order while they fit, and what is still free is filled
-   with the largest documents of the later blocks that fit.
+   with the largest documents of the later blocks that fit, then with smaller ones until none fits.
 3. The whole blocks drawn of each source are its quota. The quotas are split among output shards by a binary tree: each node deals
    its quotas to its two halves by a multivariate hypergeometric draw (one source after another), exactly conserving them.
 4. Consecutive drawn blocks of a source go to the shards in order of its leaf quotas, and the documents of its remainder to
@@ -153,7 +153,8 @@ def _deal(draw, seed: int, level: int):
 
 
 ADDED = ["size", "source_size", "target", "copies", "taken", "shards"]
-#: Documents of later blocks that may fill what the last block leaves free; the largest that fit come first.
+#: Documents of later blocks that are tried first for what the last block leaves free, the largest that fit before others; where
+#: that is not enough, rounds of smaller ones follow.
 FILL = 256
 
 
@@ -179,6 +180,29 @@ def _fold(items: Column, room: Column) -> Column:
     return F.aggregate(items, start, take)
 
 
+def _fill_on(thin: DataFrame, picked: DataFrame, small, seed: int) -> DataFrame | None:
+    """(_sidx, _u) of further documents that fill what the largest ones left free, where many small ones are needed.
+
+    Each round takes, of the documents of a source's later blocks that still fit, as many in hash order as fit together (running
+    sums, in tasks of bounded size); what is free is then less than the next one's size, so rounds are few. It ends when the
+    free room of every source is under the size of its smallest document left.
+    """
+    spare = lambda room, taken: thin.join(small(room), "_sidx").where((F.col("_block") > F.col("_last")) & F.col("size").between(1, F.col("_room"))).join(taken, ["_sidx", "_u"], "left_anti")
+    taken = picked.select("_sidx", F.explode("_ids").alias("_u"))
+    room, more, step = picked.select("_sidx", "_last", "_room"), None, 0
+    while True:
+        left = spare(room, taken)
+        if left.isEmpty():
+            return more
+        order = F.pmod(F.xxhash64(F.lit(seed + 3), "_u"), F.lit(1 << 30))
+        ran = _running(materialize(left.withColumn("_o", order), f"mix-left-{step}"), "_sidx", "_o", "size", 1 << 18)
+        fits = materialize(ran.where(F.col("_before") + F.col("size") <= F.col("_room")).select("_sidx", "_u", "size"), f"mix-more-{step}")
+        used = fits.groupBy("_sidx").agg(F.sum("size").alias("_used"))
+        room = materialize(room.join(used, "_sidx").select("_sidx", "_last", (F.col("_room") - F.col("_used")).alias("_room")), f"mix-room-{step}")
+        more = fits.select("_sidx", "_u") if more is None else more.unionByName(fits.select("_sidx", "_u"))
+        taken, step = taken.unionByName(fits.select("_sidx", "_u")), step + 1
+
+
 def _mixed(
     docs: DataFrame, text: str, source: str, doc_id: str, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
     block_docs: int = BLOCK_DOCS, shard_words: int = SHARD_WORDS, seed: int = SEED, sized: str | None = None,
@@ -212,9 +236,12 @@ def _mixed(
     largest = Window.partitionBy("_sidx").orderBy(F.desc("size"), "_u")
     later = later.withColumn("_n", F.row_number().over(largest)).where(F.col("_n") <= FILL)
     ordered = F.sort_array(F.collect_list(F.struct("_n", F.col("_u").alias("u"), F.col("size").alias("w"))))
-    fill = later.groupBy("_sidx", "_room").agg(ordered.alias("_d")).select("_sidx", _fold(F.col("_d"), F.col("_room"))["ids"].alias("_fill"))
-    ids = F.concat(F.col("_got.ids"), F.coalesce("_fill", F.array().cast("array<bigint>")))
-    picked = picked.join(small(fill), "_sidx", "left").select("_sidx", "_last", ids.alias("_ids"))
+    fill = later.groupBy("_sidx", "_room").agg(ordered.alias("_d")).select("_sidx", _fold(F.col("_d"), F.col("_room")).alias("_fill"))
+    ids = F.concat(F.col("_got.ids"), F.coalesce("_fill.ids", F.array().cast("array<bigint>")))
+    picked = picked.join(small(fill), "_sidx", "left").select("_sidx", "_last", ids.alias("_ids"), F.coalesce("_fill.room", "_got.room").alias("_room"))
+    picked = materialize(picked, "mix-picked")
+    more = _fill_on(thin, picked, small, seed)
+    picked = picked.drop("_room")
     plan = targets.join(small(picked), "_sidx", "left").withColumn("_last", F.coalesce("_last", F.when(F.col("_rest") > 0, F.col("_n_blocks")).otherwise(F.lit(-1))))
     plan = materialize(plan, "mix-plan")
     # Shards: leaf quotas as runs over each source's drawn blocks (pass after pass, then the remainder's).
@@ -229,7 +256,11 @@ def _mixed(
     drawn = drawn.groupBy("_sidx", F.pmod("_rank", "_n_blocks").cast("int").alias("_block")).agg(F.transform(in_order, lambda x: x["s"]).alias("_shards"))
     of_source = small(plan.select(F.col("_source").alias("_s"), "_sidx", "source_size", "target", "_passes", "_n_blocks", "_last", "_ids"))
     out = _numbered(keyed, repeats).join(of_source, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_block", bucket)
-    chosen = (F.col("_block") >= F.col("_last")) & F.coalesce(F.array_contains("_ids", F.col("_u")), F.lit(False))
+    chosen = F.coalesce(F.array_contains("_ids", F.col("_u")), F.lit(False))
+    if more is not None:
+        out = out.join(more.select(F.col("_sidx").alias("_m"), F.col("_u").alias("_n"), F.lit(True).alias("_more")), (F.col("_sidx") == F.col("_m")) & (F.col("_u") == F.col("_n")), "left")
+        chosen = chosen | F.coalesce("_more", F.lit(False))
+    chosen = (F.col("_block") >= F.col("_last")) & chosen
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("_passes") + ((F.col("_block") < F.col("_last")) | chosen).cast("int")).cast("int")
     out = out.withColumn("copies", copies).join(drawn, ["_sidx", "_block"], "left")
     # What is taken of the last block, and what fills the rest, goes to shards by hash: whole blocks only are dealt by quota.
