@@ -231,3 +231,104 @@ def test_fill_middle_of_words(spark, odd):
     kept = fill_middle.transform(odd).columns
     assert kept[:3] == ["doc_id", "text", "lang"] and kept.count("output") == 1
     assert fill_middle.transform(odd.limit(0)).count() == 0
+
+
+# Earlier operators: what was mended
+
+
+def test_mixing_fills_with_many_small_documents(spark):
+    from tidemark.llm import mixing
+
+    rows = [(i, "w " * 10, "s") for i in range(2_000)] + [(10_000 + i, "v " * 9_000, "s") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).select("doc_id", "size", "target", "taken", "copies").toPandas()
+    target, taken = got["target"].iloc[0], got["taken"].sum()
+    unused = got[(got["copies"] == 1) & (got["size"] > 0)]["size"]
+    assert taken <= target + 1 and (target - taken < 10 or not (unused <= target - taken).any())
+    assert (got["taken"] <= 2 * got["size"]).all()
+
+
+def test_mixing_equals_its_twin_of_targets(spark):
+    from tidemark.llm import mixing
+
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(1, 300), f"s{min(9, int(rng.expovariate(0.4)))}" if i % 11 else None) for i in range(3_000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += t.count("w")
+    names = sorted(s for s in sizes if s is not None) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    goal, free, target = 1.5 * sum(sizes.values()), set(names), {}
+    while True:  # shares by weight; what is above twice the size stops there, and its excess is shared again
+        level = (goal - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * sizes[s]}
+        if not over:
+            break
+        target |= {s: 2.0 * sizes[s] for s in over}
+        free -= over
+    target |= {s: level * weight[s] for s in free}
+    by = got.assign(source=got["source"].where(got["source"].notna(), None)).groupby("source", dropna=False)
+    for s, part in by:
+        s = s if isinstance(s, str) else None
+        assert part["target"].iloc[0] == pytest.approx(target[s]) and part["source_size"].iloc[0] == sizes[s]
+        assert abs(part["taken"].sum() - target[s]) < 2
+
+
+def test_toxicity_learns_from_one_row_of_an_id(spark, monkeypatch):
+    import pandas as pd
+
+    from tidemark.llm import toxicity
+
+    rng = random.Random(2)
+    text = lambda bad: " ".join(rng.choice(["you idiot scum", "worthless loser"] if bad else ["the river runs", "a stone house"]) for _ in range(12))
+    rows = [(i, text(i % 3 == 0)) for i in range(400)] + [(7, f"many rows of one id {k % 5}") for k in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    held, own = [], pd.DataFrame.sort_values
+    monkeypatch.setattr(pd.DataFrame, "sort_values", lambda self, *a, **k: held.append(len(self)) or own(self, *a, **k))
+    model = toxicity.fit(docs, labels, F.lit(True), sample_rows=300)
+    assert held and max(held) <= 300
+    got = toxicity.score(docs.where("doc_id <> 7"), model).toPandas()
+    assert ((got["toxicity"] >= 0.5) == (got["doc_id"] % 3 == 0)).mean() > 0.95
+
+
+PROSE = "The river of the north is a long one and it was for years the way by which the people of the land came to the sea. " * 3
+
+
+@pytest.mark.parametrize("name", ["share-price", "content-header", "related-work", "social-history"])
+def test_html_names_that_may_mean_furniture_do_not_decide(name):
+    from tidemark.llm.html_extract import main_text
+
+    assert main_text(f'<body><div class="{name}"><p>{PROSE}</p><p>{PROSE}</p></div></body>').count("river") == 6
+    assert main_text(f'<body><div id="{name}"><p>{PROSE}</p></div></body>')
+
+
+def test_html_marks_on_paragraphs_items_and_words():
+    from tidemark.llm.html_extract import main_text
+
+    page = f'<p>{PROSE}</p><p class="advertisement">BUY {PROSE}</p><ul><li class="advert">BUY {PROSE}</li></ul><p hidden>BUY {PROSE}</p><p>Now <span class="ad">BUY <span>x</span></span>here. {PROSE}</p>'
+    text = main_text(page)
+    assert "BUY" not in text and "Now here." in text and text.count("river") == 6
+
+
+def test_html_sentences_with_links_go_with_their_neighbours():
+    from tidemark.llm.html_extract import main_text
+
+    linked = 'It is said that <a href="/x">the people of the land came to the sea</a> and that they stayed there for a year.'
+    menu = "".join(f'<li><a href="/{i}">the way of the land {i}</a>' for i in range(9))
+    text = main_text(f"<p>{PROSE}</p><p>{linked}</p><p>{PROSE}</p><ul>{menu}</ul>")
+    assert "It is said" in text and "way of the land" not in text
+    assert "x + y" in main_text(f"<p>{PROSE}<math>x + y</math></p>")
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<title ", "<!--", "<script>", "<b>", "<p class='ad'>", "</div>", "<span class=ad>", "<a href=x>"])
+def test_html_long_odd_pages_take_linear_time(piece):
+    import time
+
+    from tidemark.llm.html_extract import main_text
+
+    main_text(piece * 10)
+    began = time.process_time()
+    main_text(piece * 60_000)
+    assert time.process_time() - began < 5

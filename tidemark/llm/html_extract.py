@@ -1,7 +1,7 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass labels each block by the part of the page it stands in and by
-length, link density and stop-word density: content, boilerplate, or undecided (short ones, and middling ones). In the second
+A page is cut into blocks at block-level tags. The first pass labels each block by the part of the page it stands in (names that
+only may mean furniture raise what a block must show) and by length, link density and stop-word density: content, boilerplate, or undecided (short ones, and middling ones). In the second
 pass an undecided block takes the label of its nearest decided neighbours (content, if they are equally near and it has no
 link), so a one-word paragraph inside an article stays and one inside a menu goes. Headings go with the content that follows them. An article or main narrows both passes to itself if
 it holds most of the text that they call good.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 # Elements of HTML by their role here.
-RAW = "script style noscript template svg math iframe object canvas audio video textarea select title".split()
+RAW = "script style noscript template svg iframe canvas audio video textarea select title".split()
 BLOCKS = set("p div section article main header footer aside nav form ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption pre blockquote figure figcaption address fieldset details summary hr body html head dialog center".split())
 CONTAINERS = set("div section article main header footer aside nav form ul ol dl table blockquote figure fieldset details dialog body".split())
+VOID = set("img input link meta wbr source track embed param area base col".split())
 NOT_TEXT = set("nav footer aside form head dialog button fieldset menu".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
@@ -35,6 +37,8 @@ BOILER_NAMES = set(
     "overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar share sharing "
     "social related recommended comment comments commentlist disqus respond replies discussion widget widgets skip login search pagination pager header".split()
 )
+#: Names that say little in a longer name (share-price, related-work, content-header): there they only raise what a block must show.
+WEAK_NAMES = set("share sharing social related recommended header banner notice notices widget widgets search login discussion overlay popup modal skip replies respond toolbar pager".split())
 STOP_WORDS = set(
     "the of and to in is that it for was with as be on this are by from or an at not have has you he she they we his her "
     "le la les de des du et un une que qui pour dans est par sur pas au avec il elle "
@@ -42,61 +46,105 @@ STOP_WORDS = set(
     "el los las y en por con para no se su del al lo como más".split()
 )
 SHORT, LONG = 70, 200
-LINKS_HIGH, STOPS_HIGH, STOPS_LOW = 0.33, 0.25, 0.08
+LINKS_HIGH, LINKS_MOST, STOPS_HIGH, STOPS_LOW = 0.33, 0.75, 0.25, 0.08
 
-_raw = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
+_raw = re.compile(r"<!--|<!\[CDATA\[|<(" + "|".join(RAW) + r")\b", re.I)
+_ends = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _tag = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>")
 _attribute = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _word = re.compile(r"[^\W\d_]+")
 
 
-def _named_boiler(attributes: str) -> bool:
-    """Whether class, id, role or hidden mark an element as furniture."""
+def _without_raw(page: str) -> str:
+    """The page without comments, CDATA and elements whose content is no text, each found from where the last one ended; what is
+    not closed reaches to the end, and an element without a closing bracket is left as it stands."""
+    parts, at, missing = [], 0, set()
+    look = 0
+    while m := _raw.search(page, look):
+        tag = (m[1] or "").lower()
+        if tag:
+            close = page.find(">", m.end()) if ">" not in missing else -1
+            if close < 0:
+                missing.add(">")
+                look = m.end()
+                continue
+            end = close + 1
+            if page[close - 1] != "/":
+                stop = None if tag in missing else _ends[tag].search(page, end)
+                if stop is None:
+                    missing.add(tag)
+                end = stop.end() if stop else len(page)
+        else:
+            mark = "-->" if page[m.start() + 2] == "-" else "]]>"
+            stop = page.find(mark, m.end())
+            end = stop + 3 if stop >= 0 else len(page)
+        parts += [page[at : m.start()], " "]
+        at = look = end
+    return "".join(parts) + page[at:]
+
+
+def _named_boiler(attributes: str) -> int:
+    """2: class, id, role or hidden mark an element as furniture; 1: they may; 0: they do not."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return 0
+    found = 0
     for m in _attribute.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
+            return 2
         if key in ("class", "id"):
             for name in value.split():
                 parts = re.split(r"[-_]+", name)
-                if name in BOILER_NAMES or parts[0] in BOILER_NAMES or len(parts) > 1 and parts[-1] in BOILER_NAMES and parts[0] not in ("has", "with", "no", "without"):
-                    return True
-    return False
+                if name in BOILER_NAMES or all(p in BOILER_NAMES for p in parts):
+                    return 2
+                told = [p for p in (parts[0], parts[-1]) if p in BOILER_NAMES]
+                if told and not (parts[-1] in told and parts[0] in ("has", "with", "no", "without")):
+                    if any(p not in WEAK_NAMES for p in told):
+                        return 2
+                    found = 1
+    return found
 
 
 class _Block:
-    __slots__ = ("boiler", "heading", "inside", "label", "linked", "text")
+    __slots__ = ("boiler", "heading", "inside", "label", "linked", "suspect", "text")
 
-    def __init__(self, text: str, linked: int, inside: bool, boiler: bool, heading: bool) -> None:
-        self.text, self.linked, self.inside, self.boiler, self.heading, self.label = text, linked, inside, boiler, heading, ""
+    def __init__(self, text: str, linked: int, inside: bool, boiler: bool, heading: bool, suspect: bool) -> None:
+        self.text, self.linked, self.inside, self.boiler, self.heading, self.suspect, self.label = text, linked, inside, boiler, heading, suspect, ""
 
 
 def blocks_of(page: str) -> list[_Block]:
     """The blocks of a page that have text, in order."""
-    page = _raw.sub(" ", page)
+    page = _without_raw(page)
     blocks: list[_Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, furniture, in an article
+    stack: list[tuple[str, int, bool]] = []  # open containers: tag, furniture (2 sure, 1 perhaps), an article or main
+    count: Counter = Counter()  # of the stack: its tags, "sure", "perhaps", "header" among the sure ones, "article"
     texts: list[str] = []
     linked, in_link, heading, at = 0, False, False, 0
-    boiler = inside = False
+    mark = 0  # of a block that is no container, like a paragraph
+    hidden: tuple[str, int] | None = None  # an inline element marked as furniture, and how many of its kind are open in it
 
     def close() -> None:
         nonlocal linked
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                blocks.append(_Block(text, linked, inside, boiler and not (heading and kept_heading()), heading))
+                inside = count["article"] > 0
+                # A heading in the header of an article belongs to the article.
+                kept = heading and inside and count["sure"] == count["sure header"] == 1
+                sure = mark == 2 or count["sure"] > 0 and not kept
+                blocks.append(_Block(text, linked, inside, sure, heading, mark == 1 or count["perhaps"] > 0))
             texts.clear()
         linked = 0
 
-    def kept_heading() -> bool:
-        """A heading in the header of an article belongs to the article."""
-        return inside and [t for t, b, _ in stack if b] == ["header"]
+    def enter(tag: str, own: int, step: int) -> None:
+        count["<" + tag] += step
+        if own:
+            count["sure" if own == 2 else "perhaps"] += step
+            count["sure header"] += step if own == 2 and tag == "header" else 0
+        count["article"] += step if tag in ("article", "main") else 0
 
     for m in _tag.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not hidden:
             piece = htmllib.unescape(page[at : m.start()])
             texts.append(piece)
             linked += len(piece.strip()) if in_link else 0
@@ -104,27 +152,34 @@ def blocks_of(page: str) -> list[_Block]:
         if not (tag := m[2]):
             continue
         tag, closing = tag.lower(), bool(m[1])
-        if tag == "a":
-            in_link = not closing
-        elif tag == "br":
-            texts.append(" ")
-        elif tag in BLOCKS or tag == "button":
+        if tag in BLOCKS or tag == "button":
             close()
-            in_link = False
+            in_link, hidden = False, None
             heading = tag in HEADINGS and not closing
+            mark = 0
             if tag in CONTAINERS or tag in NOT_TEXT:
                 if closing:
-                    if any(t == tag for t, _, _ in stack):
-                        while stack.pop()[0] != tag:
-                            pass
+                    if count["<" + tag]:
+                        last = ""
+                        while last != tag:
+                            last, own, _ = stack.pop()
+                            enter(last, own, -1)
                 else:
-                    own = tag in NOT_TEXT or tag == "header" or tag not in ("body", "main") and _named_boiler(m[3] or "")
-                    stack.append((tag, own, tag in ("article", "main")))
-                boiler = any(b for _, b, _ in stack)
-                inside = any(a for _, _, a in stack)
-        elif tag in ("td", "th"):
+                    own = 2 if tag in NOT_TEXT or tag == "header" else 0 if tag in ("body", "main") else _named_boiler(m[3] or "")
+                    stack.append((tag, own, False))
+                    enter(tag, own, 1)
+            elif not closing:
+                mark = _named_boiler(m[3] or "")
+        elif hidden and tag == hidden[0]:
+            depth = hidden[1] + (-1 if closing else 1)
+            hidden = (tag, depth) if depth else None
+        elif tag == "a":
+            in_link = not closing
+        elif tag == "br":
             texts.append(" ")
-    if at < len(page):
+        elif not closing and not hidden and not (m[3] or "").endswith("/") and tag not in VOID and _named_boiler(m[3] or "") == 2:
+            hidden = (tag, 1)
+    if at < len(page) and not hidden:
         texts.append(htmllib.unescape(page[at:]))
     close()
     return blocks
@@ -145,17 +200,23 @@ def _passes(blocks: list[_Block], trusted: bool) -> None:
     """Both passes over blocks; in a trusted part what is undecided is good, unless all its decided neighbours are bad."""
     for b in blocks:
         n = len(b.text)
-        if b.boiler or b.linked > LINKS_HIGH * n and not (trusted and b.heading):
+        links = b.linked > LINKS_HIGH * n and not (trusted and b.heading)
+        if b.boiler or links and (n < SHORT or b.linked > LINKS_MOST * n):
             b.label = "bad"
         elif n < SHORT:
-            b.label = "bad" if b.linked and not trusted else "short"
+            b.label = "bad" if b.suspect or b.linked and not trusted else "short"
         else:
             words = _word.findall(b.text.lower())
             stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            b.label = "good" if stops >= STOPS_HIGH or n > LONG and stops >= STOPS_LOW else "near"
+            if links:  # a sentence with long links goes with its neighbours, lists of links do not
+                b.label = "near" if stops >= STOPS_HIGH and not b.suspect else "bad"
+            elif b.suspect:
+                b.label = "good" if n > LONG and stops >= STOPS_HIGH else "near"
+            else:
+                b.label = "good" if stops >= STOPS_HIGH or n > LONG and stops >= STOPS_LOW else "near"
     if not any(b.label == "good" for b in blocks):  # few stop words, as in other languages: the longer blocks without links count
         for b in blocks:
-            b.label = "good" if b.label == "near" and not b.linked else b.label
+            b.label = "good" if b.label == "near" and not b.linked and not b.suspect else b.label
     before, last = [], None
     for i, b in enumerate(blocks):
         before.append(last)
