@@ -237,3 +237,77 @@ def test_confidence_falls_with_spread_and_correlation(spark):
     high, low, apart, top, none = (r[0] for r in df.select(components.spread_confidence("c", "r", "a", "t").alias("v")).collect())
     base = 0.8 * 0.9
     assert high == pytest.approx(base - 0.35 * 0.6 * 0.2 * 0.1 + 0.05 * 0.7 * base) and low < apart < high and top == 0.95 and none is None
+
+
+# The order-level book
+
+
+def book_by_hand(messages):
+    """The book after each day's messages, by a plain loop: {(book, day): {order_id: [side, price, volume, since]}}."""
+    state, out = {}, {}
+    days = sorted({m[2] for m in messages})
+    for day in days:
+        for book, seq, d, order, side, price, volume, action in sorted(messages, key=lambda m: m[1]):
+            if d != day:
+                continue
+            own = state.setdefault(book, {})
+            if action == "F":
+                own.clear()
+            elif action == "D":
+                own.pop(order, None)
+            elif action == "A" or action == "Y" and order not in own:
+                own[order] = [side, price, volume, seq]
+            elif order in own:
+                own[order][1] = own[order][1] if price is None else price
+                own[order][2] = own[order][2] if volume is None else volume
+        out |= {(b, day): {k: list(v) for k, v in o.items()} for b, o in state.items()}
+    return out
+
+
+def test_order_book_equals_a_loop(spark):
+    import datetime
+    import random
+
+    from tidemark.operators import book as B
+
+    rng = random.Random(8)
+    first = datetime.date(2024, 1, 1)
+    messages = []
+    for seq in range(900):
+        order = rng.randrange(25)
+        side = "buy" if order % 2 else "sell"
+        price = None if rng.random() < 0.3 else (90.0 if side == "buy" else 100.0) + rng.randrange(8)
+        action = rng.choices("AMDYF", [5, 6, 3, 4, 0.1])[0]
+        messages.append((order % 3, seq, first + datetime.timedelta(days=seq // 60), order, side, price, None if rng.random() < 0.3 else rng.randrange(1, 9), action))
+    df = spark.createDataFrame(messages, "book int, seq long, day date, order_id int, side string, price double, volume long, action string")
+    last = max(m[2] for m in messages)
+    standing = B.at_day_ends(B.versions(df), F.lit(last))
+    got = {}
+    for r in standing.collect():
+        got.setdefault((r["book"], r["at"]), {})[r["order_id"]] = [r["side"], r["price"], r["volume"], r["since"]]
+    want = book_by_hand(messages)
+    assert all(got.get(k, {}) == v for k, v in want.items())
+    # Levels and measures of one day, by hand.
+    key = max(k for k, v in want.items() if {o[0] for o in v.values() if o[1] is not None and o[2]} == {"buy", "sell"})
+    sides = {}
+    for k, (side, price, volume, since) in want[key].items():
+        if price is not None and volume:
+            at = sides.setdefault(side, {}).setdefault(price, [0, 0, (10**9, 0)])
+            at[0], at[1], at[2] = at[0] + volume, at[1] + 1, min(at[2], (since, k))
+    best = {s: sorted(p.items(), reverse=s == "buy")[:3] for s, p in sides.items()}
+    ladder = B.levels(standing.where("price IS NOT NULL"))
+    rows = ladder.where((F.col("book") == key[0]) & (F.col("at") == F.lit(key[1]))).collect()
+    for s, expected in best.items():
+        own = sorted((r for r in rows if r["side"] == s), key=lambda r: r["level"])
+        assert [(r["price"], r["volume"], r["orders"], r["first_order"]) for r in own] == [(p, v[0], v[1], v[2][1]) for p, v in expected]
+    m = B.measures(ladder).where((F.col("book") == key[0]) & (F.col("at") == F.lit(key[1]))).first()
+    (bp, (bv, *_)), (sp, (sv, *_)) = best["buy"][0], best["sell"][0]
+    assert (m["mid"], m["spread"]) == ((bp + sp) / 2, sp - bp) and m["weighted"] == pytest.approx((bp * sv + sp * bv) / (bv + sv))
+
+
+def test_objects_in_prose(spark):
+    from tidemark.plans.book import object_in
+
+    texts = ['{"a": 1}', 'so ```json\n{"a": 2}\n``` yes', 'I say {"a": {"b": 3}} now', "nothing", '{"a": ', None, "", "[1, 2]", 'two {"a": 1} and {"a": 2}']
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(object_in(F.col("t")).cast("string")).collect()]
+    assert got[:3] == ['{"a":1}', '{"a":2}', '{"a":{"b":3}}'] and got[3:] == [None] * 5 + ['{"a":1}']
