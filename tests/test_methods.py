@@ -187,3 +187,12 @@ def test_frames_hold_every_row_of_full_frames(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(47)] + [("b", i, 1.0) for i in range(9)], "k string, d int, x double")
     got = C.frames(df, "k", "d", ["x"], window=10, stride=4).groupBy("k", "frame").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v")).collect()
     assert {(r["k"], r["frame"]): [v["x"] for v in r["v"]] for r in got} == {("a", f): [float(4 * f + p) for p in range(10)] for f in range(10)}
+
+
+def test_behaviour_edges_a_regime_but_never_turns_it(spark):
+    from tidemark.plans.studies import with_behaviour
+
+    cases = [([55, 20], 85, 70), ([20, 20], 85, 20), ([20, 25], 20, 25), ([20, 28], 25, 25), ([60], 20, 60), ([85], 85, 85), ([], 85, 85), ([], None, None), ([55], None, 55), ([40], 45, 40)]
+    df = spark.createDataFrame([(i, s, b) for i, (s, b, _) in enumerate(cases)], "i int, s array<int>, b int")
+    got = [r[0] for r in df.orderBy("i").select(with_behaviour(F.col("s"), F.col("b"))).collect()]
+    assert got == [w for _, _, w in cases]
