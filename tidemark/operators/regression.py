@@ -71,25 +71,31 @@ def explained(y: int, p: int, tag: str = "") -> Column:
 
 def least_squares(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
     """y on xs and a constant: one row for each key and term (the constant first) with n, r2, coef, se, t and p (two-sided)."""
+    return solve(moments(df, keys, [*xs, y]), keys, xs, len(xs))
+
+
+def solve(m: DataFrame, keys: Sequence[str], xs: Sequence[str], y: int, tails: bool = True) -> DataFrame:
+    """least_squares() of column y of moments() on its first columns, which xs names: models of any size from one aggregation.
+    Without tails there is no p, for callers that put models together first."""
     k = len(xs)
-    m = factor(moments(df, keys, [*xs, y]), range(k), [k])
+    m = factor(m, range(k), [y])
     # The rows of the inverse factor, and the standardised coefficients by substitution from the last.
     for i in range(k):
         w = {f"w_{i}_{i}": 1 / F.col(f"l_{i}_{i}")}
         m = m.withColumns(w)
         m = m.withColumns({f"w_{i}_{j}": -_sum([F.col(f"l_{i}_{q}") * F.col(f"w_{q}_{j}") for q in range(j, i)]) / F.col(f"l_{i}_{i}") for j in range(i)})
     for i in reversed(range(k)):
-        m = m.withColumn(f"b_{i}", (F.col(f"z_{k}_{i}") - _sum([F.col(f"l_{q}_{i}") * F.col(f"b_{q}") for q in range(i + 1, k)])) / F.col(f"l_{i}_{i}"))
-    n, free, sd = F.col("n").cast("double"), F.col("n") - (k + 1), F.col(f"sd_{k}")
-    share = explained(k, k)
+        m = m.withColumn(f"b_{i}", (F.col(f"z_{y}_{i}") - _sum([F.col(f"l_{q}_{i}") * F.col(f"b_{q}") for q in range(i + 1, k)])) / F.col(f"l_{i}_{i}"))
+    n, free, sd = F.col("n").cast("double"), F.col("n") - (k + 1), F.col(f"sd_{y}")
+    share = explained(y, k)
     m = m.withColumn("r2", F.when(share < 1, share).when(share >= 1, 1.0)).withColumn("_s2", F.when(free > 0, n * sd * sd * (1 - F.col("r2")) / free))
     slope = [F.col(f"b_{i}") * sd / F.col(f"sd_{i}") for i in range(k)]
     spread = [F.col("_s2") / n * _sum([F.col(f"w_{q}_{i}") ** 2 for q in range(i, k)]) / F.col(f"sd_{i}") ** 2 for i in range(k)]
     m = m.withColumns({f"_b{i}": slope[i] for i in range(k)} | {f"_v{i}": spread[i] for i in range(k)})
-    base = F.col(f"mean_{k}") - _sum([F.col(f"_b{i}") * F.col(f"mean_{i}") for i in range(k)])
+    base = F.col(f"mean_{y}") - _sum([F.col(f"_b{i}") * F.col(f"mean_{i}") for i in range(k)])
     # The constant's variance: s2 / n plus the means' quadratic form in the inverse, whose rows are the columns of w.
     lean = _sum([_sum([F.col(f"w_{q}_{i}") * F.col(f"mean_{i}") / F.col(f"sd_{i}") for i in range(q + 1)]) ** 2 for q in range(k)])
     terms = [F.struct(F.lit("const").alias("term"), base.alias("coef"), F.sqrt(F.col("_s2") / n * (1 + lean)).alias("se"))]
     terms += [F.struct(F.lit(x).alias("term"), F.col(f"_b{i}").alias("coef"), F.sqrt(F.col(f"_v{i}")).alias("se")) for i, x in enumerate(xs)]
     out = m.select(*keys, "n", "r2", F.inline(F.array(*terms))).withColumn("t", ratio("coef", "se"))
-    return out.withColumn("p", t_two_sided("t", F.col("n") - (k + 1)))
+    return out.withColumn("p", t_two_sided("t", F.col("n") - (k + 1))) if tails else out

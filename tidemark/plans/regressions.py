@@ -87,23 +87,27 @@ def _ols_many_sql(k: int) -> str:
         f"SELECT asset, n, 1 - s_{k}_{k} / nullif(d_{k}, 0) AS r2, '{x}' AS term, s_{i}_{k} AS coef, sqrt({s2} / n * ({v(i, i)})) AS se FROM s{k}"
         for i, x in enumerate(xs)
     ]
-    return f"{sweep_sql('x', f's{k}', 'asset', [*xs, 'y'], k)}, o{k} AS ({' UNION ALL '.join(rows)})"
+    return f"{sweep_sql('whole', f's{k}', 'asset', [*xs, 'y'], k)}, o{k} AS ({' UNION ALL '.join(rows)})"
 
 
 _SIZES = range(1, len(FEATURES) + 1)
 _ALL = " UNION ALL ".join(f"SELECT {k} AS k, * FROM o{k}" for k in _SIZES)
 
 
-@query(f"""WITH {_FEATURES_SQL}, {', '.join(_ols_many_sql(k) for k in _SIZES)}, u AS ({_ALL})
+_WHOLE = f"whole AS (SELECT * FROM x WHERE {' AND '.join(f'{c} IS NOT NULL' for c in FEATURES)})"
+
+
+@query(f"""WITH {_FEATURES_SQL}, {_WHOLE}, {', '.join(_ols_many_sql(k) for k in _SIZES)}, u AS ({_ALL})
 SELECT k::INTEGER AS k, asset, n, term, round(r2, 8) AS r2, round(coef, 7) AS coef, round(se, 7) AS se, round(coef / se, 5) AS t,
   round({f_tail_sql('coef / se * coef / se', '1', '(n - k - 1)')}, 6) AS p FROM u""")
 def least_squares_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returns on one to six features of the past: coefficients, errors, fit and p values of each size of model."""
-    f = _features(spark, sf_dir)
-    out = None
+    """Returns on one to six features of the past: coefficients, errors, fit and p values of each size of model, all over the same
+    rows and from one aggregation (the plan reuses its exchange)."""
+    m, out = R.moments(_features(spark, sf_dir), ["asset"], [*FEATURES, "y"]), None
     for k in _SIZES:
-        one = R.least_squares(f, ["asset"], "y", FEATURES[:k]).withColumn("k", F.lit(k))
+        one = R.solve(m, ["asset"], FEATURES[:k], len(FEATURES), tails=False).withColumn("k", F.lit(k))
         out = one if out is None else out.unionByName(one)
+    out = out.withColumn("p", t_two_sided("t", F.col("n") - F.col("k") - 1))
     return rounded(out.select("k", "asset", "n", "term", "r2", "coef", "se", "t", "p"), 6, r2=8, coef=7, se=7, t=5)
 
 
