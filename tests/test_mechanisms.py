@@ -323,6 +323,18 @@ def test_clearings_take_time_in_proportion_to_messages(spark):
     assert str(got[3]) == "2024-01-24" and took < 20
 
 
+def test_order_book_clears_across_days(spark):
+    import datetime
+
+    from tidemark.operators import book as B
+
+    d = [datetime.date(2024, 1, k) for k in (1, 2, 3, 4)]
+    rows = [(1, 1, d[0], "A"), (1, 2, d[0], "F"), (1, 3, d[0], "A"), (1, 4, d[2], "F"), (1, 5, d[2], "F"), (1, 6, d[2], "A"), (2, 7, d[1], "A"), (None, 8, d[1], "A"), (2, 9, None, "F")]
+    m = spark.createDataFrame(rows, "book int, seq long, day date, action string")
+    got = {r["seq"]: (r["_cleared"], r["_next_clear"]) for r in B._between_clearings(m).collect()}
+    assert got == {1: (0, d[0]), 2: (1, d[2]), 3: (1, d[2]), 4: (2, d[2]), 5: (3, None), 6: (3, None), 7: (0, None)}
+
+
 def test_objects_in_prose(spark):
     from tidemark.plans.book import object_in
 
