@@ -305,6 +305,27 @@ def test_order_book_equals_a_loop(spark):
     assert (m["mid"], m["spread"]) == ((bp + sp) / 2, sp - bp) and m["weighted"] == pytest.approx((bp * sv + sp * bv) / (bv + sv))
 
 
+def test_change_only_over_many_frames_of_a_user(spark, tmp_path):
+    from tidemark.streaming import jobs
+
+    # 25,000 rows of one user come in several frames (of 10,000 rows at most), beside users of a few rows.
+    n = F.col("id")
+    e = spark.range(25_300).select(
+        n.alias("event_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=n)).alias("ts"), F.when(n < 25_000, 1).otherwise(n % 7 + 2).alias("user_id").cast("long"),
+        F.lit("view").alias("event_type"), F.floor(n / 3).cast("double").alias("value"), F.lit("{}").alias("props"),
+    )
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    got = jobs.run_available(jobs.change_only(jobs.events_stream(spark, str(tmp_path))), "changes", "append")
+    found = {(r["user_id"], r["event_id"], r["v"]) for r in got.collect()}
+    want, last = set(), {}
+    for k in range(25_300):
+        user, v = (1 if k < 25_000 else k % 7 + 2), float(k // 3)
+        if last.get(user) != v:
+            want.add((user, k, v))
+        last[user] = v
+    assert found == want and got.count() == len(want)
+
+
 def test_clearings_take_time_in_proportion_to_messages(spark):
     import time
 

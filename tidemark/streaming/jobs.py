@@ -57,7 +57,8 @@ def change_only(events: DataFrame) -> DataFrame:
             state.remove()
             return
         last, seen = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        # A user's rows come in several frames, whose labels repeat: they are numbered anew.
+        rows = pd.concat(list(frames)).sort_values(["at", "event_id"], ignore_index=True)
         if seen is not None:
             rows = rows[rows["at"].astype("datetime64[us]").astype("int64") >= seen]
         v = rows["value"].round()
