@@ -75,6 +75,55 @@ def test_online_levels_of_batches_equal_one_pass(spark, tmp_path):
     assert want["trips"].max() > 3 and want["held"].any() and not want["held"].all()
 
 
+def test_values_wait_in_blocks():
+    class Store:
+        def __init__(self):
+            self.rows, self.sent = [], 0
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows) if isinstance(self.rows, list) else self.rows  # a list, or one value
+
+        def appendList(self, rows):  # noqa: N802
+            self.rows, self.sent = self.rows + rows, self.sent + len(rows)
+
+        def put(self, rows):
+            self.rows, self.sent = rows, self.sent + len(rows)
+
+        update = put
+
+        def clear(self):
+            self.rows = []
+
+        def registerTimer(self, at):  # noqa: N802
+            timers.append(at)
+
+    class Clock:
+        now = -1
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.now
+
+    timers, p, clock = [], state.OnlineLevels(), Clock()
+    p.handle = p.waiting = Store()
+    p.value = Store()
+    n = 25_000
+    at = np.random.default_rng(3).permutation(n) * 1000
+    rows = pd.DataFrame({"event_type": "a", "event_id": np.arange(n), "value": np.arange(n) % 170.0, "at_us": at})
+    for s in (0, n // 2):
+        assert list(p.handleInputRows(("a",), iter([rows[s : s + n // 2]]), clock)) == []
+    assert p.waiting.sent < 10 and min(timers) == 0  # not one call's worth for each of 25,000 values
+    clock.now = n - 5_001
+    got = pd.concat(p.handleExpiredTimer(("a",), clock, None))
+    want = state.levels_of(rows[at // 1000 <= clock.now])
+    pd.testing.assert_frame_equal(got.reset_index(drop=True), want, check_dtype=False)
+    clock.now, before = n, tuple(p.value.rows)
+    left = pd.concat(p.handleExpiredTimer(("a",), clock, None))
+    assert before[0] == n - 5_000 and left["n"].tolist() == list(range(n - 4_999, n + 1)) and not p.waiting.exists()
+
+
 def test_the_breaker_opens_cools_and_closes():
     s, held = state.NEW, []
     for at, x in [(0, 5.0), (1, 999.0), (2, 999.0), (3, 5.0), (2 + state.COOL_MS, 6.0), (3 + state.COOL_MS, -1.0), (4 + state.COOL_MS, 7.0)]:

@@ -63,7 +63,7 @@ SELECT event_type, event_id, i AS n, round(mean, 6) AS mean, round(level, 6) AS
 def stream_online_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Online levels of each metric over several batches with late rows; the twin folds the same rows in order of time."""
     path = shared_folder(spark, "arrivals")
-    stream = O.in_batches(table(spark, sf_dir, "events"), path, 4)
+    stream = O.in_batches(table(spark, sf_dir, "events").drop("props"), path, 4)
     with O.state_store(spark):
         got = J.run_available(O.online_levels(stream), "levels", "append").drop("_batch")
     return got.withColumns({c: F.round(c, 6) for c in ("mean", "level")}).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("mean", "level")})

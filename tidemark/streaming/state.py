@@ -1,9 +1,9 @@
 """Keyed online state: a level per metric that is right whatever order its values come in, and a table of last values.
 
 OnlineLevels keeps two states for each key: a value (exponential mean, Kalman level, run of values out of range, breaker) and a
-list of values that still wait. A value is used when the watermark has passed it, in order of time, so late rows within the
-delay change nothing; an event-time timer stands at the earliest waiting value. The same timer clears a key that has been
-silent for KEEP_MS. State lives in Spark's state store (RocksDB), checkpointed with the stream.
+list of values that still wait, packed in blocks of many, so that a value costs no call to the store of its own. A value is used
+when the watermark has passed it, in order of time, so late rows within the delay change nothing; an event-time timer stands at
+the earliest waiting value. The same timer clears a key that has been silent for KEEP_MS. State lives in Spark's state store (RocksDB), checkpointed with the stream.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ DELAY = "1 day"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _D, _L, _I = T.DoubleType(), T.LongType(), T.IntegerType()
 _LEVEL = T.StructType([T.StructField(n, t) for n, t in (("n", _L), ("mean", _D), ("level", _D), ("spread", _D), ("bad", _I), ("opened", _L), ("trips", _I), ("last", _L))])
-_WAITING = T.StructType([T.StructField("at", _L), T.StructField("id", _L), T.StructField("x", _D)])
+_WAITING = T.StructType([T.StructField("rows", T.BinaryType())])  # a block of values as the bytes of a _ROW array
+_ROW = np.dtype([("at", "<i8"), ("id", "<i8"), ("x", "<f8")])
+BLOCK = 10_000
 LEVELS = "event_type string, event_id long, n long, mean double, level double, bad int, trips int, held boolean"
 
 
@@ -61,37 +63,44 @@ class OnlineLevels(StatefulProcessor):
         self.value = handle.getValueState("level", _LEVEL)
         self.waiting = handle.getListState("waiting", _WAITING)
 
-    def _wait(self, rows: list[tuple]) -> None:
-        if rows:
-            self.waiting.put(rows)
-            self.handle.registerTimer(min(r[0] for r in rows) // 1000)
-        else:
-            self.waiting.clear()
+    def _wait(self, rows: np.ndarray) -> None:
+        """Let rows wait too, with a timer at the earliest of them."""
+        if len(rows):
+            self.waiting.appendList([(rows[s : s + BLOCK].tobytes(),) for s in range(0, len(rows), BLOCK)])
+            self.handle.registerTimer(int(rows["at"].min()) // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs()
-        fresh = [(int(a), int(i), float(x)) for f in rows for a, i, x in zip(f["at_us"], f["event_id"], f["value"], strict=True) if a // 1000 > passed]
+        passed, fresh = timerValues.getCurrentWatermarkInMs(), []
+        for f in rows:
+            own = np.empty(len(f), _ROW)
+            own["at"], own["id"], own["x"] = f["at_us"], f["event_id"], f["value"]
+            fresh.append(own[own["at"] // 1000 > passed])
         if fresh:
-            self._wait(list(self.waiting.get()) + fresh if self.waiting.exists() else fresh)
+            self._wait(np.concatenate(fresh))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted(r for r in held if r[0] // 1000 <= passed)
+        held = np.frombuffer(b"".join(r[0] for r in self.waiting.get()) if self.waiting.exists() else b"", _ROW)
+        used = held["at"] // 1000 <= passed
+        due = held[used]
         state = tuple(self.value.get()) if self.value.exists() else NEW
-        if not due:
-            if not held and state[-1] >= 0 and state[-1] // 1000 + KEEP_MS <= passed:
+        if not len(due):
+            if not len(held) and state[-1] >= 0 and state[-1] // 1000 + KEEP_MS <= passed:
                 self.value.clear()
             return
-        out = []
-        for at, i, x in due:
-            state, back = advance(state, at // 1000, x)
-            out.append((key[0], i, state[0], state[1], state[2], state[4], state[6], back))
-        self.value.update(state[:-1] + (due[-1][0],))
-        self._wait([r for r in held if r[0] // 1000 > passed])
-        self.handle.registerTimer(due[-1][0] // 1000 + KEEP_MS)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in LEVELS.split(", ")])
+        due = due[np.lexsort((due["x"], due["id"], due["at"]))]
+        for s in range(0, len(due), BLOCK):
+            out = []
+            for at, i, x in due[s : s + BLOCK].tolist():
+                state, back = advance(state, at // 1000, x)
+                out.append((key[0], i, state[0], state[1], state[2], state[4], state[6], back))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in LEVELS.split(", ")])
+        last = int(due["at"][-1])
+        self.value.update(state[:-1] + (last,))
+        self.waiting.clear()
+        self._wait(held[~used])
+        self.handle.registerTimer(last // 1000 + KEEP_MS)
 
 
 @contextmanager
@@ -131,7 +140,7 @@ def in_batches(events: DataFrame, path: str, files: int, jitter: str = "12 hours
     width = ((high or 1) - (low or 0)) / files + 1
     for k in range(files):  # a fixed number of small writes, one after the other, so that files are as old as they should be
         part = placed.where((F.col("_a") >= (low or 0) + k * width) & (F.col("_a") < (low or 0) + (k + 1) * width))
-        part.drop("_a").coalesce(1).write.mode("append").parquet(path)
+        part.drop("_a").repartition(1).write.mode("append").parquet(path)
     spark = events.sparkSession
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
 
