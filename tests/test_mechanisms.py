@@ -178,6 +178,18 @@ def test_archives_go_and_come_back(spark, tmp_path):
     assert got.rdd.getNumPartitions() == 2
 
 
+def test_archives_of_many_batches_and_nulls_come_back_whole(spark, tmp_path):
+    # Whole numbers beside nulls were written as 1.0 when an archive was one frame, and read back as nulls.
+    n = F.col("id")
+    df = spark.range(25_000).select((n % 2).cast("string").alias("a"), F.when(n % 100 > 0, n).alias("k"), (n / 4).alias("v"), F.concat(F.lit('x, "'), n).alias("s"))
+    archives.write_archives(df, f"file://{tmp_path}/z", "a")
+    assert sorted(f.name for f in (tmp_path / "z").iterdir()) == ["0.zip", "0.zip.CHECKSUM", "1.zip", "1.zip.CHECKSUM"]
+    spark.dataSource.register(archives.ZippedCsv)
+    got = spark.read.format("zipped_csv").schema("_archive string, k long, v double, s string").option("names", "k,v,s").option("mode", "FAILFAST").load(f"file://{tmp_path}/z")
+    want = df.select(F.concat("a", F.lit(".zip")), "k", "v", "s")
+    assert got.count() == 25_000 and got.exceptAll(want).isEmpty()
+
+
 # Tables in pages
 
 

@@ -17,13 +17,15 @@ from __future__ import annotations
 import csv
 import hashlib
 import io
+import itertools
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 from datetime import date, datetime
 
-import pandas as pd
 import pyarrow as pa
+from pyarrow import csv as pa_csv
 from pyarrow import fs as afs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,21 +158,46 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return pa.schema([pa.field(f.name, kinds[type(f.dataType)]) for f in schema])
 
 
+class _Summed:
+    """A stream that is only written to, and the SHA-256 of what went through."""
+
+    def __init__(self, out: pa.NativeFile) -> None:
+        self.out, self.digest = out, hashlib.sha256()
+
+    def write(self, data: bytes) -> int:
+        self.digest.update(data)
+        self.out.write(data)
+        return len(data)
+
+    def flush(self) -> None:
+        self.out.flush()
+
+
 def write_archives(df: DataFrame, path: str, name: str) -> None:
     """Rows as zipped CSV without a header: an archive and its checksum file for each value of column `name`, which is left out.
-    The rows of one archive are put together in one task."""
+    The rows of one archive are put together in one task, batch by batch, so that no archive is held; it takes its name when whole."""
     columns = [c for c in df.columns if c != name]
 
-    def put(frame: pd.DataFrame) -> pd.DataFrame:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _system(path)
         fs.create_dir(base)
-        key, held = str(frame[name].iloc[0]), io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr(f"{key}.csv", frame[columns].to_csv(index=False, header=False))
-        data = held.getvalue()
-        for end, content in ((".zip", data), (".zip.CHECKSUM", f"{hashlib.sha256(data).hexdigest()}  {key}.zip\n".encode())):
-            with fs.open_output_stream(f"{base}/{key}{end}") as f:
-                f.write(content)
-        return frame[[name]].head(1)
-
-    df.groupBy(name).applyInPandas(put, T.StructType([df.schema[name]])).agg(F.count(F.lit(1))).collect()
+        first, plain = next(batches), pa_csv.WriteOptions(include_header=False)
+        key, begun = str(first.column(name)[0].as_py()), f"{base}/{uuid.uuid4().hex}.part"
+        try:
+            with fs.open_output_stream(begun) as raw:
+                held = _Summed(raw)
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z, z.open(f"{key}.csv", "w", force_zip64=True) as member:
+                    for batch in itertools.chain([first], batches):
+                        lines = pa.BufferOutputStream()
+                        pa_csv.write_csv(batch.select(columns), lines, plain)
+                        member.write(lines.getvalue())
+            fs.move(begun, f"{base}/{key}.zip")
+        except BaseException:
+            if fs.get_file_info(begun).is_file:
+                fs.delete_file(begun)
+            raise
+        with fs.open_output_stream(f"{base}/{key}.zip.CHECKSUM") as f:
+            f.write(f"{held.digest.hexdigest()}  {key}.zip\n".encode())
+        yield first.select([name]).slice(0, 1)
+
+    df.groupBy(name).applyInArrow(put, T.StructType([df.schema[name]])).agg(F.count(F.lit(1))).collect()
