@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -464,6 +465,19 @@ def test_chains_reach_the_value_of_brute_force():
         assert abs(got - best_chain(pos, rpos, 6, 0.05, 40)) < 1e-9
 
 
+def test_substring_tries_every_chain_of_a_pair_in_both_rounds(spark, monkeypatch):
+    made, plain = [], substring_dedup._chain_all
+    monkeypatch.setattr(substring_dedup, "_chain_all", lambda *a: made.append(plain(*a)) or made[-1])
+    rng = random.Random(21)
+    texts = [words(rng, 90), words(rng, 90)]
+    substring_dedup.passages(frame(spark, texts).select(F.col("doc_id").alias("doc"), "text")).collect()
+    # Seven places of the earlier text hold seeds of the same 36 words, too far from each other for one chain.
+    matches = pd.DataFrame([(2, 1, p, p + 500 * n) for p in range(0, 36, 6) for n in range(7)], columns=["doc", "rep", "pos", "rpos"])
+    assert len(made) == 2
+    for work in made:
+        assert sum(len(f) for f in work(iter([matches]))) == 7
+
+
 def test_substring_of_null_repeated_ids_and_clashing_names(spark):
     rng = random.Random(12)
     shared = words(rng, 60)

@@ -13,8 +13,7 @@
 5. Neighbouring seeds may have their earliest places in different texts, or at different shifts, while another text holds
    the whole stretch. So where a stretch of shared seeds, as long as a passage, is in none found so far, its runs of seeds
    (four, and as many as MIN_WORDS hold) are named and linked with the earliest place of the whole run, and chained and
-   aligned in the same way; of a pair's chains (a text that repeats itself has very many), those that hold next to nothing
-   which a better one does not are left out.
+   aligned in the same way, every chain of a pair (a text that repeats itself has very many).
 
 Cases: null, empty and short texts have no passages; passages repeated inside one document only are not reported; rows that
 repeat both id and text count as one document; rows without id, and different texts under one id, are documents of their own
@@ -43,8 +42,6 @@ MAX_GAP = 60
 #: Words looked at beyond the ends of a chain.
 FLANK = 128
 BLOCK = 128
-#: Chains of a pair of texts that are aligned over the same words, best first, in the second round.
-TRIES = 4
 #: Ids from here on are their documents' numbers; what lies below stands for rows without an id of their own.
 _LEAST_ID = -(1 << 62)
 
@@ -256,9 +253,8 @@ def _name_runs(k: int, min_words: int, max_gap: int = MAX_GAP):
     return _streamed(["doc"], work)
 
 
-def _chain_all(k: int, own_words: int = 0):
-    """Chains of sorted matches (doc, rep, pos, rpos): their matches as two arrays. Of a pair's chains, best first, those that
-    claim fewer than own_words words of the document that fewer than TRIES better ones claim are left out."""
+def _chain_all(k: int):
+    """Chains of sorted matches (doc, rep, pos, rpos): their matches as two arrays, a pair's best first."""
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -270,14 +266,8 @@ def _chain_all(k: int, own_words: int = 0):
         for s, e in _runs(f, ["doc", "rep"]):
             if e - s < 2:
                 continue
-            taken = np.zeros(int(pos[e - 1]) + k if own_words else 0, np.int8)
             for n, chain in enumerate(chains(pos[s:e], rpos[s:e], k)):
                 if len(chain) > 1:
-                    if own_words:
-                        claim = taken[pos[s:e][chain[0]] : pos[s:e][chain[-1]] + k]
-                        if (claim < TRIES).sum() < own_words:
-                            continue
-                        claim += claim < TRIES
                     rows.append((doc[s], rep[s], n, pos[s:e][chain], rpos[s:e][chain]))
         return pd.DataFrame(rows, columns=["doc", "rep", "n", "at", "rat"])
 
@@ -315,11 +305,11 @@ def _align_all(k: int, min_words: int, identity: float):
     return _streamed(["doc", "rep"], work)
 
 
-def _aligned(docs: DataFrame, matches: DataFrame, k: int, min_words: int, identity: float, name: str, own_words: int = 0) -> DataFrame:
+def _aligned(docs: DataFrame, matches: DataFrame, k: int, min_words: int, identity: float, name: str) -> DataFrame:
     """The passages around the chains of matches (doc, rep, pos, rpos) of docs (doc, text)."""
     order = ["doc", "rep", "pos", "rpos"]
     linked = matches.select(*order).repartition("doc").sortWithinPartitions(*order)
-    chained = linked.mapInPandas(_chain_all(k, own_words), "doc long, rep long, n int, at array<int>, rat array<int>")
+    chained = linked.mapInPandas(_chain_all(k), "doc long, rep long, n int, at array<int>, rat array<int>")
     found = materialize(chained, f"{name}-chains")
 
     def need(side: int, owner: str, a: str) -> DataFrame:
@@ -383,7 +373,7 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
     ends = F.explode(F.array(F.lit(0), F.col("span")))
     held = held.select("doc", F.col("first.doc").alias("rep"), "pos", F.col("first.pos").alias("rpos"), ends.alias("on"))
     held = held.select("doc", "rep", (F.col("pos") + F.col("on")).alias("pos"), (F.col("rpos") + F.col("on")).alias("rpos"))
-    more = _aligned(docs, held, k, min_words, identity, "substring-more", min_words // 2)
+    more = _aligned(docs, held, k, min_words, identity, "substring-more")
     release(runs)
     return whole.union(more)
 
