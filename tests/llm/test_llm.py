@@ -542,6 +542,39 @@ def test_neighbours_of_few(spark):
     assert ann.search(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_candidates_grow_with_the_queries_only(spark):
+    # Twenty rows of each of some 20 blocks were given for each query, and more blocks with more entries.
+    x = np.random.default_rng(6).normal(size=(20_000, 8)).astype(np.float32)
+    df = vectors(spark, [(i, v.tolist(), "") for i, v in enumerate(x)])
+    asked = F.col("vec_id") % 500 == 0
+    n = ann.candidates(df, asked, 20).count()
+    assert 40 * 20 <= n <= 40 * 20 * ann.SPLITS
+    got = ann.search(df, asked, 20).toPandas()
+    s = x.astype(float) @ x[::500].astype(float).T
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        own = s[:, q // 500].copy()
+        own[q] = -np.inf
+        hit += len(set(np.argsort(-own)[:20]) & set(g.vec_id))
+        assert np.allclose(g.sort_values("rank").score, own[g.sort_values("rank").vec_id])
+    assert hit >= 0.9 * 40 * 20
+
+
+def test_best_so_far_in_tiles_equals_one_sort():
+    rng = np.random.default_rng(7)
+    x, ids = rng.integers(-2, 3, (9_000, 6)).astype(float), rng.permutation(9_000)
+    f = pd.DataFrame({"vec_id": ids[:300], "ask": ids[:300], "least": -np.inf, "v": list(x[:300])})
+    best, zero = ann.Best(f, 20), np.zeros(9_000, np.int64)
+    for n in range(0, 9_000, 700):  # many equal products: ties go to the smaller id wherever they are cut
+        p = slice(n, n + 700)
+        best.see(x[p], ids[p], zero[p], zero[p], np.zeros((1, 3)), np.zeros((1, 3)))
+    got = best.found().groupby("query_id")["vec_id"].apply(list)
+    for i in range(300):
+        s = x @ x[i]
+        s[i] = -np.inf
+        assert got[ids[i]] == ids[np.lexsort((ids, -s))[:20]].tolist()
+
+
 # 10: HTML
 
 

@@ -6,10 +6,12 @@ centroids, by a heap over the two sorted lists, until the cells seen hold a give
 measured, not guessed: on a bounded sample it is what finds 97 % of the true neighbours, so clustered data need little and
 structureless data much. All entries of the cells seen are then scored exactly on the original vectors.
 
-Entries are spread over blocks of bounded size (cells of like first centroid together, hot ones cut up) and queries go to the
-blocks that hold a cell they see. A block that very many queries aim at is scored in parts of bounded size, and only such a
-block's entries are copied, once for each part; entries of blocks nobody aims at are not moved. Each task scores one part
-against one block and returns at most k rows a query. Codebooks grow with the root of the table, up to MAX_CENTROIDS.
+Entries lie in SPLITS stretches of cells (cells of like first centroid together, hot ones dealt over several), however many
+there are, and queries go to the stretches that hold a cell they see, in parts of bounded size. A task holds one part of the
+queries with the best k of each so far, and lets a stretch's entries pass by, so it gives k rows a query at most and a query has
+SPLITS * k candidates at most: what is gathered grows with the queries only. A stretch is read once for each part; those nobody
+aims at are not moved. Products by blocks find what may be among the best, and only that is scored exactly. Codebooks grow with
+the root of the table, up to MAX_CENTROIDS.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor
 do rows without id; rows with the query's id are its own; ties go to the smaller id; repeated rows are separate candidates
@@ -32,9 +34,11 @@ from .common import materialize, table
 SAMPLE_ROWS = 20_000
 SAMPLE_QUERIES = 256
 TARGET_RECALL = 0.97
-BLOCK = 8_192
-#: Queries that a task scores against a block.
-PART = 20 * BLOCK
+#: Stretches of entries; a query has k candidates from each at most.
+SPLITS = 16
+#: Numbers that a task holds for its queries (vectors and best so far), and rows of queries and entries that are multiplied at once.
+PART_VALUES = 1 << 23
+TILE, CHUNK = 256, 4_096
 MAX_CENTROIDS = 512
 SEED = 5
 
@@ -72,21 +76,68 @@ def assign(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def walk(s1: np.ndarray, s2: np.ndarray, held: np.ndarray, enough: float) -> float:
     """The summed score of the last cell that a walk sees: cells by falling s1 + s2 until they hold enough entries."""
     o1, o2 = np.argsort(-s1, kind="stable"), np.argsort(-s2, kind="stable")
-    heap = [(-(s1[o1[0]] + s2[o2[0]]), 0, 0)]
+    t1, t2, n = s1[o1].tolist(), s2[o2].tolist(), held[o1][:, o2].tolist()
+    heap = [(-(t1[0] + t2[0]), 0, 0)]
     seen, last = 0, -np.inf
     while heap:
         score, i, j = heapq.heappop(heap)
         last = -score
-        seen += held[o1[i], o2[j]]
+        seen += n[i][j]
         if seen >= enough:
-            return float(last)
-        if j + 1 < len(o2):
-            heapq.heappush(heap, (-(s1[o1[i]] + s2[o2[j + 1]]), i, j + 1))
-        if j == 0 and i + 1 < len(o1):
-            heapq.heappush(heap, (-(s1[o1[i + 1]] + s2[o2[0]]), i + 1, 0))
+            return last
+        if j + 1 < len(t2):
+            heapq.heappush(heap, (-(t1[i] + t2[j + 1]), i, j + 1))
+        if j == 0 and i + 1 < len(t1):
+            heapq.heappush(heap, (-(t1[i + 1] + t2[0]), i + 1, 0))
     return -np.inf
 
 
+class Best:
+    """The k best entries so far of a part's queries; entries pass by in any order, and ties go to the smaller id."""
+
+    def __init__(self, f: pd.DataFrame, k: int) -> None:
+        self.k, self.own, self.ask, self.least = k, f["vec_id"].to_numpy(), f["ask"].to_numpy(), f["least"].to_numpy()
+        self.q = np.stack(f["v"])
+        self.norm = np.sqrt((self.q**2).sum(axis=1))
+        self.score, self.id = np.full((len(f), k), -np.inf), np.full((len(f), k), np.iinfo(np.int64).max)
+
+    def see(self, x: np.ndarray, ids: np.ndarray, e1: np.ndarray, e2: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> None:
+        half = c1.shape[1]
+        error = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((x**2).sum(axis=1).max())
+        here = np.unique(e1)
+        for at in range(0, len(self.q), TILE):
+            rows = np.arange(at, min(at + TILE, len(self.q)))
+            s1, s2 = self.q[rows, :half] @ c1.T, self.q[rows, half:] @ c2.T
+            live = s1[:, here].max(axis=1) + s2.max(axis=1) >= self.least[rows]
+            if not live.any():
+                continue
+            rows, s1, s2 = rows[live], s1[live], s2[live]
+            s = self.q[rows] @ x.T
+            s[(s1[:, e1] + s2[:, e2] < self.least[rows, None]) | (self.own[rows, None] == ids)] = -np.inf
+            slack = error * self.norm[rows]
+            bar = self.score[rows, -1] - slack
+            if len(ids) > self.k:
+                bar = np.maximum(bar, np.partition(s, len(ids) - self.k, axis=1)[:, len(ids) - self.k] - 2 * slack)
+            i, j = np.nonzero((s >= bar[:, None]) & (s > -np.inf))
+            if len(i):
+                # Summed row by row in one order, so equal vectors tie exactly.
+                exact = np.concatenate([(self.q[rows[i[n : n + CHUNK]]] * x[j[n : n + CHUNK]]).sum(axis=1) for n in range(0, len(i), CHUNK)])
+                self._merge(rows, i, exact, ids[j])
+
+    def _merge(self, rows: np.ndarray, i: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        i = np.concatenate([np.repeat(np.arange(len(rows)), self.k), i])
+        score, ids = np.concatenate([self.score[rows].ravel(), score]), np.concatenate([self.id[rows].ravel(), ids])
+        order = np.lexsort((ids, -score, i))
+        i, score, ids = i[order], score[order], ids[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        best = place < self.k
+        self.score[rows[i[best]], place[best]], self.id[rows[i[best]], place[best]] = score[best], ids[best]
+
+    def found(self) -> pd.DataFrame:
+        i, j = np.nonzero(self.score > -np.inf)
+        return pd.DataFrame({"query_id": self.own[i], "ask": self.ask[i], "vec_id": self.id[i, j], "score": self.score[i, j]})
+
+
 def fit(sample: np.ndarray, rows: int, k: int) -> dict:
     """Codebooks, and the share of entries to see, from a sample of the vectors."""
     half = (sample.shape[1] + 1) // 2
@@ -107,9 +158,16 @@ def fit(sample: np.ndarray, rows: int, k: int) -> dict:
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by inner product of every row for which is_query holds."""
+    best = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
+    ranked = candidates(vectors, is_query, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def candidates(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
+    """query_id, ask (a number of the query's vector), vec_id, score: the k best in each stretch of entries that a query sees."""
     base = valid(vectors)
     lengths = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, ask long, vec_id long, score double"
     if lengths is None:
         return base.sparkSession.createDataFrame([], schema)
     base = base.where(F.size("v") == lengths["n"])
@@ -128,20 +186,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     for r in entries.groupBy("c1", "c2").count().collect():
         held[r["c1"], r["c2"]] = r["count"]
     enough = model["share"] * held.sum()
-    # Blocks: neighbouring first centroids together up to so many entries; one that holds more is cut up by a hash of the row.
-    rows = int(min(BLOCK, max(1024, held.sum() // 64)))
-    first, start, parts, filled = held.sum(axis=1), {}, {}, rows
-    block = -1
-    for i, n in enumerate(first.tolist()):
-        if filled + n > rows:
-            block, filled = block + 1, 0
-        start[i], parts[i] = block, max(1, -(-n // rows))
-        filled += n
-        block += parts[i] - 1
-    where = np.array([[start[i], parts[i]] for i in range(len(c1))])
+    # Stretches: as the entries lie by first centroid, cut into SPLITS of like size; a centroid on a cut is dealt by a hash of the row.
+    last = held.sum(axis=1).cumsum()
+    start = np.minimum((last - held.sum(axis=1)) * SPLITS // last[-1], SPLITS - 1)
+    where = np.stack([start, np.maximum((last - 1) * SPLITS // last[-1], start) - start + 1], axis=1)
 
     def aim(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each query with its least score, once for every block that has a cell it sees."""
+        """Each query with its least score, once for every stretch that has a cell it sees."""
         for f in frames:
             out = []
             for q, a, v in zip(f["vec_id"], f["ask"], f["v"], strict=True):
@@ -149,50 +200,56 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                 s1, s2 = c1 @ v[:half], c2 @ v[half:]
                 least = walk(s1, s2, held, enough) - 1e-9
                 best2 = np.where(held > 0, s2, -np.inf).max(axis=1)
-                blocks = {b for i in np.flatnonzero(s1 + best2 >= least) for b in range(where[i, 0], where[i, 0] + where[i, 1])}
-                out += [(q, a, v, least, b) for b in sorted(blocks)]
+                splits = {b for i in np.flatnonzero(s1 + best2 >= least) for b in range(where[i, 0], where[i, 0] + where[i, 1])}
+                out += [(q, a, v, least, b) for b in sorted(splits)]
             if out:
-                yield pd.DataFrame(out, columns=["query_id", "ask", "q", "least", "block"])
+                yield pd.DataFrame(out, columns=["vec_id", "ask", "v", "least", "split"])
 
     # Repeated rows of a query ask once; rows of one id with different vectors are numbered and ranked one by one.
     asked = entries.where(is_query).select("vec_id", "v").distinct()
     queries = asked.select("vec_id", "v", F.xxhash64("vec_id", "v").alias("ask")).repartition(entries.sparkSession.sparkContext.defaultParallelism * 2, "vec_id")
-    aimed = materialize(queries.mapInPandas(aim, "query_id long, ask long, q array<double>, least double, block int"), "ann-aimed")
-    parts_of = materialize(aimed.groupBy("block").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts")), "ann-parts")
-    own = parts_of.toDF("_b", "_n")
-    aimed = aimed.join(own, F.col("block") == F.col("_b")).withColumn("part", F.pmod(F.xxhash64("query_id", "ask"), "_n").cast("int")).drop("_b", "_n")
-    at = lambda column: F.element_at(F.array(*[F.lit(int(x)) for x in where[:, column]]), F.col("c1") + 1)
-    placed = entries.withColumn("block", at(0) + F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), at(1)).cast("int"))
-    spread = placed.join(parts_of, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-    def score(e: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        if not len(e) or not len(f):
-            return pd.DataFrame({"query_id": [], "ask": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "ask": "int64", "vec_id": "int64", "score": "float64"})
-        e = e.sort_values("vec_id", kind="stable")
-        x, ids, e1, e2 = np.stack(e["v"]), e["vec_id"].to_numpy(), e["c1"].to_numpy(), e["c2"].to_numpy()
-        out_q, out_a, out_v, out_s = [], [], [], []
-        for at in range(0, len(f), 256):
-            g = f.iloc[at : at + 256]
-            q, own, ask = np.stack(g["q"]), g["query_id"].to_numpy(), g["ask"].to_numpy()
-            # einsum adds up each pair in the same order whatever the block, so equal vectors tie exactly.
-            s = np.einsum("ij,kj->ik", q, x, optimize=False)
-            cell = (q[:, :half] @ c1.T)[:, e1] + (q[:, half:] @ c2.T)[:, e2]
-            s[(cell < g["least"].to_numpy()[:, None]) | (own[:, None] == ids)] = -np.inf
-            for i in range(len(q)):
-                row = s[i]
-                cut = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                found = np.flatnonzero((row >= cut) & (row > -np.inf))
-                found = found[np.argsort(-row[found], kind="stable")][:k]
-                out_q.append(np.full(len(found), own[i]))
-                out_a.append(np.full(len(found), ask[i]))
-                out_v.append(ids[found])
-                out_s.append(row[found])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "ask": np.concatenate(out_a), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
-
-    scored = spread.groupBy("block", "part").cogroup(aimed.groupBy("block", "part")).applyInPandas(score, "query_id long, ask long, vec_id long, score double")
-    best = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    aimed = materialize(queries.mapInPandas(aim, "vec_id long, ask long, v array<double>, least double, split int"), "ann-aimed")
+    size = max(1, PART_VALUES // (lengths["n"] + 2 * k))
+    parts = [0] * SPLITS
+    for r in aimed.groupBy("split").count().collect():
+        parts[r["split"]] = -(-r["count"] // size)
+    if not any(parts):
+        return base.sparkSession.createDataFrame([], schema)
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(int(x)) for x in values]), n + 1)
+    order = ["split", "part", "c1", "vec_id"]  # queries, which have no cell, come before the entries
+    asks = aimed.withColumn("part", F.pmod(F.xxhash64("vec_id", "ask"), pick(parts, F.col("split"))).cast("int"))
+    asks = asks.select("split", "part", F.lit(-1).alias("c1"), F.lit(-1).alias("c2"), "vec_id", "v", "ask", "least")
+    placed = entries.withColumn("split", pick(where[:, 0], F.col("c1")) + F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), pick(where[:, 1], F.col("c1"))).cast("int"))
+    placed = placed.withColumn("_n", pick(parts, F.col("split"))).where("_n > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    placed = placed.select("split", "part", "c1", "c2", "vec_id", "v", F.lit(0).cast("long").alias("ask"), F.lit(0.0).alias("least"))
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, asked, best = None, [], None
+        for f in frames:
+            at = f[["split", "part"]].to_numpy()
+            kind = f["c1"].to_numpy() < 0
+            cuts = np.flatnonzero((at[1:] != at[:-1]).any(axis=1) | (kind[1:] != kind[:-1])) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(f)], strict=True):
+                if s == e:
+                    continue
+                g = f.iloc[s:e]
+                if tuple(at[s]) != key:
+                    if best is not None:
+                        yield best.found()
+                    key, asked, best = tuple(at[s]), [], None
+                if kind[s]:
+                    asked.append(g)
+                    continue
+                if best is None and asked:
+                    best, asked = Best(pd.concat(asked), k), []
+                for n in range(0, len(g) if best is not None else 0, CHUNK):
+                    h = g.iloc[n : n + CHUNK]
+                    best.see(np.stack(h["v"]), h["vec_id"].to_numpy(), h["c1"].to_numpy(), h["c2"].to_numpy(), c1, c2)
+        if best is not None:
+            yield best.found()
+
+    dealt = asks.union(placed).repartition(4 * sum(parts), "split", "part").sortWithinPartitions(*order)
+    return dealt.mapInPandas(score, schema)
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
