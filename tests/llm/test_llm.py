@@ -478,6 +478,40 @@ def test_substring_tries_every_chain_of_a_pair_in_both_rounds(spark, monkeypatch
         assert sum(len(f) for f in work(iter([matches]))) == 7
 
 
+def test_many_chains_of_a_pair_are_aligned_together():
+    import time
+
+    rng = np.random.default_rng(22)
+    rows, want = [], set()
+    for doc in range(2, 602):  # 600 pairs of 20 straight chains and a bent one each
+        a, b = (rng.integers(0, 9 if doc % 2 else 1 << 30, 1280).astype(np.uint32) for _ in range(2))
+        chains = []
+        for n in range(20):
+            p, r, size = 30 + 60 * n, 20 + 60 * ((7 * n) % 20), int(rng.integers(20, 55))
+            b[r : r + size] = a[p : p + size]
+            b[r + 14] = 77
+            chains.append(np.array([[p + 1, r + 1], [p + 15, r + 15]]))
+        b[41 + 6 : 41 + 20] = a[50 + 6 - 20 : 50 + 20 - 20]
+        chains.append(np.array([[30, 20], [50 - 14, 41 + 6]]))
+        rows += [(doc, 1, -1, n, c.astype(np.int32).tobytes()) for n, c in enumerate(chains)]
+        rows += [(doc, 1, side, n, x[n * 128 : n * 128 + 128].tobytes()) for side, x in ((0, a), (1, b)) for n in range(10)]
+        kept = []
+        for c in chains:
+            low = np.maximum(c[0] - substring_dedup.FLANK, 0) // 128 * 128
+            high = ((c[-1] + 6 + substring_dedup.FLANK) // 128 + 1) * 128
+            a0, a1, b0, b1, equal = substring_dedup.align(a[low[0] : high[0]], b[low[1] : high[1]], c - low)
+            span = (a0 + low[0], a1 + low[0], b0 + low[1], b1 + low[1])
+            if equal >= 40 and equal / max(a1 - a0, b1 - b0) >= 0.8 and not any(x[0] <= span[0] and span[1] <= x[1] and x[2] <= span[2] and span[3] <= x[3] for x in kept):
+                kept.append(span)
+                want.add((doc, *map(int, span), int(equal)))
+    frames = pd.DataFrame(rows, columns=["doc", "rep", "side", "place", "bytes"])
+    began = time.process_time()
+    got = pd.concat(substring_dedup._align_all(6, 40, 0.8)(iter([frames[:5_000], frames[5_000:]])))
+    took = time.process_time() - began
+    assert {tuple(map(int, r)) for r in got[["doc", "start", "end", "rstart", "rend", "equal"]].to_numpy()} == want and len(got) == len(want) > 3_000
+    assert took < 6  # a frame for each chain took a thousandth of a second and more
+
+
 def test_substring_of_null_repeated_ids_and_clashing_names(spark):
     rng = random.Random(12)
     shared = words(rng, 60)
@@ -498,6 +532,16 @@ def test_seeds_share_within_equal_stretches():
     assert a & b
 
 
+def test_seeds_of_many_texts_equal_those_of_each():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abc") for _ in range(n)).encode() for n in [*range(40), 300, 0, 5, 2_000]] + [b"", b" \n ", b"x"]
+    rng.shuffle(texts)
+    for some in (texts, texts[:1], [b""], []):
+        for text, (h, at) in zip(some, substring_dedup.all_seeds(some), strict=True):
+            want = substring_dedup.seeds(word_hashes(text))
+            assert h.tolist() == want[0].tolist() and at.tolist() == want[1].tolist()
+
+
 # 9: nearest neighbours
 
 

@@ -140,20 +140,32 @@ def _powers(n: int) -> np.ndarray:
 
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit fingerprint of each white-space separated word of UTF-8 bytes, in order; vectorised over the bytes."""
+    return _word_hashes(data)[0]
+
+
+def word_hashes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of the words of many texts, one after the other, and how many each has."""
+    h, starts = _word_hashes(b"\n".join(texts))
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    return h, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of words, and the bytes where they begin."""
     b = np.frombuffer(data, dtype=np.uint8)
     if not len(b):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     inside = ~_IS_SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), starts
     spots = np.flatnonzero(inside)
     lengths = ends - starts
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     offset = np.arange(len(spots)) - np.repeat(first, lengths)
     coded = mix64(b[spots].astype(np.uint64) * _MIX + np.uint64(1)) * _powers(int(lengths.max()))[offset]
-    return mix64(np.add.reduceat(coded, first) + lengths.astype(np.uint64) * _MIX)
+    return mix64(np.add.reduceat(coded, first) + lengths.astype(np.uint64) * _MIX), starts
 
 
 def lower_ascii(text: str) -> bytes:

@@ -23,6 +23,7 @@ later end; other columns are ignored, whatever their names; an empty table gives
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, mix64, release, table, window_hashes, word_hashes
+from .common import lower_ascii, materialize, mix64, release, table, window_hashes, word_hashes, word_hashes_of
 
 K = 6
 WINDOW = 10
@@ -59,53 +60,85 @@ def seeds(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarr
     return h[at], at
 
 
+def all_seeds(texts: list[bytes], k: int = K, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
+    """seeds() of many texts, with their words fingerprinted together."""
+    words, counts = word_hashes_of(texts)
+    ends = np.cumsum(counts)
+    of = np.repeat(np.arange(len(texts)), counts)
+    h = window_hashes(words, k)
+    fine = of[k - 1 :] == of[: len(h)] if len(h) else np.empty(0, bool)  # not across two texts
+    h, of, place = h[fine], of[: len(fine)][fine], (np.arange(len(fine)) - np.repeat(ends - counts, counts)[: len(fine)])[fine]
+    if not len(h):
+        return [(h, place)] * len(texts)
+    # The first least one of each window, by doubling the windows; shorter texts are one window.
+    step, at = 1, np.arange(len(h))
+    while step < window:
+        on = min(step, window - step)
+        if len(at) <= on:
+            at = at[:0]
+            break
+        left, right = at[:-on], at[on:]
+        at, step = np.where(h[right] < h[left], right, left), step + on
+    at = at[of[: len(at)] == of[window - 1 :][: len(at)]]
+    sizes = np.bincount(of, minlength=len(texts))
+    first = np.cumsum(sizes) - sizes
+    short = [int(s + h[s : s + n].argmin()) for s, n in zip(first.tolist(), sizes.tolist(), strict=True) if 0 < n < window]
+    at = np.unique(np.concatenate([at, np.array(short, np.int64)]))
+    cuts = np.searchsorted(of[at], np.arange(len(texts) + 1)).tolist()
+    return [(h[at[s:e]], place[at[s:e]]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def chains(pos: np.ndarray, rpos: np.ndarray, k: int = K, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[np.ndarray]:
     """Rows of each chain of matches (sorted by pos), best first; every match is in one chain at most."""
     n = len(pos)
     diagonal = rpos - pos
     if n > 1 and (diagonal == diagonal[0]).all() and (np.diff(pos) <= max_gap).all():
         return [np.arange(n)]
-    ranks = np.unique(rpos, return_inverse=True)[1] + 1
-    size = int(ranks.max())
+    ranks = (np.unique(rpos, return_inverse=True)[1] + 1).tolist()
+    size = max(ranks)
     best: list[tuple[float, int]] = [(-np.inf, -1)] * (size + 1)
-    total, before = np.zeros(n), np.full(n, -1)
+    total, before = [0.0] * n, [-1] * n
+    ends = np.zeros(n)  # totals with the cost of all words before, as the tree compares them
+    x, y = pos.tolist(), rpos.tolist()
     at = 0
     while at < n:
         end = at
-        while end < n and pos[end] == pos[at]:
+        while end < n and x[end] == x[at]:
             end += 1
         for j in range(at, end):  # those at one place are asked before any of them is entered
-            r, found = int(ranks[j]) - 1, (-np.inf, -1)
+            r, found = ranks[j] - 1, (-np.inf, -1)
             while r > 0:
-                found = max(found, best[r])
+                if best[r] > found:
+                    found = best[r]
                 r -= r & -r
             i = found[1]
-            if i >= 0 and (pos[j] - pos[i] > max_gap or rpos[j] - rpos[i] > max_gap):  # the best of all is too far: the best near one
-                first = int(np.searchsorted(pos[:at], pos[j] - max_gap))
-                near = first + np.flatnonzero((rpos[first:at] < rpos[j]) & (rpos[first:at] >= rpos[j] - max_gap))
+            if i >= 0 and (x[j] - x[i] > max_gap or y[j] - y[i] > max_gap):  # the best of all is too far: the best near one
+                first = bisect_left(x, x[j] - max_gap, 0, at)
+                near = first + np.flatnonzero((rpos[first:at] < y[j]) & (rpos[first:at] >= y[j] - max_gap))
                 i = -1
                 if len(near):
-                    ends = total[near] + gap_cost * (pos[near] + rpos[near])
-                    i = int(near[len(near) - 1 - ends[::-1].argmax()])
-                    found = (float(ends.max()), i)
-            total[j] = k
+                    i = int(near[len(near) - 1 - ends[near][::-1].argmax()])
+                    found = (float(ends[i]), i)
+            total[j] = float(k)
             if i >= 0:
-                joined = found[0] - gap_cost * (pos[j] + rpos[j]) + min(k, pos[j] - pos[i], rpos[j] - rpos[i])
+                joined = found[0] - gap_cost * (x[j] + y[j]) + min(k, x[j] - x[i], y[j] - y[i])
                 if joined > k:
                     total[j], before[j] = joined, i
         for j in range(at, end):
-            r, value = int(ranks[j]), (float(total[j] + gap_cost * (pos[j] + rpos[j])), j)
+            ends[j] = total[j] + gap_cost * (x[j] + y[j])
+            r, value = ranks[j], (float(ends[j]), j)
             while r <= size:
-                best[r] = max(best[r], value)
+                if value > best[r]:
+                    best[r] = value
                 r += r & -r
         at = end
-    out, used = [], np.zeros(n, dtype=bool)
-    for j in np.lexsort((-np.arange(n), -total)).tolist():
+    out, used = [], [False] * n
+    for j in np.lexsort((-np.arange(n), -np.array(total))).tolist():
         chain = []
         while j >= 0 and not used[j]:
             used[j] = True
             chain.append(j)
-            j = int(before[j])
+            j = before[j]
         if chain:
             out.append(np.array(chain[::-1]))
     return out
@@ -144,7 +177,7 @@ def align(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, k: int = K) -> tuple[
     back, same = _grow(a[:i][::-1], b[:j][::-1])
     start, rstart, equal = i - back, j - back, equal + same
     end, rend = i, j
-    for p, r in pairs:
+    for p, r in pairs.tolist():
         if p >= end and r >= rend:
             equal += _matched(a[end:p], b[rend:r])
             equal += int((a[p : p + k] == b[r : r + k]).sum())
@@ -156,6 +189,79 @@ def align(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, k: int = K) -> tuple[
     return start, end + on, rstart, rend + on, equal + same
 
 
+def _grow_all(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """_grow for many places of a and b at once: from i and j on, n words at most, onwards (step 1) or back (-1)."""
+    if not len(n) or not n.max():
+        return np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    t = np.arange(int(n.max()))
+    held = t < n[:, None]
+    same = held & (a[np.where(held, i[:, None] + step * t, 0)] == b[np.where(held, j[:, None] + step * t, 0)])
+    score = np.cumsum(np.where(same, 1, -2), axis=1, dtype=np.int32)
+    fallen = ~held | (score < np.maximum.accumulate(np.maximum(score, 0), axis=1) - 10)
+    score[np.logical_or.accumulate(fallen, axis=1)] = -1
+    end = score.argmax(axis=1)
+    most = score[np.arange(len(n)), end]
+    end = np.where(most > 0, end + 1, 0)
+    return end, np.where(most > 0, (most + 2 * end) // 3, 0)
+
+
+def _align_many(a: np.ndarray, b: np.ndarray, spans: np.ndarray, pairs: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """align for many chains. spans: first and end of each chain's words in a and in b; pairs: the matches of all chains in a and
+    b, each chain's from starts on."""
+    (i, j), counts = pairs[starts].T, np.diff(starts, append=len(pairs))
+    turn = pairs[:, 1] - pairs[:, 0]
+    straight = np.logical_and.reduceat(turn == np.repeat(turn[starts], counts), starts)
+    end, rend, equal = (np.empty(len(starts), np.int64) for _ in range(3))
+    if straight.any():
+        held, n = pairs[np.repeat(straight, counts)], counts[straight]
+        last = np.cumsum(n) - 1
+        end[straight], rend[straight] = held[last].T + k
+        equal[straight] = _straight(a, b, held, last - n + 1, k)
+    alike = (a[pairs[:, :1] + np.arange(k)] == b[pairs[:, 1:] + np.arange(k)]).all(axis=1).tolist()
+    both = pairs.tolist()
+    for c in np.flatnonzero(~straight).tolist():
+        x, y = both[starts[c]]
+        total = 0
+        for m in range(starts[c], starts[c] + counts[c]):
+            p, r = both[m]
+            if p >= x and r >= y:
+                if p > x and r > y:
+                    total += _matched(a[x:p], b[y:r])
+                x, y = p, r
+            elif p + k <= x or p - x != r - y:
+                continue
+            total += p + k - x if alike[m] else int((a[x : p + k] == b[y : r + k]).sum())
+            x, y = p + k, r + k
+        end[c], rend[c], equal[c] = x, y, total
+    back, same = _grow_all(a, b, i - 1, j - 1, np.minimum(i - spans[:, 0], j - spans[:, 2]), -1)
+    on, more = _grow_all(a, b, end, rend, np.minimum(spans[:, 1] - end, spans[:, 3] - rend), 1)
+    return np.stack([i - back, end + on, j - back, rend + on, equal + same + more], axis=1)
+
+
+def _straight(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Equal words from the first match to the last, for chains of one diagonal each."""
+    last = np.append(starts[1:], len(pairs)) - 1
+    (i, j), end = pairs[starts].T, pairs[last, 0] + k
+    length = end - i
+    base = np.cumsum(length) - length
+    at = np.arange(int(length.sum())) - np.repeat(base - i, length)
+    sums = np.concatenate([[0], np.cumsum(a[at] == b[at + np.repeat(j - i, length)])])
+    equal = sums[base + length] - sums[base]
+    # Stretches between matches that fit badly on the diagonal may hold more equal words across a shift.
+    chain = np.repeat(np.arange(len(starts)), last - starts + 1)
+    inner = np.flatnonzero(chain[1:] == chain[:-1])
+    low, high = pairs[inner, 0] + k, pairs[inner + 1, 0]
+    move = base[chain[inner]] - i[chain[inner]]
+    gap = high > low
+    inner, low, high, move = inner[gap], low[gap], high[gap], move[gap]
+    held = sums[high + move] - sums[low + move]
+    for x in np.flatnonzero(2 * held < high - low).tolist():
+        c = chain[inner[x]]
+        shift = int(j[c] - i[c])
+        equal[c] += _matched(a[low[x] : high[x]], b[low[x] + shift : high[x] + shift]) - held[x]
+    return equal
+
+
 def _streamed(key: list[str], work):
     """A function over sorted frames that hands each run of equal keys to work as one frame, across batch borders."""
 
@@ -253,8 +359,14 @@ def _name_runs(k: int, min_words: int, max_gap: int = MAX_GAP):
     return _streamed(["doc"], work)
 
 
+def _blocks(first, last, k: int):
+    """The first and last word block that the span and flanks of each chain touch."""
+    return np.maximum(first - FLANK, 0) // BLOCK, (last + k + FLANK) // BLOCK
+
+
 def _chain_all(k: int):
-    """Chains of sorted matches (doc, rep, pos, rpos): their matches as two arrays, a pair's best first."""
+    """Chains of sorted matches (doc, rep, pos, rpos): their matches as packed pairs, a pair's best first; the first of a pair has
+    the word blocks of all its chains on either side."""
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -266,41 +378,78 @@ def _chain_all(k: int):
         for s, e in _runs(f, ["doc", "rep"]):
             if e - s < 2:
                 continue
+            own, touched = [], (set(), set())
             for n, chain in enumerate(chains(pos[s:e], rpos[s:e], k)):
                 if len(chain) > 1:
-                    rows.append((doc[s], rep[s], n, pos[s:e][chain], rpos[s:e][chain]))
-        return pd.DataFrame(rows, columns=["doc", "rep", "n", "at", "rat"])
+                    both = np.stack([pos[s:e][chain], rpos[s:e][chain]], axis=1).astype(np.int32)
+                    for held, first, last in zip(touched, both[0].tolist(), both[-1].tolist(), strict=True):
+                        held.update(range(max(first - FLANK, 0) // BLOCK, (last + k + FLANK) // BLOCK + 1))
+                    own.append([doc[s], rep[s], n, both.tobytes(), None, None])
+            if own:
+                own[0][4:] = sorted(touched[0]), sorted(touched[1])
+                rows += own
+        return pd.DataFrame(rows, columns=["doc", "rep", "n", "pairs", "blocks", "rblocks"])
 
     return _streamed(["doc", "rep"], work)
 
 
 def _align_all(k: int, min_words: int, identity: float):
-    """Passages from the sorted word blocks of chains (two sides each)."""
+    """Passages from sorted pairs of documents: rows of their chains (side -1, bytes: the matches), then of their word blocks."""
+
+    def some(f: pd.DataFrame) -> pd.DataFrame:
+        f = f[~f.duplicated(["doc", "rep", "side", "place"])]  # repeated rows of a document may give its blocks twice
+        side, place, data = f["side"].to_numpy(), f["place"].to_numpy(np.int64), f["bytes"].to_numpy()
+        doc, rep = f["doc"].to_numpy(), f["rep"].to_numpy()
+        pair = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (rep[1:] != rep[:-1]))])
+        chain = np.flatnonzero(side < 0)
+        pairs = np.frombuffer(b"".join(data[chain]), np.int32).reshape(-1, 2).astype(np.int64)
+        counts = np.fromiter(map(len, data[chain]), np.int64, len(chain)) // 8
+        starts = np.cumsum(counts) - counts
+        texts, spans, from_ = [], [], []
+        for x in (0, 1):
+            own = np.flatnonzero(side == x)
+            texts.append(np.frombuffer(b"".join(data[own]), np.uint32))
+            offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, data[own]), np.int64, len(own)) // 4)])
+            low, high = _blocks(pairs[starts, x], pairs[starts + counts - 1, x], k)
+            code = pair[own] << 32 | place[own]
+            spans += [offsets[np.searchsorted(code, pair[chain] << 32 | b)] for b in (low, high + 1)]
+            from_.append(low * BLOCK)
+        spans, from_ = np.stack(spans, axis=1), np.stack(from_, axis=1)
+        move = spans[:, [0, 2]] - from_  # from places in a text to places in what is held of all
+        pairs += np.repeat(move, counts, axis=0)
+        found = np.zeros((len(chain), 5), np.int64)
+        whole = (spans[:, 0] < spans[:, 1]) & (spans[:, 2] < spans[:, 3])
+        wholes = np.flatnonzero(whole)
+        for c in (wholes[n : n + 4_000] for n in range(0, len(wholes), 4_000)):
+            n = counts[c]
+            first = np.cumsum(n) - n
+            found[c] = _align_many(*texts, spans[c], pairs[np.repeat(starts[c] - first, n) + np.arange(n.sum())], first, k)
+        found[:, :4] -= np.repeat(move, 2, axis=1)
+        share = found[:, 4] / np.maximum(np.maximum(found[:, 1] - found[:, 0], found[:, 3] - found[:, 2]), 1)
+        fine = np.flatnonzero((found[:, 4] >= min_words) & (share >= identity))
+        chain, found, share = chain[fine], found[fine], share[fine]
+        # Better chains of a pair come first; what lies inside one of them is left out.
+        kept = np.ones(len(chain), dtype=bool)
+        cuts = np.flatnonzero(np.diff(pair[chain], prepend=-1, append=-1)).tolist() if len(chain) else []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            for at in range(s, e if e - s > 1 else s, 256):
+                g, h = found[at : min(at + 256, e)], found[s : min(at + 256, e)]
+                inside = (h[:, 0] <= g[:, None, 0]) & (g[:, None, 1] <= h[:, 1]) & (h[:, 2] <= g[:, None, 2]) & (g[:, None, 3] <= h[:, 3])
+                inside &= np.arange(len(h)) < np.arange(at - s, at - s + len(g))[:, None]
+                kept[at : at + len(g)] = ~inside.any(axis=1)
+        chain, found, share = chain[kept], found[kept], share[kept]
+        columns = dict(zip(["start", "end", "rstart", "rend", "equal"], found.T, strict=True))
+        return pd.DataFrame({"doc": doc[chain], "rep": rep[chain], **columns, "identity": share})
 
-    def work(f: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        kept: list[tuple] = []
-        for s, e in _runs(f, ["doc", "rep", "n"]):
-            g = f.iloc[s:e].drop_duplicates(["side", "block"])
-            first = g.iloc[0]
-            texts, from_ = [], []
-            for side in (0, 1):
-                own = g[g["side"] == side]
-                texts.append(np.frombuffer(b"".join(own["words"]), np.uint32))
-                from_.append(int(own["block"].iloc[0]) * BLOCK if len(own) else 0)
-            at, rat = np.asarray(first["at"]) - from_[0], np.asarray(first["rat"]) - from_[1]
-            if not len(texts[0]) or not len(texts[1]):
-                continue
-            a0, a1, b0, b1, equal = align(texts[0], texts[1], np.stack([at, rat], axis=1), k)
-            share = equal / max(a1 - a0, b1 - b0, 1)
-            span = (a0 + from_[0], a1 + from_[0], b0 + from_[1], b1 + from_[1])
-            if kept and kept[0][:2] != (first["doc"], first["rep"]):
-                kept = []
-            inside = any(x[2] <= span[0] and span[1] <= x[3] and x[4] <= span[2] and span[3] <= x[5] for x in kept)
-            if equal >= min_words and share >= identity and not inside:  # better chains of the pair come first
-                kept.append((first["doc"], first["rep"], *span))
-                rows.append((*kept[-1], equal, float(share)))
-        return pd.DataFrame(rows, columns=["doc", "rep", "start", "end", "rstart", "rend", "equal", "identity"])
+    def work(f: pd.DataFrame) -> pd.DataFrame | None:
+        """Whole pairs, some thousand rows at once."""
+        ends = [e for _, e in _runs(f, ["doc", "rep"])]
+        out, s = [], 0
+        for e, after in zip(ends, [*ends[1:], None], strict=True):
+            if after is None or after - s > 4_000:
+                out.append(some(f.iloc[s:e]))
+                s = e
+        return pd.concat(out)
 
     return _streamed(["doc", "rep"], work)
 
@@ -309,16 +458,14 @@ def _aligned(docs: DataFrame, matches: DataFrame, k: int, min_words: int, identi
     """The passages around the chains of matches (doc, rep, pos, rpos) of docs (doc, text)."""
     order = ["doc", "rep", "pos", "rpos"]
     linked = matches.select(*order).repartition("doc").sortWithinPartitions(*order)
-    chained = linked.mapInPandas(_chain_all(k), "doc long, rep long, n int, at array<int>, rat array<int>")
+    chained = linked.mapInPandas(_chain_all(k), "doc long, rep long, n int, pairs binary, blocks array<int>, rblocks array<int>")
     found = materialize(chained, f"{name}-chains")
 
-    def need(side: int, owner: str, a: str) -> DataFrame:
-        """The word blocks that the chains' spans and flanks touch."""
-        first = F.floor(F.greatest(F.element_at(a, 1) - FLANK, F.lit(0)) / BLOCK).cast("int")
-        last = F.floor((F.element_at(a, -1) + k + FLANK) / BLOCK).cast("int")
-        return found.select("doc", "rep", "n", F.lit(side).alias("side"), F.col(owner).alias("owner"), F.explode(F.sequence(first, last)).alias("block"))
+    def need(side: int, owner: str, blocks: str) -> DataFrame:
+        """The word blocks that the spans and flanks of a pair's chains touch, each once."""
+        return found.where("blocks IS NOT NULL").select("doc", "rep", F.lit(side).alias("side"), F.col(owner).alias("owner"), F.explode(blocks).alias("block"))
 
-    needs = need(0, "doc", "at").union(need(1, "rep", "rat"))
+    needs = need(0, "doc", "blocks").union(need(1, "rep", "rblocks"))
     wanted = needs.groupBy("owner").agg(F.collect_set("block").alias("blocks"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,9 +483,9 @@ def _aligned(docs: DataFrame, matches: DataFrame, k: int, min_words: int, identi
 
     texts = docs.join(wanted.hint("merge"), docs["doc"] == wanted["owner"]).select("doc", "text", "blocks")
     pieces = texts.mapInPandas(cut, "owner long, block int, words binary")
-    joined = needs.join(pieces, ["owner", "block"]).join(found, ["doc", "rep", "n"])
-    columns = ["doc", "rep", "n", "side", "block", "words", "at", "rat"]
-    ready = joined.select(*columns).repartition("doc", "rep").sortWithinPartitions(*columns[:5])
+    words = needs.join(pieces, ["owner", "block"]).select("doc", "rep", "side", F.col("block").alias("place"), F.col("words").alias("bytes"))
+    whole = found.select("doc", "rep", F.lit(-1).alias("side"), F.col("n").alias("place"), F.col("pairs").alias("bytes")).union(words)
+    ready = whole.repartition("doc", "rep").sortWithinPartitions("doc", "rep", "side", "place")
     out = ready.mapInPandas(_align_all(k, min_words, identity), "doc long, rep long, start int, end int, rstart int, rend int, equal int, identity double")
     out = materialize(out, f"{name}-passages")
     release(found)
@@ -350,10 +497,13 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
 
     def seed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            parts = [(d, *seeds(word_hashes(lower_ascii(t)), k, window)) for d, t in zip(f["doc"], f["text"], strict=True)]
-            sizes = [len(p[1]) for p in parts]
-            if sum(sizes):
-                yield pd.DataFrame({"seed": np.concatenate([p[1] for p in parts]).view(np.int64), "doc": np.repeat(f["doc"].to_numpy(), sizes), "pos": np.concatenate([p[2] for p in parts]).astype(np.int32)})
+            doc, texts = f["doc"].to_numpy(), [lower_ascii(t) for t in f["text"]]
+            size = np.cumsum([len(t) + 1 for t in texts]) >> 20
+            for s, e in zip(cuts := np.searchsorted(size, np.unique(size)), [*cuts[1:], len(texts)], strict=True):  # a megabyte at once
+                parts = all_seeds(texts[s:e], k, window)
+                sizes = [len(p[1]) for p in parts]
+                if sum(sizes):
+                    yield pd.DataFrame({"seed": np.concatenate([p[0] for p in parts]).view(np.int64), "doc": np.repeat(doc[s:e], sizes), "pos": np.concatenate([p[1] for p in parts]).astype(np.int32)})
 
     docs = docs.where(F.col("text").isNotNull())
     found = materialize(docs.mapInPandas(seed, "seed long, doc long, pos int"), "substring-seeds")
