@@ -371,6 +371,38 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(31)) and got[101] == 100 and 200 not in got
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_linked_sets_share_a_signature(percent):
+    rng = np.random.default_rng(percent)
+    apart = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        gone = int(rng.integers(0, int((100 - percent) * n / 100) + 1))
+        added = int(max(0, (n - gone) * 100 // percent - n)) if rng.random() < 0.7 else 0  # links at the very bound
+        b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, added).astype(np.uint64)]))
+        if len(b) and 100 * (n - gone) >= percent * (n + added):
+            for x, y in ((a, b), (b, a)):
+                assert set(ngram_join.signatures(x, percent).tolist()) & set(ngram_join.signatures(y, percent).tolist())
+        apart += not set(ngram_join.signatures(a, percent).tolist()) & set(ngram_join.signatures(a ^ np.uint64(1 << 62), percent).tolist())
+    assert percent < 90 or apart > 300
+
+
+def test_large_components_are_taken_apart(spark):
+    # A hundred texts that share a stock phrase, too large for a task together; of each, a copy with a word changed at its end.
+    rng = random.Random(31)
+    stock = words(rng, 60)
+    texts = [f"{stock} {words(rng, 240)}" for _ in range(100)]
+    texts += [f"{t} more" for t in texts]
+    sets = [ngram_join.shingle_set(t, 3) for t in texts]
+    rows = [(1, n, len(s), s.tobytes()) for n, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "coarse long, node long, n long, bytes binary")
+    got = ngram_join._parted(df, 90, 20_000).groupBy("coarse").agg(F.collect_set("node").alias("v"), F.sum("n").alias("n")).collect()
+    held = {x: frozenset(r.v) for r in got for x in r.v}
+    assert all(held.get(n) == held.get(n + 100) and n in held for n in range(100))  # no link is lost
+    assert max(r.n for r in got) < 20_000
+
+
 # 7: quality rules
 
 

@@ -9,8 +9,10 @@
    coordinate minima. Where few nodes share a key, pairs are kept only if that bound reaches the needed overlap; where many do,
    they are tied together. What hangs together so is a coarse component (all links lie inside one), and is searched: its
    points are packed into an R-tree, whose boxes have the same bound, and only surviving pairs are verified on the sets. A pair
-   already connected by found links is not looked at again. Components too large for one task are split by size class, and
-   where that is not enough into chunks, each pair of which is searched; their links are joined by distributed components.
+   already connected by found links is not looked at again. Components too large for one task are first taken apart: linked
+   sets differ in few shingles, so of one group of shingles more than that one is equal in both, and only sets that share
+   such a group hang together. What is still too large is split by size class, and where that is not enough into chunks, each
+   pair of which is searched; their links are joined by distributed components.
 
 Cases: null and empty texts have the empty set and are linked with nothing; texts with fewer words than a shingle count as
 one shingle; repeated rows and ids are linked like any equal texts (one row each is returned), and different texts under one
@@ -434,6 +436,43 @@ def _found(sets: DataFrame, wanted: DataFrame, percent: int, task_shingles: int)
     return small.union(middle).union(large)
 
 
+def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Fingerprints of which linked sets share one. Sets of one size class, or of it and the class above, differ in so many shingles
+    at most; of one group more than that, dealt by a hash, one at least is equal in both."""
+    n, step = len(shingles), max(100 / percent, 1.001)
+    own = int(np.floor(np.log(n) / np.log(step) + 1e-9))
+    mixed = mix64(shingles * _ODD)
+    out = []
+    for band in (own, own - 1):
+        most = (100 - percent) / (100 + percent) * (step ** (band + 1) + step ** (band + 2)) * (1 + 1e-6)
+        groups = int(most) + 1
+        sums = np.zeros(groups, np.uint64)
+        np.add.at(sums, ((mixed >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64), mix64(mixed))
+        out.append(mix64(mix64(sums) + np.arange(groups, dtype=np.uint64) * _ODD + np.uint64((band + 1) * 0x9E3779B1)))
+    return np.concatenate(out)
+
+
+def _parted(sets: DataFrame, percent: int, task_shingles: int) -> DataFrame:
+    """sets with finer coarse components in place of those that are too large for a task: what shares a signature hangs together,
+    and sets that share none have no links and are left out."""
+
+    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in (g.iloc[at : at + 500] for g in frames for at in range(0, len(g), 500)):
+            found = [signatures(np.frombuffer(b, np.uint64), percent) for b in f["bytes"]]
+            yield pd.DataFrame({"sign": np.concatenate(found).view(np.int64), "node": np.repeat(f["node"].to_numpy(np.int64), [len(x) for x in found])})
+
+    heavy = sets.groupBy("coarse").agg(F.sum("n").alias("_total")).where(F.col("_total") > task_shingles)
+    heavy = materialize(heavy.select("coarse"), "ngram-heavy")
+    if heavy.isEmpty():
+        return sets
+    signed = materialize(sets.join(heavy, "coarse", "left_semi").mapInPandas(sign, "sign long, node long"), "ngram-signatures")
+    met = signed.groupBy("sign").agg(F.min("node").alias("b"), F.max("node").alias("_most")).where("b != _most").select("sign", "b")
+    finer = components(signed.join(met.hint("merge"), "sign").select(F.col("node").alias("a"), "b").where("a != b"), "ngram-finer")
+    release(signed)
+    tied = sets.join(heavy, "coarse", "left_semi").drop("coarse").join(finer.select("node", F.col("root").alias("coarse")), "node")
+    return materialize(sets.join(heavy, "coarse", "left_anti").unionByName(tied), "ngram-parted")
+
+
 def similar(docs: DataFrame, k: int = 3, percent: int = 90, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (least doc_id reachable by links) and component (a number of the component,
     of every row with a word) for docs (doc_id, text). percent is the least similarity of a link, 1 to 100."""
@@ -459,8 +498,10 @@ def similar(docs: DataFrame, k: int = 3, percent: int = 90, task_shingles: int =
     owners = materialize(owners.select("node", F.col("_first.doc_id").alias("_id"), F.col("_first.text_hash").alias("_hash"), "n"), "ngram-nodes")
     wanted = materialize(owners.join(coarse, "node"), "ngram-wanted")
     sets = materialize(_sets(docs, wanted.select("_id", "_hash", "node", "coarse"), k), "ngram-sets")
-    fine = components(_found(sets, wanted, percent, task_shingles), "ngram-links")
-    release(sets, wanted)
+    parted = _parted(sets, percent, task_shingles)
+    sizes = wanted if parted is sets else parted.select("coarse", "n")
+    fine = components(_found(parted, sizes, percent, task_shingles), "ngram-links")
+    release(sets, parted, wanted)
     names = owners.join(fine, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = names.groupBy("root").agg(F.min("_id").alias("component_id"))
     named = materialize(names.join(least, "root").select("node", "component_id", F.col("root").alias("component")), "ngram-names")
