@@ -355,6 +355,33 @@ def test_keys_share_one_whatever_is_common():
                 assert set(ngram_join.keys(a, percent, common, 8).tolist()) & set(ngram_join.keys(b, percent, common, 8).tolist())
 
 
+@pytest.mark.parametrize("percent", [1, 50, 80, 90, 100])
+def test_linked_sets_share_as_many_keys_as_asked(percent):
+    rng = np.random.default_rng(percent)
+    shingles = rng.integers(0, 1 << 62, 9000).astype(np.uint64)
+    short = np.sort(ngram_join.mix64(shingles[:3000] ^ ngram_join._ODD) >> np.uint64(24 - 8))
+    common = short, rng.integers(9, 99, len(short))
+    for _ in range(200):
+        a = np.unique(rng.choice(shingles[: int(rng.integers(3000, 9000))], int(rng.integers(1, 2500)), replace=False))
+        b = rng.permutation(a)[: max(1, -(-len(a) * percent // 100))]  # a link at the very bound
+        shared = len(set(ngram_join.keys(a, percent, common, 8).tolist()) & set(ngram_join.keys(np.sort(b), percent, common, 8).tolist()))
+        assert shared >= min(ngram_join.shared_keys(len(x), percent) for x in (a, b)) > 0
+
+
+def test_long_texts_do_not_hang_together_by_a_phrase(spark, monkeypatch):
+    # Each of thirty long texts shares a phrase with the next; near copies of five of them are the only links.
+    rng = random.Random(12)
+    made = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    phrases = [made(14) for _ in range(30)]
+    long = [[*phrases[i - 1], *made(1000), *phrases[i]] for i in range(30)]
+    copies = [[w if j % 200 else "other" for j, w in enumerate(t)] for t in long[:5]]
+    read = []
+    monkeypatch.setattr(ngram_join, "_parted", lambda sets, *_: read.append(sets.count()) or sets)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar(frame(spark, [" ".join(t) for t in long + copies]).select("doc_id", "text"), 5, 80).collect()}
+    assert [got[i] for i in range(35)] == [*range(30), *range(5)]
+    assert read == [10]
+
+
 def test_tree_bound_loses_nothing():
     rng = np.random.default_rng(0)
     points = rng.integers(0, 9, (900, 32)).astype(np.int32)
@@ -388,6 +415,13 @@ def test_linked_sets_share_a_signature(percent):
     assert percent < 90 or apart > 300
 
 
+def test_empty_groups_tie_no_sets():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64)) for _ in range(60)]
+    signed = [set(ngram_join.signatures(s, 80).tolist()) for s in sets]
+    assert not any(a & b for i, a in enumerate(signed) for b in signed[:i])
+
+
 def test_large_components_are_taken_apart(spark):
     # A hundred texts that share a stock phrase, too large for a task together; of each, a copy with a word changed at its end.
     rng = random.Random(31)

@@ -3,6 +3,7 @@
 1. Each text becomes the set of its word shingles (64-bit fingerprints). Texts with equal sets are one node from here on.
 2. Nodes meet by prefixes: of two linked sets, each holds most of the other, so their first shingles in one order of all
    shingles, as many as can be missing and one more, share one. Common shingles come last in that order. This loses no link.
+   Large sets bring some keys more, and are to share as many more: long texts that have a phrase in common do not meet by it.
    Most keys are met by nobody, so keys travel packed (seven bytes: a part of the key, and whose it is), and a key that many
    documents share is one row for each worker's flush of some 100,000 keys.
 3. Shingles are hashed into groups, and the group counts are points; the overlap of two points is at most the sum of the
@@ -43,6 +44,8 @@ LEAF = 32
 TASK_SHINGLES = 4_000_000
 #: Texts that share a key and are paired each with each at most; more are only tied together, and searched.
 SMALL = 8
+#: Of so many shingles of a set one more is a key than need be, and one more key is to be shared.
+MORE = 50
 #: Common shingles that are put last among keys at most (16 bytes each in every worker).
 COMMON = 2_000_000
 #: Keys that a worker gathers before it sends them off, and the flag of a place whose group is larger than SMALL.
@@ -62,12 +65,13 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 def keys(shingles: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
     """The keys of a set for links with 100 * intersection >= percent * union: its first shingles in one order of all shingles.
 
-    Linked sets share percent of each at least, so among the first n - percent * n / 100 + 1 of each there is a shared one,
-    whatever the order is, if it is the same for all. Here those counted and found rare come first, those not counted next,
-    and the common ones last, the most common at the end: stock phrases bring nobody together who has enough of their own.
+    Linked sets share percent of each at least, so among the first n - percent * n / 100 + m of each there are m shared ones,
+    whatever the order is, if it is the same for all; m is shared_keys. Here those counted and found rare come first, those not
+    counted next, and the common ones last, the most common at the end: stock phrases bring nobody together who has enough of
+    their own.
     """
     n = len(shingles)
-    need = n + 1 - -(-percent * n // 100)
+    need = n + shared_keys(n, percent) - -(-percent * n // 100)
     mixed = mix64(shingles ^ _ODD)
     if need >= n:
         return mixed
@@ -89,6 +93,12 @@ def keys(shingles: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarra
     return np.concatenate(out)
 
 
+def shared_keys(n: int, percent: int) -> int:
+    """How many keys a set of n shingles shares with each set linked to it, that has as many to share or more: large sets that
+    meet by chance share few."""
+    return min(1 + n // MORE, -(-percent * n // 100))
+
+
 def _counted(mixed: np.ndarray, percent: int) -> np.ndarray:
     """Which shingles are counted: half as many again as a set has keys, in every set; only the order of keys hangs on it."""
     return (mixed & np.uint64(0xFFFF)) < np.uint64(min(65536, (100 - percent) * 983 + 655))
@@ -243,8 +253,9 @@ def marks(docs: DataFrame, k: int, percent: int, bits: int, common: tuple[np.nda
 
 
 def meetings(packed: DataFrame) -> DataFrame:
-    """Edges (a, b, loose) between places that share a key, from packed keys (bucket, place, keys): each with each where they are
-    few (SMALL at most), and else each with the first, which is loose: it says only that they may be linked with each other."""
+    """Edges (a, b, loose, shared) between places that share a key, from packed keys (bucket, place, keys): each with each where
+    they are few (SMALL at most), and else each with the first, which is loose: it says only that they may be linked with each
+    other. shared is how many keys make the edge; linked places with no loose tie have all they share among these."""
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
         key, row, extra = _open(f["bucket"].to_numpy(np.int64), f["keys"].tolist(), PACKED)
@@ -260,10 +271,12 @@ def meetings(packed: DataFrame) -> DataFrame:
         found = [pd.DataFrame({"a": centre[star], "b": place[star], "loose": True})]
         for d in range(1, SMALL):
             both = np.flatnonzero((key[d:] == key[:-d]) & ~large[d:])
-            found.append(pd.DataFrame({"a": place[both], "b": place[both + d], "loose": False}))
-        return pd.concat(found).drop_duplicates()
+            x, y = place[both], place[both + d]
+            found.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "loose": False})[x != y])
+        return pd.concat(found).groupby(["a", "b", "loose"], as_index=False).size()
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_by_bucket(meet), "a long, b long, loose boolean")
+    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_by_bucket(meet), "a long, b long, loose boolean, size long")
+    return met.groupBy("a", "b", "loose").agg(F.sum("size").alias("shared"))
 
 
 def _plausible(percent: int):
@@ -438,17 +451,22 @@ def _found(sets: DataFrame, wanted: DataFrame, percent: int, task_shingles: int)
 
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Fingerprints of which linked sets share one. Sets of one size class, or of it and the class above, differ in so many shingles
-    at most; of one group more than that, dealt by a hash, one at least is equal in both."""
+    at most; of some groups more than that, dealt by a hash, as many at least are equal in both. Empty groups, equal in sets of
+    any content, are left out where they are fewer than these, as then one with shingles is equal in both."""
     n, step = len(shingles), max(100 / percent, 1.001)
     own = int(np.floor(np.log(n) / np.log(step) + 1e-9))
     mixed = mix64(shingles * _ODD)
     out = []
     for band in (own, own - 1):
         most = (100 - percent) / (100 + percent) * (step ** (band + 1) + step ** (band + 2)) * (1 + 1e-6)
-        groups = int(most) + 1
+        more = 1 + int(most) // 8
+        groups = int(most) + more
         sums = np.zeros(groups, np.uint64)
-        np.add.at(sums, ((mixed >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64), mix64(mixed))
-        out.append(mix64(mix64(sums) + np.arange(groups, dtype=np.uint64) * _ODD + np.uint64((band + 1) * 0x9E3779B1)))
+        group = ((mixed >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+        np.add.at(sums, group, mix64(mixed))
+        found = mix64(mix64(sums) + np.arange(groups, dtype=np.uint64) * _ODD + np.uint64((band + 1) * 0x9E3779B1))
+        full = np.bincount(group, minlength=groups) > 0
+        out.append(found[full] if np.count_nonzero(~full) < more else found)
     return np.concatenate(out)
 
 
@@ -486,8 +504,10 @@ def similar(docs: DataFrame, k: int = 3, percent: int = 90, task_shingles: int =
     # Joins whose small side grows with the corpus are merge joins at every size, so that plans and costs do not jump.
     places = documents.where("place IS NOT NULL")
     at = lambda side: places.select(F.col("place").alias(side), F.col("node").alias(f"{side}_node"), F.col("n_shingles").alias(f"{side}_n"), F.col("vector").alias(f"{side}_vector")).hint("merge")
-    met = meetings(found.where("keys IS NOT NULL").select("bucket", "place", "keys")).distinct()
-    met = met.join(at("a"), "a").join(at("b"), "b").where(F.col("loose") | (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")))
+    met = meetings(found.where("keys IS NOT NULL").select("bucket", "place", "keys"))
+    alike = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
+    enough = f"shared >= least(1 + least(a_n, b_n) div {MORE}, ({percent} * least(a_n, b_n) + 99) div 100)"  # as shared_keys
+    met = met.join(at("a"), "a").join(at("b"), "b").where(f"loose OR {alike} AND {enough}")
     met = met.select("a_node", "b_node", "loose", "a_vector", "b_vector").mapInPandas(_plausible(percent), "a long, b long")
     ties = found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
     coarse = components(met.union(ties), "ngram-coarse").select("node", F.col("root").alias("coarse"))
